@@ -33,4 +33,4 @@ def decision_gate(changes: DataFrame, by_rule: DataFrame | None = None, by_file:
         out = salted_join(out, table, ["rule_id"], "left", spread_by=["path"])
         answers.append(F.col("_stored"))
     decision = F.coalesce(*answers, F.lit("s" if mode == "review" else "a"))
-    return out.drop("_rule", "_file", "_stored").withColumn("decision", decision).withColumn("kept", decision.isin(*KEEP))
+    return out.select(*changes.columns, decision.alias("decision"), decision.isin(*KEEP).alias("kept"))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
 from transmuta.functions.facts import names_regex, with_facts
-from transmuta.functions.pyre import search
+from transmuta.functions.pyre import jvm_pattern
+from transmuta.operators.resolve import matches, rule_array
 from transmuta.sources import catalog
 from transmuta.sources.catalog import RuleSet
 
@@ -84,20 +85,16 @@ def detect_class_bases(files: DataFrame, names: Sequence[str] = CLASS_NAMES) ->
     return found.select("repo", "path", F.inline(class_uses(F.col("facts")["classes"], names))).drop("sub", "module")
 
 
-def matching_rules(content: Column, rules: RuleSet, ids_only: bool = False) -> Column:
-    """Rules whose regex matches the text, in rule order, as an array (of ids, or of structs of the rule's fields).
+def matching_rules(content: Column, rules: RuleSet) -> Column:
+    """Rules whose regex matches the text, in rule order, as an array of (rule_ord, id, type, framework, confidence,
+    source).
 
-    Each rule is its own compiled expression behind a byte-level literal test, so the text is only decoded and
-    searched for rules that can match. No join and no shuffle.
+    The rule table is a constant array filtered per text: no join, no shuffle, and the plan does not grow with the
+    number of rules. A byte-level literal test keeps most rules from decoding the text at all.
     """
-    def entry(r):
-        if ids_only:
-            return F.lit(r.id)
-        return F.struct(
-            F.lit(r.rule_ord).alias("rule_ord"), F.lit(r.id).alias("id"), F.lit(r.type).alias("type"),
-            F.lit(r.framework).alias("framework"), F.lit(r.confidence).alias("confidence"), F.lit(r.source).alias("source"))
-
-    return F.array_compact(F.array(*[F.when(search(content, r.pattern), entry(r)) for r in rules]))
+    hits = F.filter(rule_array(rules), lambda r: matches(content, r))
+    fields = ("rule_ord", "id", "type", "framework", "confidence", "source")
+    return F.transform(hits, lambda r: F.struct(*[r[f].alias(f) for f in fields]))
 
 
 def regex_rule_scan(files: DataFrame, rules: RuleSet, text_col: str = "content",
@@ -108,8 +105,6 @@ def regex_rule_scan(files: DataFrame, rules: RuleSet, text_col: str = "content",
 
 def match_counts(files: DataFrame, pattern: str, text_col: str = "content") -> DataFrame:
     """Number of matches of a regex per file."""
-    from transmuta.functions.pyre import jvm_pattern
-
     n = F.regexp_count(F.col(text_col), F.lit(jvm_pattern(pattern)))
     return files.select("repo", "path", n.cast("long").alias("n_matches"))
 

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from transmuta.functions.joins import salted_join
 from transmuta.functions.materialize import cut
 from transmuta.functions.pyre import jvm_pattern
-from transmuta.operators.resolve import _lookup, rule_array
-from transmuta.sources.catalog import RuleSet
+from transmuta.operators.resolve import first_with, rule_array
+from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
 
 def run_table(rewritten: DataFrame) -> DataFrame:
@@ -78,23 +78,28 @@ def output_mapping(rewritten: DataFrame, rules: RuleSet) -> DataFrame:
 
     Before and after are columns of one row, so nothing is joined.
     """
-    pool = RuleSet(tuple(r for r in rules if r.key != "sk_import_"))
-    entries = rule_array(pool)
+    entries = rule_array(RuleSet(tuple(r for r in rules if r.key != MAPPING_KEY)))
     before, after = F.col("content"), F.col("new_content")
 
-    def check(d):
-        exact = _lookup([r.id for r in pool], pool, d["id"], entries)
-        rule = F.coalesce(exact, _lookup([r.key for r in pool], pool, _checked_key(d["module"]), entries))
+    def pick(d):
+        rule = F.coalesce(first_with(entries, "id", d["id"]), first_with(entries, "key", _checked_key(d["module"])))
+        return F.struct(d.alias("detection"), rule.alias("rule"))
+
+    def expect(x):
         name = F.regexp_extract(before, jvm_pattern(r"class (\w+)\("), 1)
-        # '\$' is an escaped dollar of the replacement syntax, not part of the expected text
-        expected = F.replace(F.replace(rule["replacement"], F.lit("{name}"), name), F.lit(r"\$"), F.lit("$"))
+        # an escaped dollar of the replacement syntax is a plain one in the text
+        text = F.replace(F.replace(x["rule"]["replacement"], F.lit("{name}"), name), F.lit(r"\$"), F.lit("$"))
+        return F.struct(x["detection"].alias("detection"), x["rule"].alias("rule"), text.alias("expected"))
+
+    def check(x):
         return F.struct(
-            d.alias("detection"), rule["id"].alias("rule_id"), expected.alias("expected_replacement"),
-            F.rlike(before, rule["pattern"]).alias("in_before"), F.rlike(after, rule["pattern"]).alias("in_after"),
-            after.contains(expected).alias("new_in_after"))
+            x["detection"].alias("detection"), x["rule"]["id"].alias("rule_id"), x["expected"].alias("expected_replacement"),
+            F.rlike(before, x["rule"]["pattern"]).alias("in_before"), F.rlike(after, x["rule"]["pattern"]).alias("in_after"),
+            after.contains(x["expected"]).alias("new_in_after"))
 
     wanted = F.filter("detections", lambda d: (d["confidence"] == "high") & (d["source"] == "rule"))
-    rows = rewritten.filter("changed").select("repo", "path", F.explode(F.transform(wanted, check)).alias("x"))
+    checked = F.transform(F.transform(F.transform(wanted, pick), expect), check)
+    rows = rewritten.filter("changed").select("repo", "path", F.explode(checked).alias("x"))
     x = F.col("x")
     status = (
         F.when(x["rule_id"].isNull(), "error")

@@ -5,20 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
-from transmuta.sources.catalog import RuleSet
+from transmuta.functions.constants import constant_rows
+from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
-RULE_STRUCT = ("struct<rule_ord:int, id:string, pattern:string, replacement:string, confidence:string, type:string, "
-               "literal:string, named:boolean>")
+RULE_STRUCT = ("struct<rule_ord:int, key:string, id:string, pattern:string, replacement:string, confidence:string, type:string, "
+               "framework:string, source:string, literal:string, named:boolean>")
 
 
 def rule_array(rules: RuleSet) -> Column:
     """The rule table as one array constant in JVM regex syntax."""
-    return F.array(*[F.struct(
-        F.lit(r.rule_ord).cast("int").alias("rule_ord"), F.lit(r.id).alias("id"), F.lit(r.jvm_pattern).alias("pattern"),
-        F.lit(r.jvm_replacement).alias("replacement"), F.lit(r.confidence).alias("confidence"),
-        F.lit(r.type).alias("type"), F.lit(r.literal).alias("literal"),
-        F.lit(r.type == "class_inheritance" and "{name}" in r.replacement).alias("named"),
-    ) for r in rules])
+    return constant_rows(({
+        "rule_ord": r.rule_ord, "key": r.key, "id": r.id, "pattern": r.jvm_pattern, "replacement": r.jvm_replacement,
+        "confidence": r.confidence, "type": r.type, "framework": r.framework, "source": r.source, "literal": r.literal,
+        "named": r.type == "class_inheritance" and "{name}" in r.replacement} for r in rules), RULE_STRUCT)
+
+
+def matches(content: Column, rule: Column) -> Column:
+    """Does the rule's regex occur in the text? A byte-level test for the literal part of the pattern comes first."""
+    return content.contains(rule["literal"]) & F.rlike(content, rule["pattern"])
+
+
+def first_with(entries: Column, field: str, value: Column) -> Column:
+    """First rule whose field equals the value, NULL when there is none."""
+    return F.get(F.filter(entries, lambda r: r[field] == value), F.lit(0))
 
 
 def routed_key(module: Column) -> Column:
@@ -41,28 +50,23 @@ def routed_key(module: Column) -> Column:
     return F.when(module.startswith("semantic_kernel"), kernel).when(module.startswith("autogen"), chat)
 
 
-def _lookup(keys: list[str], rules: RuleSet, key: Column, entries: Column) -> Column:
-    """Rule struct for a key, through a constant key -> position map."""
-    positions = F.create_map(*[F.lit(x) for pos, k in enumerate(keys) for x in (k, pos)])
-    return F.get(entries, F.try_element_at(positions, key))
-
-
 def resolved_array(rules: RuleSet, detections: str = "detections", content: str = "content") -> Column:
     """detections -> array of struct(detection, rule, method); unresolved ones keep a NULL rule."""
     entries = rule_array(rules)
-    search_pool = rule_array(RuleSet(tuple(r for r in rules if r.key != "sk_import_")))
     text = F.col(content)
 
-    def resolve(d):
-        exact = _lookup([r.id for r in rules], rules, d["id"], entries)
-        routed = _lookup([r.key for r in rules], rules, routed_key(d["module"]), entries)
-        searched = F.get(F.filter(search_pool, lambda r: (r["type"] == d["type"]) & text.contains(r["literal"])
-                                  & F.rlike(text, r["pattern"])), F.lit(0))
-        method = F.when(exact["id"].isNotNull(), "id").when(routed["id"].isNotNull(), "module").when(
-            searched["id"].isNotNull(), "regex")
-        return F.struct(d.alias("detection"), F.coalesce(exact, routed, searched).alias("rule"), method.alias("method"))
+    def pick(d):
+        searched = F.get(F.filter(entries, lambda r: (r["type"] == d["type"]) & (r["key"] != MAPPING_KEY) & matches(text, r)), F.lit(0))
+        rule = F.coalesce(first_with(entries, "id", d["id"]), first_with(entries, "key", routed_key(d["module"])), searched)
+        return F.struct(d.alias("detection"), rule.alias("rule"))
+
+    def label(x):
+        method = F.when(x["rule"]["id"] == x["detection"]["id"], "id").when(
+            x["detection"]["module"].startswith("semantic_kernel") | x["detection"]["module"].startswith("autogen"), "module").otherwise("regex")
+        return F.struct(x["detection"].alias("detection"), x["rule"].alias("rule"),
+                        F.when(x["rule"]["id"].isNotNull(), method).alias("method"))
 
-    return F.transform(F.col(detections), resolve)
+    return F.transform(F.transform(F.col(detections), pick), label)
 
 
 def with_resolved(files: DataFrame, rules: RuleSet) -> DataFrame:

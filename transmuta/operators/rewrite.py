@@ -32,8 +32,7 @@ def fold(content: Column, to_apply: Column) -> Column:
         current = acc["content"]
         name = F.regexp_extract(current, jvm_pattern(r"class (\w+)\("), 1)
         replacement = F.when(r["named"] & (name != ""), F.replace(r["replacement"], F.lit("{name}"), name)).otherwise(r["replacement"])
-        hit = current.contains(r["literal"]) & F.rlike(current, r["pattern"])
-        return F.when(hit, F.struct(
+        return F.when(resolve.matches(current, r), F.struct(
             F.regexp_replace(current, r["pattern"], replacement).alias("content"),
             F.concat(acc["applied"], F.array(r["id"])).alias("applied"))).otherwise(acc)
 

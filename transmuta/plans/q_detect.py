@@ -183,7 +183,7 @@ def _(spark, sf):
 
 
 @query("suffix_match", """
-SELECT DISTINCT f.repo, f.path, m.rel FROM files f JOIN (SELECT repo, substring(path, length(repo) + 2) AS rel FROM mixed WHERE is_mixed) m
+SELECT DISTINCT f.repo, f.path, m.rel FROM files f JOIN (SELECT repo, substring(path, length(repo) + 2) AS rel FROM mixed WHERE is_mixed AND NOT contains(path, '/venv/')) m
   ON m.repo = f.repo AND ends_with(f.path, m.rel)""")
 def _(spark, sf):
     files = corpus(spark, sf)

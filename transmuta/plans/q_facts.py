@@ -35,7 +35,7 @@ SELECT doc_id, repo, path, CASE WHEN import_module <> '' THEN 'import' ELSE 'fro
 FROM statements WHERE import_module <> '' OR from_module <> ''"""
 _KNOWN = ", ".join(text_lit(m) for m in sorted({*KNOWN_MODULES, *sys.builtin_module_names}))
 CTES["unknown_rows"] = f"SELECT * FROM import_rows WHERE string_split(module, '.')[1] NOT IN ({_KNOWN})"
-_BROKEN = "'''(''' was never closed"
+_BROKEN = "'''('' was never closed"
 CTES["issues"] = f"""
 SELECT repo, path, 'error' AS level, CAST(1 AS INTEGER) AS line_no, CAST(11 AS INTEGER) AS col_no, 'SyntaxError' AS error_type,
   {_BROKEN}' AS message, 'def broken(' AS context FROM parsed WHERE NOT parse_ok

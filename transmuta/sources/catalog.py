@@ -196,6 +196,9 @@ REPO_VALUES = [
      "Comprehensive examples from published book covering various production patterns.", "third_pass"),
 ]
 
+# key of the rule made from the package mapping; it has no name and takes no part in the search by content
+MAPPING_KEY = "sk_import_"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -297,7 +300,7 @@ def rule_set(include_mapping_rule: bool = True) -> RuleSet:
     if include_mapping_rule:
         framework, _, old, new, notes = next(m for m in MAPPINGS if m[:2] == ("semantic_kernel", "imports"))
         # the mapping carries no name, so its id ends after the prefix
-        rules.append(Rule(len(rules), "sk_import_", "SK_IMPORT_", old, new, "high", "import", framework, notes, "rule",
+        rules.append(Rule(len(rules), MAPPING_KEY, MAPPING_KEY.upper(), old, new, "high", "import", framework, notes, "rule",
                           urls[framework]))
     return RuleSet(tuple(rules))
 
