@@ -88,9 +88,13 @@ def _facts(content: pa.Array) -> pa.Array:
 
 
 def with_facts(files: DataFrame, where: Column | None = None, text_col: str = "content") -> DataFrame:
-    """Add a `facts` column. Rows outside `where` send nothing to Python and get NULL facts."""
+    """Add a `facts` column. Rows outside `where` send nothing to Python and get NULL facts.
+
+    The function is marked nondeterministic so that the optimizer neither repeats it nor moves it below a shuffle.
+    """
     text = F.col(text_col) if where is None else F.when(where, F.col(text_col))
-    return files.withColumn("facts", F.arrow_udf(_facts, schemas.FACTS)(text))
+    parse = F.arrow_udf(_facts, schemas.FACTS).asNondeterministic()
+    return files.withColumn("facts", parse(text))
 
 
 def code_facts(files: DataFrame) -> DataFrame:

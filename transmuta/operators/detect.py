@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
+from transmuta.functions.arrays import elements
 from transmuta.functions.facts import names_regex, with_facts
 from transmuta.functions.pyre import jvm_pattern
 from transmuta.operators.resolve import matches, rule_array
@@ -67,7 +68,7 @@ def with_detections(files: DataFrame, prefixes: Sequence[str] = PREFIXES, names:
 
 
 def explode_detections(files: DataFrame) -> DataFrame:
-    return files.select("repo", "path", F.inline("detections"))
+    return files.select("repo", "path", F.inline(elements("detections")))
 
 
 def discover(files: DataFrame, prefixes: Sequence[str] = PREFIXES, names: Sequence[str] = CLASS_NAMES) -> DataFrame:

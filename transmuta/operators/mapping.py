@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from transmuta.functions.arrays import elements
 from transmuta.functions.joins import salted_join
 from transmuta.functions.materialize import cut
 from transmuta.functions.pyre import jvm_pattern
@@ -11,26 +12,28 @@ from transmuta.operators.resolve import first_with, rule_array
 from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
 
-def run_table(rewritten: DataFrame) -> DataFrame:
-    """The narrow record of a run: detections with resolved ids, applied ids and the changed flag, without content.
+def run_table(rewritten: DataFrame, rules: RuleSet | None = None) -> DataFrame:
+    """The narrow record of a run: detections with resolved ids, applied ids, the changed flag and, when rules are
+    given, the output checks. No content.
 
-    Several checks read it, so it is computed once and cut from the rewrite's lineage.
+    All checks read it, so the rewrite behind it runs once and its lineage ends here.
     """
     narrow = rewritten.select(
         "repo", "path", "applied", "changed",
-        F.transform("resolved", lambda x: F.struct(x["detection"].alias("detection"), x["rule"]["id"].alias("rule_id"))).alias("resolved"))
+        F.transform("resolved", lambda x: F.struct(x["detection"].alias("detection"), x["rule"]["id"].alias("rule_id"))).alias("resolved"),
+        *([] if rules is None else [F.when(F.col("changed"), output_checks(rules)).alias("outputs")]))
     return cut(narrow)
 
 
 def applied_ids(run: DataFrame) -> DataFrame:
     """Rule ids applied anywhere in a project: one row per project, at most one entry per rule of the catalogue."""
-    distinct = run.select("repo", F.explode("applied").alias("id")).distinct()
+    distinct = run.select("repo", F.explode(elements("applied")).alias("id")).distinct()
     return distinct.groupBy("repo").agg(F.collect_set("id").alias("applied_ids"))
 
 
 def application_membership(run: DataFrame) -> DataFrame:
     """Per high-confidence detection: is its id among the project's applied ids, is its rule's, was its file updated?"""
-    rows = run.select("repo", "path", "changed", F.explode("resolved").alias("x")).select(
+    rows = run.select("repo", "path", "changed", F.explode(elements("resolved")).alias("x")).select(
         "repo", "path", "x.detection.*", F.col("x.rule_id").alias("rule_id"), F.col("changed").alias("file_transformed"))
     rows = rows.filter((F.col("confidence") == "high") & (F.col("source") == "rule"))
     joined = salted_join(rows, applied_ids(run), ["repo"], "left", spread_by=["path"])
@@ -73,11 +76,8 @@ def _checked_key(module: Column) -> Column:
               .when(module.contains("AssistantAgent"), "autogen_import_assistant")))
 
 
-def output_mapping(rewritten: DataFrame, rules: RuleSet) -> DataFrame:
-    """Per high-confidence detection in an updated file: did the old text go and the new text arrive?
-
-    Before and after are columns of one row, so nothing is joined.
-    """
+def output_checks(rules: RuleSet) -> Column:
+    """Checks of one file's high-confidence detections; before and after are columns of one row, so nothing is joined."""
     entries = rule_array(RuleSet(tuple(r for r in rules if r.key != MAPPING_KEY)))
     before, after = F.col("content"), F.col("new_content")
 
@@ -98,8 +98,17 @@ def output_mapping(rewritten: DataFrame, rules: RuleSet) -> DataFrame:
             after.contains(x["expected"]).alias("new_in_after"))
 
     wanted = F.filter("detections", lambda d: (d["confidence"] == "high") & (d["source"] == "rule"))
-    checked = F.transform(F.transform(F.transform(wanted, pick), expect), check)
-    rows = rewritten.filter("changed").select("repo", "path", F.explode(checked).alias("x"))
+    return F.transform(F.transform(F.transform(wanted, pick), expect), check)
+
+
+def output_mapping(rewritten: DataFrame, rules: RuleSet) -> DataFrame:
+    """Per high-confidence detection in an updated file: did the old text go and the new text arrive?"""
+    return output_rows(rewritten.filter("changed").select("repo", "path", output_checks(rules).alias("outputs")))
+
+
+def output_rows(checked: DataFrame) -> DataFrame:
+    """One row per output check with its status."""
+    rows = checked.select("repo", "path", F.explode(elements("outputs")).alias("x"))
     x = F.col("x")
     status = (
         F.when(x["rule_id"].isNull(), "error")
@@ -127,8 +136,8 @@ def combined_failures(membership: DataFrame, outputs: DataFrame) -> DataFrame:
 
 def mapping_report(rewritten: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per project: counts, rates and completeness."""
-    run = run_table(rewritten)
-    outputs = output_mapping(rewritten, rules).groupBy("repo").agg(
+    run = run_table(rewritten, rules)
+    outputs = output_rows(run).groupBy("repo").agg(
         F.count("*").alias("outputs"), F.count_if(F.col("status") == "success").alias("successful_outputs"),
         F.count_if(F.col("status") == "failed").alias("failed_outputs"))
     mapping = application_mapping(application_membership(run)).groupBy("repo").agg(

@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions import text
+from transmuta.functions.arrays import elements, once
 from transmuta.functions.facts import with_facts
+from transmuta.functions.materialize import cut
 from transmuta.functions.pyre import search
 from transmuta.sources.corpus import SKIP_DIRS, first_n_files
 
@@ -152,10 +154,14 @@ def pattern_outliers(flags: DataFrame) -> DataFrame:
 
 def size_outliers(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Project size and the ratio of the longest to the shortest of its first files."""
+    totals = flags.groupBy("repo").agg(F.count_if("is_py").alias("total_files"))
+    return _size_flags(totals, flags, limits)
+
+
+def _size_flags(totals: DataFrame, flags: DataFrame, limits: Limits) -> DataFrame:
     py = flags.filter("is_py").select("repo", "path", "n_lines")
     sizes = first_n_files(py, limits.size_sample).groupBy("repo").agg(
         F.max("n_lines").alias("max_lines"), F.min("n_lines").alias("min_lines"))
-    totals = flags.groupBy("repo").agg(F.count_if("is_py").alias("total_files"))
     ratio = F.when((F.col("max_lines") > 0) & (F.col("min_lines") > 0), F.col("max_lines") / F.col("min_lines"))
     return totals.join(sizes, "repo", "left").select(
         "repo", "total_files", (F.col("total_files") > limits.max_files).alias("very_large_codebase"),
@@ -164,8 +170,15 @@ def size_outliers(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def outlier_type_counts(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(repo, outlier_type, n): how often each type was recorded. Deep nesting of paths and of code add up."""
-    wide = repo_profile(flags).join(size_outliers(flags, limits), "repo")
+    """Per project, its outlier types and how often each was recorded; deep paths and deep code add up.
+
+    The measurements come from every file's content, so they are written once in their narrow form; the profile and
+    the size sample both read that.
+    """
+    flags = cut(flags)
+    profile = repo_profile(flags)
+    sizes = _size_flags(profile.select("repo", F.col("n_py").alias("total_files")), flags, limits)
+    wide = profile.join(sizes, "repo")
 
     def once(cond):
         return F.when(cond, 1).otherwise(0).cast("long")
@@ -185,7 +198,7 @@ def outlier_type_counts(flags: DataFrame, limits: Limits = Limits()) -> DataFram
 def distinct_types(type_counts: DataFrame) -> DataFrame:
     """One row per project and outlier type with its risk and recommendation."""
     advice = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("risk"), F.lit(a).alias("recommendation")) for t, r, a in ADVICE])
-    rows = type_counts.select("repo", "total_files", F.inline("types"))
+    rows = type_counts.select("repo", "total_files", F.inline(elements("types")))
     found = rows.withColumn("a", F.get(F.filter(advice, lambda x: x["t"] == F.col("outlier_type")), F.lit(0)))
     shown = F.when(F.col("outlier_type") == "very_large_codebase", F.col("total_files")).otherwise(F.col("n"))
     return found.select("repo", "outlier_type", F.col("n").alias("n_recorded"),
@@ -219,8 +232,8 @@ def file_reasons(limits: Limits = Limits()) -> Column:
 
 def file_outlier_reasons(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Unusual files with their reasons."""
-    found = with_facts(files).select("repo", "path", file_reasons(limits).alias("reasons"))
-    return found.filter(F.size("reasons") > 0)
+    found = once(with_facts(files), reasons=file_reasons(limits))
+    return found.filter(F.size("reasons") > 0).select("repo", "path", "reasons")
 
 
 def outlier_gate(changes: DataFrame, reasons: DataFrame, mode: str | None) -> DataFrame:

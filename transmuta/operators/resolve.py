@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
+from transmuta.functions.arrays import elements
 from transmuta.functions.constants import constant_rows
 from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
@@ -75,7 +76,7 @@ def with_resolved(files: DataFrame, rules: RuleSet) -> DataFrame:
 
 
 def explode_resolved(files: DataFrame) -> DataFrame:
-    return files.select("repo", "path", F.explode("resolved").alias("x")).select(
+    return files.select("repo", "path", F.explode(elements("resolved")).alias("x")).select(
         "repo", "path", "x.detection.*", F.col("x.rule.rule_ord").alias("rule_ord"), F.col("x.rule.id").alias("rule_id"),
         F.col("x.rule.confidence").alias("rule_confidence"), "x.method")
 

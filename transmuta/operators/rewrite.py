@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions import text
+from transmuta.functions.arrays import elements, once
 from transmuta.functions.pyre import jvm_pattern, jvm_replacement
 from transmuta.operators import detect, resolve
 from transmuta.sources.catalog import RuleSet
@@ -46,7 +47,7 @@ def rewrite(files: DataFrame, rules: RuleSet, mode: str = "auto", per_match: boo
     """
     rules = rules.per_match() if per_match else rules
     ready = files if resolved else resolve.with_resolved(files, rules)
-    out = ready.withColumn("_fold", fold(F.col("content"), gated(F.col("resolved"), mode)))
+    out = once(ready, _fold=fold(F.col("content"), gated(F.col("resolved"), mode)))
     return out.withColumns({
         "new_content": F.col("_fold.content"),
         "applied": F.col("_fold.applied"),
@@ -63,13 +64,13 @@ def migrate(files: DataFrame, rules: RuleSet, mode: str = "auto", outlier_mode:
         from transmuta.operators.outliers import Limits, file_reasons
 
         found = detect.with_detections(with_facts(files), parsed=True)
-        found = found.filter(F.size(file_reasons(limits or Limits())) == 0)
+        found = once(found, _reasons=file_reasons(limits or Limits())).filter(F.size("_reasons") == 0).drop("_reasons")
     return rewrite(found, rules, mode, per_match)
 
 
 def applied_rules(rewritten: DataFrame) -> DataFrame:
     """One row per applied rule and file, in order of application."""
-    return rewritten.select("repo", "path", F.posexplode("applied").alias("apply_seq", "rule_id"))
+    return rewritten.select("repo", "path", F.posexplode(elements("applied")).alias("apply_seq", "rule_id"))
 
 
 def confidence_gate(resolved_rows: DataFrame) -> DataFrame:

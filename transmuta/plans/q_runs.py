@@ -144,8 +144,8 @@ SELECT repo, path, id AS pattern_id, module, 'Pattern detected but not applied a
 FROM membership WHERE NOT applied AND NOT file_transformed
 UNION ALL SELECT repo, path, pattern_id, module, NULL, status, error FROM outputs WHERE status = 'failed'""")
 def _(spark, sf):
-    run = done(spark, sf)
-    return mapping.combined_failures(mapping.application_membership(mapping.run_table(run)), mapping.output_mapping(run, RULES))
+    run = mapping.run_table(done(spark, sf), RULES)
+    return mapping.combined_failures(mapping.application_membership(run), mapping.output_rows(run))
 
 
 @query("mapping_report", """
