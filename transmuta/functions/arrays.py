@@ -1,8 +1,10 @@
 """Helpers that keep costly per-row expressions from being evaluated more than once.
 
-Two optimizer rules matter here. A filter on a computed column is pushed below the projection that computes it, so the
+Three things matter here. A filter on a computed column is pushed below the projection that computes it, so the
 expression runs in the filter and again in the projection. And exploding a bare array column adds a `size > 0` filter
-that is pushed down the same way, past shuffles and user functions. Both are fine for cheap expressions only.
+that is pushed down the same way, past shuffles and user functions. And an expression used inside a lambda
+runs once per element, including the definition of a column that the optimizer has merged into it. All three are fine
+for cheap expressions only.
 """
 
 from __future__ import annotations

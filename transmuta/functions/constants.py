@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def constant_rows(rows: Iterable[dict], schema: str) -> Column:
@@ -15,3 +15,11 @@ def constant_rows(rows: Iterable[dict], schema: str) -> Column:
     literal before execution.
     """
     return F.from_json(F.lit(json.dumps(list(rows), ensure_ascii=False)), f"array<{schema}>")
+
+
+def constant_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A list of tuples as a table that is part of the plan. Its size is known to the planner, so joins broadcast it."""
+    names = [c.split()[0] for c in schema.split(",")]
+    records = [dict(zip(names, row)) for row in rows]
+    fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in schema.split(","))
+    return spark.range(0, 1, 1, 1).select(F.inline(constant_rows(records, f"struct<{fields}>")))

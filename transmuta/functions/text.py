@@ -26,10 +26,9 @@ def split_lines(content: Column) -> Column:
 
 def splitlines(content: Column) -> Column:
     """`content.splitlines()`: no final empty line; empty text has no lines."""
-    unified = F.translate(
-        F.when(content.contains("\r\n"), F.replace(content, F.lit("\r\n"), F.lit("\n"))).otherwise(content),
-        _LINE_BREAKS, "\n" * len(_LINE_BREAKS),
-    )
+    other = F.translate(F.replace(content, F.lit("\r\n"), F.lit("\n")), _LINE_BREAKS, "\n" * len(_LINE_BREAKS))
+    # translate works character by character, so it runs only on texts that have such a break
+    unified = F.when(content.rlike(f"[{_LINE_BREAKS}]"), other).otherwise(content)
     body = F.when(unified.endswith("\n"), F.substring(unified, F.lit(1), F.length(unified) - 1)).otherwise(unified)
     return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
 

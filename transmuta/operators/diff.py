@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions import text
+from transmuta.functions.arrays import once
 
 
 def line_changes(before: Column, after: Column) -> Column:
-    """Unequal lines at the same position of two line arrays, plus the surplus lines of the longer one.
+    """Unequal lines at the same position of two line array columns, plus the surplus lines of the longer one.
 
     Each change is (line_no, hunk, kind, before, after); only `modified` rows carry a hunk header, because the
     header form compares the common length.
@@ -32,13 +33,14 @@ def line_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("rep
     a = before.select(*keys, F.col(text_col).alias("_b"))
     b = after.select(*keys, F.col(text_col).alias("_a"))
     joined = a.join(b, list(keys)).filter(F.col("_b") != F.col("_a"))
-    return joined.select(*keys, F.inline(line_changes(text.splitlines(F.col("_b")), text.splitlines(F.col("_a")))))
+    split = once(joined, _old=text.splitlines(F.col("_b")), _new=text.splitlines(F.col("_a")))
+    return split.select(*keys, F.inline(line_changes(F.col("_old"), F.col("_new"))))
 
 
 def rewrite_diff(rewritten: DataFrame) -> DataFrame:
     """Changed lines of a rewrite; both texts are in the row, so nothing is joined."""
-    return rewritten.filter("changed").select(
-        "repo", "path", F.inline(line_changes(text.splitlines(F.col("content")), text.splitlines(F.col("new_content")))))
+    split = once(rewritten.filter("changed"), _old=text.splitlines(F.col("content")), _new=text.splitlines(F.col("new_content")))
+    return split.select("repo", "path", F.inline(line_changes(F.col("_old"), F.col("_new"))))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transmuta.functions import text
+from transmuta.functions.arrays import once
+from transmuta.functions.constants import constant_table
 from transmuta.functions.facts import with_facts
 from transmuta.functions.joins import salted_join
 from transmuta.functions.pyre import jvm_pattern
@@ -78,11 +80,11 @@ def contains_any(col: Column, words: Sequence[str]) -> Column:
 
 
 def with_test_lines(files: DataFrame) -> DataFrame:
-    """Test files with `test_lines`: number, raw text and trimmed text of every line."""
+    """Test files with `raw_lines` and `test_lines`: number, raw text and trimmed text of every line."""
     tests = files.filter(name_matches(F.col("path"), "test_*.py"))
-    numbered = F.transform(text.split_lines(F.col("content")), lambda s, i: F.struct(
-        (i + 1).alias("n"), s.alias("raw"), text.strip(s).alias("s")))
-    return tests.withColumn("test_lines", numbered)
+    split = once(tests, raw_lines=text.split_lines(F.col("content")))
+    return once(split, test_lines=F.transform("raw_lines", lambda s, i: F.struct(
+        (i + 1).alias("n"), s.alias("raw"), text.strip(s).alias("s"))))
 
 
 def _code_lines() -> Column:
@@ -129,10 +131,9 @@ def real_world_issues() -> Column:
 
 def test_windows(width: int = 50) -> Column:
     """(n, head, body) of every line that starts a test: the line and the ones after it, up to `width` lines."""
-    raw = F.transform("test_lines", lambda x: x["raw"])
     starts = F.filter("test_lines", lambda x: x["s"].startswith("def test_"))
     return F.transform(starts, lambda x: F.struct(
-        x["n"].alias("n"), x["s"].alias("head"), F.array_join(F.slice(raw, x["n"], F.lit(width)), "\n").alias("body")))
+        x["n"].alias("n"), x["s"].alias("head"), F.array_join(F.slice("raw_lines", x["n"], F.lit(width)), "\n").alias("body")))
 
 
 def window_issues(width: int = 50) -> Column:
@@ -160,7 +161,6 @@ def test_blocks() -> Column:
         (F.length(x["raw"]) - F.length(F.ltrim(x["raw"], F.lit(text.PY_SPACE)))).alias("indent"),
         (F.length(x["raw"]) - F.length(F.ltrim(x["raw"]))).alias("spaces"),
         x["s"].startswith("def test_").alias("is_test")))
-    raw = F.transform("test_lines", lambda x: x["raw"])
     size = F.size("test_lines")
 
     def blocks(lines):
@@ -174,7 +174,7 @@ def test_blocks() -> Column:
                 x["n"].alias("n"), x["s"].alias("head"), nxt.alias("next"), (x["is_test"] & (x["indent"] == d)).alias("keep")))
             return F.transform(F.filter(paired, lambda p: p["keep"]), lambda p: F.struct(
                 p["n"].alias("n"), p["head"].alias("head"),
-                F.array_join(F.slice(raw, p["n"], p["next"] - p["n"]), "\n").alias("body")))
+                F.array_join(F.slice("raw_lines", p["n"], p["next"] - p["n"]), "\n").alias("body")))
 
         return F.flatten(F.transform(depths, at))
 
@@ -237,7 +237,7 @@ def issue_counts(found: DataFrame, categories: Sequence[str] = tuple(CATEGORIES)
         F.grouping("severity").alias("by_category"), F.count("*").alias("n"))
     rows = grouped.select(F.when(F.col("by_category") == 1, "category").otherwise("severity").alias("grouping"),
                           F.coalesce("category", "severity").alias("name"), "n")
-    zeros = found.sparkSession.createDataFrame([("category", c, 0) for c in categories], "grouping string, name string, n long").coalesce(1)
+    zeros = constant_table(found.sparkSession, [("category", c, 0) for c in categories], "grouping string, name string, n long")
     return rows.unionByName(zeros).groupBy("grouping", "name").agg(F.sum("n").alias("n"))
 
 

@@ -23,11 +23,9 @@ def task_state(events: DataFrame) -> DataFrame:
     """
     result = F.col("kind") == "result"
     criterion = F.col("kind") == "criterion"
-    slots = F.array_compact(F.array(
-        F.when(result, F.concat(F.lit("group:"), F.col("test_group"))),
-        F.when(result, F.concat(F.lit("criterion:"), F.col("test_group"), F.lit("_tests_all_passed"))),
-        F.when(criterion, F.concat(F.lit("criterion:"), F.col("criterion"))),
-        F.when(~result & ~criterion, F.col("kind"))))
+    slots = F.when(result, F.array(F.concat(F.lit("group:"), F.col("test_group")),
+                                   F.concat(F.lit("criterion:"), F.col("test_group"), F.lit("_tests_all_passed")))).when(
+        criterion, F.array(F.concat(F.lit("criterion:"), F.col("criterion")))).otherwise(F.array("kind"))
     met = F.when(result, F.col("failed") == 0).otherwise(F.col("met"))
     verdict = F.when(criterion & F.col("requires_review"), "review").when(met, "met").otherwise("not_met")
     rows = events.select(
@@ -192,11 +190,14 @@ def qa_summary(results: DataFrame, tiers: tuple[int, ...] = (1, 2, 3)) -> DataFr
     def entry(section, name, value):
         return F.struct(F.lit(section).alias("section"), name.alias("name"), value.cast("long").alias("value"))
 
-    rows = F.array_compact(F.array(
-        F.when(F.col("task") == "T2", entry("total", F.lit("patterns_detected"), F.col("patterns_detected"))),
-        F.when(F.col("task") == "T3", entry("total", F.lit("files_changed"), F.col("files_changed"))),
-        entry("task", F.concat_ws(":", "task", "status"), F.lit(1))))
-    counts = results.select(F.inline(rows)).groupBy("section", "name").agg(F.sum("value").alias("value"))
+    # one narrow aggregate over the results; the report rows come from its few groups
+    groups = results.groupBy("task", "status").agg(
+        F.count("*").alias("n"), F.sum("patterns_detected").alias("patterns"), F.sum("files_changed").alias("files"))
+    rows = F.filter(F.array(
+        F.when(F.col("task") == "T2", entry("total", F.lit("patterns_detected"), F.col("patterns"))),
+        F.when(F.col("task") == "T3", entry("total", F.lit("files_changed"), F.col("files"))),
+        entry("task", F.concat_ws(":", "task", "status"), F.col("n"))), lambda r: r.isNotNull())
+    counts = groups.select(F.inline(rows)).groupBy("section", "name").agg(F.sum("value").alias("value"))
     pairs = results.filter(F.col("tier").isin(*tiers)).select("repo", "tier").distinct()
     per_tier = pairs.agg(*[F.count_if(F.col("tier") == t).alias(str(t)) for t in tiers]).select(F.inline(F.array(*[
         F.struct(F.lit("tier").alias("section"), F.lit(str(t)).alias("name"), F.col(str(t)).alias("value")) for t in tiers])))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from transmuta.functions.constants import constant_table
 from transmuta.functions.facts import with_facts
 from transmuta.functions.joins import lookup_join
 
@@ -17,7 +18,7 @@ _ISSUE = ("array<struct<level:string, line_no:int, col_no:int, error_type:string
 
 def builtin_or_known(spark: SparkSession, known: DataFrame) -> DataFrame:
     """Interpreter built-ins and the known-modules table, each module once."""
-    builtin = spark.createDataFrame([(m,) for m in sys.builtin_module_names], "module string").coalesce(1)
+    builtin = constant_table(spark, [(m,) for m in sys.builtin_module_names], "module string")
     return builtin.union(known.select("module")).distinct()
 
 

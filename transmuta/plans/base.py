@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from transmuta.functions.constants import constant_table
 from transmuta.sources import derived
 from transmuta.sources.catalog import rule_set
 
@@ -69,7 +70,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(m,) for m in KNOWN_MODULES], "module string").coalesce(1)
+    return constant_table(spark, [(m,) for m in KNOWN_MODULES], "module string")
 
 
 CTES["files"] = derived.FILES_SQL.format(extra="doc_id, ")

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from transmuta import schemas
+from transmuta.functions.constants import constant_table
 from transmuta.functions.pyre import jvm_pattern, jvm_replacement, required_literal
 
 # --- fixed values: guides by framework (framework, url, samples_url, title) ---------------------------------
@@ -250,7 +251,7 @@ class RuleSet:
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(r.rule_ord, r.key, r.id, r.pattern, r.replacement, r.confidence, r.type, r.framework, r.description,
                  r.source, r.guide_url) for r in self.rules]
-        return spark.createDataFrame(rows, schemas.RULES).coalesce(1)
+        return constant_table(spark, rows, schemas.RULES)
 
     def by_key(self, key: str) -> Rule | None:
         return next((r for r in self.rules if r.key == key), None)
@@ -306,29 +307,29 @@ def rule_set(include_mapping_rule: bool = True) -> RuleSet:
 
 
 def guides(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(GUIDES, "framework string, url string, samples_url string, title string").coalesce(1)
+    return constant_table(spark, GUIDES, "framework string, url string, samples_url string, title string")
 
 
 def mappings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        MAPPINGS, "framework string, mapping string, from_name string, to_name string, notes string").coalesce(1)
+    return constant_table(
+        spark, MAPPINGS, "framework string, mapping string, from_name string, to_name string, notes string")
 
 
 def best_practices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(BEST_PRACTICES, 1)), "ord int, practice string").coalesce(1)
+    return constant_table(spark, enumerate(BEST_PRACTICES, 1), "ord int, practice string")
 
 
 def reference_urls(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REFERENCE_URLS, "name string, url string").coalesce(1)
+    return constant_table(spark, REFERENCE_URLS, "name string, url string")
 
 
 def repositories(spark: SparkSession, priority: str | None = None) -> DataFrame:
     """Validation repositories, optionally of one priority."""
     rows = [(i, name, f"{_REPO_HOST}{name}.git", kind, "python", tier, text, prio)
             for i, (name, kind, tier, text, prio) in enumerate(REPO_VALUES)]
-    table = spark.createDataFrame(
-        rows, "repo_ord int, name string, url string, type string, language string, tier int, description string, "
-              "priority string").coalesce(1)
+    table = constant_table(
+        spark, rows, "repo_ord int, name string, url string, type string, language string, tier int, description string, "
+                     "priority string")
     return table if priority is None else table.filter(F.col("priority") == priority)
 
 

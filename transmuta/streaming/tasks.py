@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from transmuta.functions.materialize import ensure_checkpoint_dir
+from transmuta.functions.materialize import shared_folder
 from transmuta.operators.tracker import task_outcome, task_state
 
 EVENT_COLUMNS = "event_id long, ts timestamp, task_id string, kind string, test_group string, passed long, failed long, " \
@@ -60,7 +62,4 @@ def windowed_activity(events: DataFrame, delay: str = "10 minutes", width: str =
 
 def stream_folder(spark: SparkSession) -> str:
     """A fresh folder for one stream run below the shared checkpoint folder."""
-    import uuid
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
