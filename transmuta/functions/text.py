@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from transmuta.functions.arrays import once
+
 # characters at which Python's str.splitlines ends a line, besides \n and \r\n
 _LINE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 # characters Python's str.strip removes
@@ -52,12 +54,18 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(PY_SPACE))
 
 
-def mixed_indentation(content: Column, first_n: int = 100) -> Column:
+def mixed_lines(lines_col: Column, first_n: int = 100) -> Column:
     """A tab anywhere and a leading space somewhere within the first n lines."""
-    head = F.slice(splitlines(content), 1, first_n)
+    head = F.slice(lines_col, 1, first_n)
     return F.exists(head, lambda s: s.contains("\t")) & F.exists(head, lambda s: s.startswith(" "))
 
 
+def with_line_shape(files: DataFrame) -> DataFrame:
+    """Add `n_lines` and `is_mixed` (tabs and spaces), splitting each text once."""
+    split = once(files, _lines=splitlines(F.col("content")))
+    return once(split, n_lines=F.size("_lines").cast("long"), is_mixed=mixed_lines(F.col("_lines"))).drop("_lines")
+
+
 def decode_with_fallback(raw: Column) -> Column:
     """UTF-8 text, or the latin-1 reading of bytes that are not UTF-8."""
     return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))

@@ -80,11 +80,10 @@ def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str]
     """Per-file measurements without the content. NULL content means the bytes were not UTF-8."""
     rel = text.relative(F.col("repo"), F.col("path"))
     p = text.parts(rel)
-    measured = files.withColumns({
+    measured = once(text.with_line_shape(files), is_comment_only=comment_only_mentions(F.col("content"))).withColumns({
         "rel": rel,
         "is_py": F.col("path").endswith(".py"),
         "skipped": text.any_part(rel, skip),
-        "n_lines": text.line_count(F.col("content")),
     })
     measured = with_facts(measured, F.col("is_py") & ~F.col("skipped") & _can_exceed(limits))
     seen = F.col("is_py") & ~F.col("skipped")
@@ -102,12 +101,12 @@ def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str]
         flag((name == "__init__.py") & (text.strip(F.col("content")) == "") & (F.size(text.parts(F.col("path"))) > limits.min_parts)
              ).alias("is_namespace"),
         flag(seen & (F.col("n_lines") > limits.max_lines)).alias("large_files"),
-        flag(seen & text.mixed_indentation(F.col("content"))).alias("mixed_indentation"),
+        flag(seen & F.col("is_mixed")).alias("mixed_indentation"),
         flag(seen & F.col("content").isNull()).alias("encoding_issues"),
         flag(seen & (F.col("facts.max_func_lines") > limits.max_func_lines)).alias("large_functions"),
         flag(seen & (F.col("facts.max_nesting") > limits.max_nesting)).alias("deep_nesting"),
         flag(~F.col("skipped") & text.suffix(F.col("path")).isin(".pyi", ".pyw")).alias("unusual_file_types"),
-        flag(seen & comment_only_mentions(F.col("content"))).alias("patterns_in_comments"))
+        flag(seen & F.col("is_comment_only")).alias("patterns_in_comments"))
 
 
 CODE_TYPES = ("large_files", "mixed_indentation", "encoding_issues", "large_functions", "deep_nesting")
@@ -218,13 +217,13 @@ def outlier_report(type_counts: DataFrame) -> DataFrame:
 
 
 def file_reasons(limits: Limits = Limits()) -> Column:
-    """Reasons why one file is unusual, from its content and `facts` column; empty when it is not."""
-    n = text.line_count(F.col("content"))
+    """Reasons why one file is unusual, from its content, line shape and `facts` column; empty when it is not."""
+    n = F.col("n_lines")
     facts = F.col("facts")
     depth = facts["max_nesting"]
     reasons = F.array_compact(F.array(
         F.when(n > limits.max_lines, F.concat(F.lit("Very large file ("), n, F.lit(" lines)"))),
-        F.when(text.mixed_indentation(F.col("content")), F.lit("Mixed indentation (tabs and spaces)")),
+        F.when(F.col("is_mixed"), F.lit("Mixed indentation (tabs and spaces)")),
         F.when(depth > limits.max_nesting, F.concat(F.lit("Deep nesting ("), depth, F.lit(" levels)"))),
         F.when(facts["err_type"] == "SyntaxError", F.lit("Syntax errors detected"))))
     return F.when(F.col("content").isNull(), F.array(F.lit("Cannot analyze file: content is not valid UTF-8"))).otherwise(reasons)
@@ -232,7 +231,7 @@ def file_reasons(limits: Limits = Limits()) -> Column:
 
 def file_outlier_reasons(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Unusual files with their reasons."""
-    found = once(with_facts(files), reasons=file_reasons(limits))
+    found = once(with_facts(text.with_line_shape(files)), reasons=file_reasons(limits))
     return found.filter(F.size("reasons") > 0).select("repo", "path", "reasons")
 
 

@@ -63,8 +63,9 @@ def migrate(files: DataFrame, rules: RuleSet, mode: str = "auto", outlier_mode:
         from transmuta.functions.facts import with_facts
         from transmuta.operators.outliers import Limits, file_reasons
 
-        found = detect.with_detections(with_facts(files), parsed=True)
-        found = once(found, _reasons=file_reasons(limits or Limits())).filter(F.size("_reasons") == 0).drop("_reasons")
+        found = detect.with_detections(with_facts(text.with_line_shape(files)), parsed=True)
+        found = once(found, _reasons=file_reasons(limits or Limits())).filter(F.size("_reasons") == 0)
+        found = found.drop("_reasons", "n_lines", "is_mixed")
     return rewrite(found, rules, mode, per_match)
 
 

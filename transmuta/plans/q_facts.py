@@ -91,7 +91,7 @@ FROM line_arrays"""
 
 @query("mixed_indentation", "SELECT repo, path, is_mixed FROM mixed")
 def _(spark, sf):
-    return corpus(spark, sf).select("repo", "path", text.mixed_indentation(F.col("content")).alias("is_mixed"))
+    return text.with_line_shape(corpus(spark, sf)).select("repo", "path", "is_mixed")
 
 
 @query("structure_stats", "SELECT repo, path, CAST(max_func_lines AS INTEGER) AS max_func_lines, CAST(max_nesting AS INTEGER) AS max_nesting FROM file_facts")
