@@ -3,28 +3,27 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transmuta import schemas
 
-_STORE = schemas.DECISIONS + ", write_id long"
-
 
 def decision_state(writes: DataFrame) -> DataFrame:
     """Latest decision per rule; notes and minimum confidence keep their last given value.
 
     Keyed aggregates only: a rule that owns most of the writes is combined map-side before the shuffle.
     """
-    order = F.struct("last_updated", "write_id")
+    return _state(writes, F.struct("last_updated", "write_id"))
+
 
+def _state(writes: DataFrame, order: Column) -> DataFrame:
     def last_given(c):
         given = F.col(c).isNotNull() & (F.col(c) != "")
         return F.max_by(F.when(given, F.col(c)), F.when(given, order)).alias(c)
 
     return writes.groupBy("pattern_id").agg(
         F.max_by("decision", order).alias("decision"), last_given("notes"), last_given("min_confidence"),
-        F.max(order).alias("_at"), F.count("*").alias("n_writes"),
-    ).select("pattern_id", "decision", "notes", "min_confidence", F.col("_at.last_updated").alias("last_updated"), "n_writes")
+        F.max_by("last_updated", order).alias("last_updated"), F.count("*").alias("n_writes"))
 
 
 def latest_decision(writes: DataFrame) -> DataFrame:
@@ -36,9 +35,10 @@ def latest_decision(writes: DataFrame) -> DataFrame:
 
 def upsert(store: DataFrame, writes: DataFrame) -> DataFrame:
     """Apply writes on top of a stored state (which comes before every write)."""
-    old = store.select("pattern_id", "decision", "notes", "min_confidence", "last_updated", F.lit(-1).cast("long").alias("write_id"))
-    new = writes.select("pattern_id", "decision", "notes", "min_confidence", "last_updated", "write_id")
-    return decision_state(old.unionByName(new)).drop("n_writes")
+    fields = ("pattern_id", "decision", "notes", "min_confidence", "last_updated")
+    old = store.select(*fields, F.lit(0).cast("long").alias("write_id"), F.lit(0).alias("round"))
+    new = writes.select(*fields, "write_id", F.lit(1).alias("round"))
+    return _state(old.unionByName(new), F.struct("round", "last_updated", "write_id")).drop("n_writes")
 
 
 def empty_store(spark: SparkSession) -> DataFrame:
