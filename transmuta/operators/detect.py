@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
 from transmuta.functions.arrays import elements
+from transmuta.functions.constants import built_once
 from transmuta.functions.facts import names_regex, with_facts
 from transmuta.functions.pyre import jvm_pattern
 from transmuta.operators.resolve import matches, rule_array
@@ -42,7 +43,8 @@ def class_uses(classes: Column, names: Sequence[str] = CLASS_NAMES) -> Column:
     return F.filter(rows, lambda r: r["class"].isin(list(names)))
 
 
-def detection_array(prefixes: Sequence[str] = PREFIXES, names: Sequence[str] = CLASS_NAMES) -> Column:
+@built_once
+def detection_array(prefixes: tuple[str, ...] = PREFIXES, names: tuple[str, ...] = CLASS_NAMES) -> Column:
     """All uses in one file in walk order, as an array of detection structs built from the `facts` column."""
     facts = F.col("facts")
     ordered = F.array_sort(F.concat(import_uses(facts["from_imports"], prefixes), class_uses(facts["classes"], names)))
@@ -62,8 +64,9 @@ def with_detections(files: DataFrame, prefixes: Sequence[str] = PREFIXES, names:
                     parsed: bool = False) -> DataFrame:
     """Files plus a `detections` array; files that do not parse have none. `parsed` reuses an existing `facts` column."""
     found = files if parsed else with_facts(files, may_use(prefixes, names))
-    rows = F.when(F.col("path").endswith(".py"), detection_array(prefixes, names)).otherwise(
-        F.array().cast(f"array<{schemas.DETECTION}>")) if parsed else detection_array(prefixes, names)
+    rows = detection_array(tuple(prefixes), tuple(names))
+    if parsed:
+        rows = F.when(F.col("path").endswith(".py"), rows).otherwise(F.array().cast(f"array<{schemas.DETECTION}>"))
     return found.withColumn("detections", rows)
 
 

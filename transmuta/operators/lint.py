@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transmuta.functions import text
 from transmuta.functions.arrays import once
-from transmuta.functions.constants import constant_table
+from transmuta.functions.constants import built_once, constant_table
 from transmuta.functions.facts import with_facts
-from transmuta.functions.joins import salted_join
+from transmuta.functions.materialize import cut
 from transmuta.functions.pyre import jvm_pattern
 from transmuta.sources.corpus import name_matches
 
@@ -91,6 +91,7 @@ def _code_lines() -> Column:
     return F.filter("test_lines", lambda x: x["s"].contains("assert") & ~x["s"].startswith("#"))
 
 
+@built_once
 def weak_issues() -> Column:
     """One issue per line and weak pattern."""
     return F.flatten(F.transform(_code_lines(), lambda x: F.array_compact(F.array(*[
@@ -98,6 +99,7 @@ def weak_issues() -> Column:
         for p, d in WEAK_PATTERNS])))).cast(_ISSUE)
 
 
+@built_once
 def weak_fix_issues() -> Column:
     """One issue per line and fixable pattern, with the fix built from the match's first group."""
     return F.flatten(F.transform(_code_lines(), lambda x: F.array_compact(F.array(*[
@@ -108,6 +110,7 @@ def weak_fix_issues() -> Column:
         for p, fix, why in WEAK_FIXES])))).cast(_ISSUE)
 
 
+@built_once
 def missing_message_issues() -> Column:
     """Assertions without a message that are more than a bare name."""
     bare = jvm_pattern(r"assert\s+\w+\s*$")
@@ -117,6 +120,7 @@ def missing_message_issues() -> Column:
         F.concat(x["s"], F.lit(', "Add descriptive error message"')), "Error messages help diagnose test failures quickly")).cast(_ISSUE)
 
 
+@built_once
 def real_world_issues() -> Column:
     """End-to-end and integration files that never touch a real project."""
     e2e, integration = F.col("path").contains("e2e"), F.col("path").contains("integration")
@@ -135,6 +139,7 @@ def test_windows(width: int = 50) -> Column:
         x["n"].alias("n"), x["s"].alias("head"), F.array_join(F.slice("raw_lines", x["n"], F.lit(width)), "\n").alias("body")))
 
 
+@built_once
 def window_issues(width: int = 50) -> Column:
     """Tests whose following lines assert something but check no outcome."""
     def unchecked(w):
@@ -148,6 +153,7 @@ def window_issues(width: int = 50) -> Column:
         F.concat(F.lit("Test "), w["head"], F.lit(" may not verify actual outcomes")), w["head"])).cast(_ISSUE)
 
 
+@built_once
 def test_blocks() -> Column:
     """(n, head, body) of every test function, its body ending before the first line indented no deeper than it.
 
@@ -181,6 +187,7 @@ def test_blocks() -> Column:
     return F.flatten(F.transform(F.array(shaped), blocks))
 
 
+@built_once
 def block_issues() -> Column:
     """Test functions that assert something but mention no outcome."""
     hits = F.filter(test_blocks(), lambda b: b["body"].contains("assert") & ~contains_any(F.lower(b["body"]), OUTCOME_WORDS))
@@ -190,6 +197,7 @@ def block_issues() -> Column:
         "Tests must verify functionality works, not just that code runs")).cast(_ISSUE)
 
 
+@built_once
 def empty_test_issues() -> Column:
     """Test functions whose body is a single pass."""
     empty = F.filter(F.col("facts")["functions"], lambda f: f["only_pass"] & ~f["is_async"] & f["name"].startswith("test_"))
@@ -244,9 +252,10 @@ def topk_issues(found: DataFrame, limits: dict[str, int], by: Sequence[str] = ("
     """The first k issues of each group in path and line order, with the number left out.
 
     `row_number() <= k` keeps k rows per group in every map task before the shuffle; the group sizes come from a
-    separate partial aggregate, so no group is ever gathered whole.
+    separate partial aggregate, so no group is ever gathered whole. Both read the issues from one written table.
     """
     widest = max(limits.values())
+    found = cut(found)
     w = Window.partitionBy(*by).orderBy("repo", "path", "line_no", "description", "current_code")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= widest)
     k = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("severity")]

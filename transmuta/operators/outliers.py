@@ -11,7 +11,7 @@ from transmuta.functions import text
 from transmuta.functions.arrays import elements, once
 from transmuta.functions.facts import with_facts
 from transmuta.functions.materialize import cut
-from transmuta.functions.pyre import search
+from transmuta.functions.pyre import jvm_pattern
 from transmuta.sources.corpus import SKIP_DIRS, first_n_files
 
 
@@ -61,13 +61,10 @@ MENTIONS = (r"semantic[_\s]*kernel", r"autogen")
 
 def comment_only_mentions(content: Column) -> Column:
     """A name occurs after '#' somewhere and is nowhere imported."""
-    def any_of(template):
-        hit = F.lit(False)
-        for name in MENTIONS:
-            hit = hit | search(content, template.format(n=name), ignore_case=True)
-        return hit
-
-    return content.contains("#") & any_of("#.*{n}") & ~any_of(r"from\s+{n}|import\s+{n}")
+    names = "|".join(MENTIONS)
+    mentioned = content.rlike(jvm_pattern(f"#.*(?:{names})", ignore_case=True))
+    imported = content.rlike(jvm_pattern(rf"(?:from|import)\s+(?:{names})", ignore_case=True))
+    return content.contains("#") & mentioned & ~imported
 
 
 def _can_exceed(limits: Limits) -> Column:

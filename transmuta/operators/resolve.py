@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
 from transmuta.functions.arrays import elements
-from transmuta.functions.constants import constant_rows
+from transmuta.functions.constants import built_once, constant_rows
 from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
 RULE_STRUCT = ("struct<rule_ord:int, key:string, id:string, pattern:string, replacement:string, confidence:string, type:string, "
                "framework:string, source:string, literal:string, named:boolean>")
 
 
+@built_once
 def rule_array(rules: RuleSet) -> Column:
     """The rule table as one array constant in JVM regex syntax."""
     return constant_rows(({
@@ -51,6 +52,7 @@ def routed_key(module: Column) -> Column:
     return F.when(module.startswith("semantic_kernel"), kernel).when(module.startswith("autogen"), chat)
 
 
+@built_once
 def resolved_array(rules: RuleSet, detections: str = "detections", content: str = "content") -> Column:
     """detections -> array of struct(detection, rule, method); unresolved ones keep a NULL rule."""
     entries = rule_array(rules)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions import text
 from transmuta.functions.arrays import elements, once
+from transmuta.functions.constants import built_once
 from transmuta.functions.pyre import jvm_pattern, jvm_replacement
 from transmuta.operators import detect, resolve
 from transmuta.sources.catalog import RuleSet
@@ -40,6 +41,11 @@ def fold(content: Column, to_apply: Column) -> Column:
     return F.aggregate(to_apply, start, step)
 
 
+@built_once
+def _folded(mode: str) -> Column:
+    return fold(F.col("content"), gated(F.col("resolved"), mode))
+
+
 def rewrite(files: DataFrame, rules: RuleSet, mode: str = "auto", per_match: bool = False, resolved: bool = False) -> DataFrame:
     """files(detections) -> files + new_content, applied, changed. One narrow pass, no shuffle.
 
@@ -47,7 +53,7 @@ def rewrite(files: DataFrame, rules: RuleSet, mode: str = "auto", per_match: boo
     """
     rules = rules.per_match() if per_match else rules
     ready = files if resolved else resolve.with_resolved(files, rules)
-    out = once(ready, _fold=fold(F.col("content"), gated(F.col("resolved"), mode)))
+    out = once(ready, _fold=_folded(mode))
     return out.withColumns({
         "new_content": F.col("_fold.content"),
         "applied": F.col("_fold.applied"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from transmuta.functions.constants import constant_table
+from transmuta.functions.constants import built_once, constant_table
 from transmuta.functions.facts import with_facts
 from transmuta.functions.joins import lookup_join
 
@@ -31,6 +31,7 @@ def imported_modules() -> Column:
     return F.filter(F.concat(plain, frm), lambda m: ~m["module"].startswith("."))
 
 
+@built_once
 def issue_candidates() -> Column:
     """Issues of one file; import rows carry the module to look up and are issues only if it is unknown."""
     facts = F.col("facts")
