@@ -198,6 +198,25 @@ def test_rule_table_limit(spark, monkeypatch):
     monkeypatch.setattr(RuleSet, "LIMIT", 10)
     with pytest.raises(ValueError):
         RuleSet.from_table(table)
+    assert [len(part) for part in RuleSet.parts(table)] == [10, 10, 10, 6]
+
+
+def test_rule_table_in_parts_equals_one_scan(spark, make_files, monkeypatch):
+    files = make_files({f"{i}.py": s for i, s in enumerate(SNIPPETS.values())})
+    monkeypatch.setattr(RuleSet, "LIMIT", 7)
+    parts = detect.scan_rule_table(files, RULES.table(spark))
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, detect.regex_rule_scan(files, RULES).select(parts.columns).collect()))
+
+
+def test_detections_of_missing_files_stay(spark, make_files):
+    files = make_files({"a.py": "class A(KernelAgent): pass\nfrom autogen import x"})
+    rows = resolve.resolve_rule(detect.discover(files), files.limit(0), RULES).collect()
+    assert {(r["id"], r["rule_id"]) for r in rows} == {("CLASS_KernelAgent", None), ("IMPORT_AUTOGEN", "AUTOGEN_IMPORT_CONVERSABLE")}
+
+
+def test_changed_files_can_be_written(spark, make_files, tmp_path):
+    rewrite.write_changed(rewrite.migrate(make_files({"a.py": "from autogen import ConversableAgent", "b.py": "x"}), RULES), str(tmp_path / "o"), "/out")
+    assert [(r["repo"], r["target_path"]) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("p", "/out/p/a.py")]
 
 
 def test_decision_gate_order(spark):

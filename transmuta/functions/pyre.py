@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
-
 _CLASS_ESCAPES = re.compile(r"\\[wWdDsSbB]")
 _NAMED_GROUP = re.compile(r"\(\?P<")
 _NAMED_BACKREF = re.compile(r"\(\?P=(\w+)\)")
@@ -85,10 +83,3 @@ def required_literal(pattern: str) -> str:
         i += 1
     runs.append(current)
     return max(runs, key=len)
-
-
-def search(col: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """Python `re.search(pattern, col) is not None`, with the cheap literal test in front when one exists."""
-    literal = "" if ignore_case else required_literal(pattern)
-    hit = col.rlike(jvm_pattern(pattern, ignore_case))
-    return (col.contains(literal) & hit) if len(literal) >= 3 else hit

@@ -107,6 +107,12 @@ def regex_rule_scan(files: DataFrame, rules: RuleSet, text_col: str = "content",
     return files.select(*keys, F.inline(matching_rules(F.col(text_col), rules)))
 
 
+def scan_rule_table(files: DataFrame, rules: DataFrame, text_col: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
+    """`regex_rule_scan` for a rule table of any length: one scan per part of the table, together all of it."""
+    scans = [regex_rule_scan(files, part, text_col, keys) for part in RuleSet.parts(rules)]
+    return reduce(DataFrame.unionByName, scans) if scans else regex_rule_scan(files, RuleSet(), text_col, keys)
+
+
 def match_counts(files: DataFrame, pattern: str, text_col: str = "content") -> DataFrame:
     """Number of matches of a regex per file."""
     n = F.regexp_count(F.col(text_col), F.lit(jvm_pattern(pattern)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from transmuta.functions import text
 from transmuta.functions.arrays import elements, once
 from transmuta.functions.facts import with_facts
+from transmuta.functions.joins import salted_join
 from transmuta.functions.materialize import cut
 from transmuta.functions.pyre import jvm_pattern
 from transmuta.sources.corpus import SKIP_DIRS, first_n_files
@@ -250,7 +251,8 @@ def suffix_match(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Files whose path equals or ends with a listed relative path of the same project.
 
     A path is compared by its last L characters for every length L that occurs in the list, so the theta condition
-    becomes an equi-join on (repo, ending). Lengths are bounded by the longest path.
+    becomes an equi-join on (repo, ending), salted because a short ending may fit most paths. Lengths are bounded by
+    the longest path.
     """
     lengths = listed.agg(F.array_sort(F.collect_set(F.length("rel"))).alias("l")).first()["l"] or []
     if not lengths:
@@ -258,4 +260,5 @@ def suffix_match(files: DataFrame, listed: DataFrame) -> DataFrame:
     endings = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.length("path") >= n, F.right("path", F.lit(n))) for n in lengths])))
     keyed = files.select("repo", "path", F.explode(endings).alias("rel"))
-    return keyed.join(listed.select("repo", "rel").distinct(), ["repo", "rel"]).select("repo", "path", "rel")
+    matched = salted_join(keyed, listed.select("repo", "rel").distinct(), ["repo", "rel"], "inner", spread_by=["path"])
+    return matched.select("repo", "path", "rel")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
-from transmuta.functions.arrays import elements
+from transmuta.functions.arrays import elements, once
 from transmuta.functions.constants import built_once, constant_rows
 from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
@@ -83,18 +83,39 @@ def explode_resolved(files: DataFrame) -> DataFrame:
         F.col("x.rule.confidence").alias("rule_confidence"), "x.method")
 
 
+_FIELDS = ("det_seq", "id", "type", "module", "class", "confidence", "source", "line")
+
+
+def _per_file(detections: DataFrame) -> DataFrame:
+    """One row per file with its detections in order. A file is one row of the corpus, so its list is bounded by it."""
+    return detections.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("detections"))
+
+
 def attach_detections(files: DataFrame, detections: DataFrame) -> DataFrame:
     """Bring a detection table (such as a saved report) back to its files: the array per file is built first,
     so the join has one narrow row per file on one side."""
-    per_file = detections.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct(
-        "det_seq", "id", "type", "module", "class", "confidence", "source", "line"))).alias("detections"))
-    joined = files.join(per_file, ["repo", "path"], "left")
+    joined = files.join(_per_file(detections), ["repo", "path"], "left")
     return joined.withColumn("detections", F.coalesce("detections", F.array().cast(f"array<{schemas.DETECTION}>")))
 
 
 def resolve_rule(detections: DataFrame, files: DataFrame, rules: RuleSet) -> DataFrame:
-    """Table form: detection columns plus rule_ord, rule_id, rule_confidence and method."""
-    return explode_resolved(with_resolved(attach_detections(files, detections), rules))
+    """Table form: detection columns plus rule_ord, rule_id, rule_confidence and method.
+
+    Ids and modules are resolved without touching any content. Only what is left, grouped per file, is joined with
+    its file and searched; a detection whose file is missing stays unresolved.
+    """
+    entries = rule_array(rules)
+    by_id, by_module = first_with(entries, "id", F.col("id")), first_with(entries, "key", routed_key(F.col("module")))
+    named = once(detections, _rule=F.struct(F.coalesce(by_id, by_module).alias("rule")))
+    rule = F.col("_rule.rule")
+    direct = named.filter(rule.isNotNull()).select(
+        "repo", "path", *_FIELDS, rule["rule_ord"].alias("rule_ord"), rule["id"].alias("rule_id"), rule["confidence"].alias("rule_confidence"),
+        F.when(rule["id"] == F.col("id"), "id").otherwise("module").alias("method"))
+    rest = named.filter(rule.isNull()).select("repo", "path", *_FIELDS)
+    found = files.select("repo", "path", "content").join(_per_file(rest), ["repo", "path"])
+    searched = explode_resolved(with_resolved(found, rules))
+    missing = rest.join(files.select("repo", "path"), ["repo", "path"], "left_anti")
+    return direct.unionByName(searched).unionByName(missing, allowMissingColumns=True)
 
 
 def first_matching_rule(files: DataFrame, rules: RuleSet) -> DataFrame:

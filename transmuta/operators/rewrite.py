@@ -93,9 +93,9 @@ def changed_files(rewritten: DataFrame, output_dir: str | None = None) -> DataFr
 
 
 def write_changed(rewritten: DataFrame, out: str, output_dir: str | None = None) -> None:
-    """Write changed files as Parquet partitioned by project. The rows are not shuffled."""
+    """Write changed files as Parquet partitioned by project; only they are shuffled, balanced by size per project."""
     (changed_files(rewritten, output_dir).select("repo", "path", "target_path", F.col("new_content").alias("content"))
-     .write.mode("overwrite").option("maxRecordsPerFile", 100_000).partitionBy("repo").parquet(out))
+     .hint("rebalance", F.col("repo")).write.mode("overwrite").partitionBy("repo").parquet(out))
 
 
 def split_failures(files: DataFrame, policy: str = "continue") -> tuple[DataFrame, DataFrame]:

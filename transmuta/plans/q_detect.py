@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from transmuta.functions.facts import with_facts
+from transmuta.functions.materialize import cut
 from transmuta.operators import decisions, detect, diff, mapping, outliers, reports, resolve, rewrite, validate
 from transmuta.plans.base import CTES, RULES, corpus, known, query
 from transmuta.plans.q_sources import decision_writes
@@ -72,7 +72,8 @@ def _(spark, sf):
 SELECT repo, path, det_seq, id, type, CAST(rule_ord AS INTEGER) AS rule_ord, rule_id, rule_confidence, method FROM resolved_report""")
 def _(spark, sf):
     files = corpus(spark, sf)
-    rows = resolve.resolve_rule(detect.rule_detections(files, RULES), files, RULES)
+    # the detection table of a saved report: written once, then resolved
+    rows = resolve.resolve_rule(cut(detect.rule_detections(files, RULES)), files, RULES)
     return rows.select("repo", "path", "det_seq", "id", "type", "rule_ord", "rule_id", "rule_confidence", "method")
 
 

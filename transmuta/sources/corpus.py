@@ -133,10 +133,13 @@ def snapshot_manifest(files: DataFrame, exclude: Sequence[str] = COPY_EXCLUDES)
     return files.filter(~text.any_part(F.col("path"), list(exclude)) & ~text.suffix(F.col("path")).isin(suffixes))
 
 
-def write_snapshot(files: DataFrame, path: str, exclude: Sequence[str] = COPY_EXCLUDES, splits_per_repo: int = 8) -> None:
-    """Write the copy set partitioned by project; a project is spread over several tasks by a path hash."""
-    part = F.pmod(F.xxhash64("path"), F.lit(splits_per_repo))
-    snapshot_manifest(files, exclude).repartition("repo", part).write.mode("overwrite").partitionBy("repo").parquet(path)
+def write_snapshot(files: DataFrame, path: str, exclude: Sequence[str] = COPY_EXCLUDES) -> None:
+    """Write the copy set partitioned by project.
+
+    The rebalance hint lets adaptive execution split a large project over many tasks by size and pack small ones.
+    """
+    kept = snapshot_manifest(files, exclude).hint("rebalance", F.col("repo"))
+    kept.write.mode("overwrite").partitionBy("repo").parquet(path)
 
 
 def write_snapshot_table(files: DataFrame, table: str, buckets: int, exclude: Sequence[str] = COPY_EXCLUDES) -> None:
