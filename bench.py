@@ -1,6 +1,6 @@
 """Benchmark: wall-clock of the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Every query runs once to warm up and then BENCH_RUNS times (default 3); the median counts. BENCH_ALL=1 times every
+Every query runs once to warm up and then BENCH_RUNS times (default 2); the median counts. BENCH_ALL=1 times every
 registered query. The result of a query is computed in full and discarded.
 """
 
@@ -15,6 +15,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from transmuta import local_session
+from transmuta.operators import detect, outliers
 from transmuta.plans.registry import QUERIES
 
 HEADLINE = [
@@ -30,10 +31,32 @@ def run(spark, name: str, sf_dir: str) -> float:
     return time.perf_counter() - start
 
 
+def analysis_seconds(spark, tree: dict[str, str]) -> float:
+    """Detections and outlier verdict of one project given as {path: content}: the work the published ceilings bound."""
+    files = spark.createDataFrame([("p", f"p/{p}", c) for p, c in tree.items()], "repo string, path string, content string")
+    start = time.perf_counter()
+    detect.discover(files).write.format("noop").mode("overwrite").save()
+    outliers.outlier_report(outliers.outlier_type_counts(outliers.file_flags(files))).collect()
+    return round(time.perf_counter() - start, 3)
+
+
+def ceilings(spark) -> dict[str, dict[str, float]]:
+    """Our time for each published analysis ceiling, next to the ceiling in seconds."""
+    use = "from semantic_kernel import Kernel\n# comment {}\n"
+    cases = {
+        "100_files": ({f"f{i}.py": use.format(i) for i in range(100)}, 60),
+        "file_of_50000_lines": ({"big.py": "from semantic_kernel import Kernel\n" + "# line\n" * 50_000}, 120),
+        "50_levels_of_folders": ({"/".join(f"l{i}" for i in range(50)) + "/deep.py": use}, 60),
+        "200_files": ({f"f{i}.py": use.format(i) for i in range(200)}, 60),
+        "1_file": ({"a.py": use}, 5),
+    }
+    return {name: {"seconds": analysis_seconds(spark, tree), "ceiling": top} for name, (tree, top) in cases.items()}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = list(QUERIES) if os.environ.get("BENCH_ALL") else HEADLINE
     spark = local_session(cpus, "bench")
     files = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
@@ -41,9 +64,10 @@ def main() -> None:
     for name in names:
         run(spark, name, sf_dir)
         times[name] = round(statistics.median(run(spark, name, sf_dir) for _ in range(runs)), 4)
+    bounds = ceilings(spark)
     rates = {f"{n}_files_per_sec": round(files / times[n], 1) for n in ("code_facts", "regex_rule_scan", "rewrite", "migrate") if n in times}
     print(json.dumps({"metric": "total_wall_clock", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-                      "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "files": files, **rates}))
+                      "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "files": files, **rates, "analysis_ceilings": bounds}))
     spark.stop()
 
 
