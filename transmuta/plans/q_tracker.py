@@ -54,7 +54,8 @@ def _(spark, sf):
 def _(spark, sf):
     """The same outcomes reached by a stream over the events file."""
     schema = derived.table(spark, sf, "events").schema
-    raw = spark.readStream.format("parquet").schema(schema).option("pathGlobFilter", "events.parquet").load(sf)
+    # a glob, so that the table may be one file or a folder of files
+    raw = spark.readStream.format("parquet").schema(schema).load(f"{sf}/events.parquet*")
     events = spark.sql(derived.TASK_EVENTS_SQL.replace("FROM events", "FROM {events}"), events=raw)
     return _flat(stream.task_events_stream(events, stream.stream_folder(spark)))
 
