@@ -13,6 +13,7 @@ GROUPS = ("unit", "integration", "e2e", "validation")
 
 
 def _order() -> Column:
+    """Events are ordered by time, then by id."""
     return F.struct("ts", "event_id")
 
 
@@ -31,7 +32,7 @@ def task_state(events: DataFrame) -> DataFrame:
     rows = events.select(
         "task_id", "ts", "event_id", F.explode(slots).alias("slot"), F.col("passed").cast("long").alias("passed"),
         F.col("failed").cast("long").alias("failed"), verdict.alias("verdict"))
-    order = F.struct("ts", "event_id")
+    order = _order()
 
     def last(v):
         return F.max(F.when(F.col("verdict") == v, order))

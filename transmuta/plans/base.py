@@ -54,17 +54,16 @@ def text_lit(v) -> str:
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
+def _lit(v) -> str:
+    return str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else text_lit(v)
+
+
 def values(rows, cols: str) -> str:
     """Rows as a VALUES select with named columns."""
-    body = ", ".join("(" + ", ".join(v if isinstance(v, _Raw) else (str(v) if isinstance(v, (int, float)) and not isinstance(v, bool)
-                                      else ("TRUE" if v is True else "FALSE" if v is False else text_lit(v))) for v in r) + ")" for r in rows)
+    body = ", ".join("(" + ", ".join(map(_lit, r)) + ")" for r in rows)
     return f"SELECT * FROM (VALUES {body}) AS t({cols})"
 
 
-class _Raw(str):
-    pass
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.derived_corpus(spark, sf_dir)
 

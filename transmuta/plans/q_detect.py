@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transmuta.functions.materialize import cut
-from transmuta.operators import decisions, detect, diff, mapping, outliers, reports, resolve, rewrite, validate
+from transmuta.operators import decisions, detect, diff, outliers, reports, resolve, rewrite, validate
 from transmuta.plans.base import CTES, RULES, corpus, known, query
 from transmuta.plans.q_sources import decision_writes
 from transmuta.sources import derived, stores
