@@ -31,8 +31,14 @@ def splitlines(content: Column) -> Column:
     other = F.translate(F.replace(content, F.lit("\r\n"), F.lit("\n")), _LINE_BREAKS, "\n" * len(_LINE_BREAKS))
     # translate works character by character, so it runs only on texts that have such a break
     unified = F.when(content.rlike(f"[{_LINE_BREAKS}]"), other).otherwise(content)
-    body = F.when(unified.endswith("\n"), F.substring(unified, F.lit(1), F.length(unified) - 1)).otherwise(unified)
-    return F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+
+    def cut_up(u: Column) -> Column:
+        body = F.when(u.endswith("\n"), F.substring(u, F.lit(1), F.length(u) - 1)).otherwise(u)
+        return F.split(body, "\n", -1)
+
+    # the one-element transform binds the unified text, so that it is made once
+    split = F.get(F.transform(F.array(unified), cut_up), F.lit(0))
+    return F.when(content == "", F.array().cast("array<string>")).otherwise(split)
 
 
 def lines(files: DataFrame, convention: str = "splitlines", text_col: str = "content",
