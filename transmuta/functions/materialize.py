@@ -9,19 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one is chosen only where none is set (local runs)."""
+    """The folder the cluster names in spark.checkpoint.dir.
+
+    Executors of a cluster do not see each other's disks, so without that setting this is an error there; only a
+    single-process session (tests, benchmarks) chooses a folder of its own.
+    """
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="transmuta-checkpoint-"))
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="transmuta-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a narrow table once so that several branches can read it.
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table once so that several branches can read it.
 
     A written table survives lost executors, is read by column, and tells the planner its size.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Written(df, name).df
+
+
+class Written:
+    """A table written to the shared folder, to be dropped once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame, name: str = "table"):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
