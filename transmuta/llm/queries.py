@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import mixing
+from transmuta.llm import mixing, toxicity
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_pareto_mixing", sql=r"""
 WITH sized AS (
   SELECT doc_id, source IS NOT NULL AS named, coalesce(source, '') AS src,
