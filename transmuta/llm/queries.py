@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import mixing, toxicity
+from transmuta.llm import minhash, mixing, toxicity
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,8 @@ SELECT doc_id, size, source_size, target, CAST(whole AS BIGINT) + CAST(sampled A
 FROM marked""")
 def op7(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
