@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import minhash, mixing, toxicity
+from transmuta.llm import bpe, minhash, mixing, toxicity
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +28,11 @@ def op1(spark, sf_dir):
     return toxicity.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_byte_bpe")
+def op6(spark, sf_dir, ranks=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN):
+    return bpe.digests(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
 @query("op7_pareto_mixing", sql=r"""
 WITH sized AS (
   SELECT doc_id, source IS NOT NULL AS named, coalesce(source, '') AS src,
