@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import bpe, minhash, mixing, toxicity
+from transmuta.llm import bpe, minhash, mixing, repeats, toxicity
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op7(spark, sf_dir):
 @query("op9_minhash_near_dedup")
 def op9(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark, sf_dir):
+    return repeats.digests(table(spark, sf_dir, "documents"))
