@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import binary_codes, bpe, impact_index, minhash, mixing, repeats, toxicity
+from transmuta.llm import binary_codes, bpe, impact_index, minhash, mixing, repeats, toxicity, warc
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,11 @@ def op7(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+@query("op8_warc_dictionary")
+def op8(spark, sf_dir):
+    return warc.archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
 @query("op9_minhash_near_dedup")
 def op9(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
