@@ -6,20 +6,45 @@ stage as Parquet into the shared folder and rereads it as the next one's docs.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from transmuta.functions.materialize import Written
-from transmuta.llm import mixing
+from transmuta.llm import bpe, minhash, mixing, repeats, toxicity
 from transmuta.llm.tables import table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels, does not predict toxic."""
+    return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates."""
+    return minhash.distinct_documents(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the passages that an earlier one has; n_chars follows the text."""
+    return repeats.deduplicated_documents(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: a document taken twice is two rows."""
     return mixing.mixed_documents(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, ids: token ids of each row's text."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", cut_repeats),
     ("mixing", mix_sources),
+    ("byte_bpe", tokenize),
 ]
 
 #: SQL cannot express the learned and the suffix stages; tests compare the pipeline with a brute-force version.
