@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import binary_codes, bpe, impact_index, minhash, mixing, repeats, toxicity, warc
+from transmuta.llm import binary_codes, bpe, impact_index, minhash, mixing, preferences, repeats, toxicity, warc
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,31 @@ def op2(spark, sf_dir):
     return impact_index.exact_top(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
+@query("op4_preference_format", sql="""
+WITH t AS (
+  SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, role, text,
+    '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<|' || chr(8203) || 'im_') || chr(10) AS before,
+    replace(coalesce(text, ''), '<|im_', '<|' || chr(8203) || 'im_') || '<|im_end|>' AS body
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (
+  SELECT *, row_number() OVER own AS place, CAST(sum(length(before) + length(body) + 1) OVER (own ROWS UNBOUNDED PRECEDING) AS BIGINT) - 1 AS until
+  FROM t WINDOW own AS (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST)),
+sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS c, count(*) FILTER (side = 1) AS r FROM placed GROUP BY pair_id),
+differ AS (
+  SELECT a.pair_id, min(a.place) AS place FROM placed a JOIN placed b ON a.pair_id = b.pair_id AND a.place = b.place AND a.side = 0 AND b.side = 1
+  WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text GROUP BY a.pair_id),
+common AS (SELECT s.pair_id, c, r, coalesce(d.place - 1, least(c, r)) AS n FROM sizes s LEFT JOIN differ d USING (pair_id))
+SELECT pair_id, n AS n_common, c - n AS n_chosen, r - n AS n_rejected,
+  coalesce(string_agg(before || body || chr(10), '' ORDER BY place) FILTER (side = 0 AND place <= n), '') AS prompt,
+  coalesce(string_agg(before || body || chr(10), '' ORDER BY place) FILTER (side = 0 AND place > n), '') AS chosen,
+  coalesce(string_agg(before || body || chr(10), '' ORDER BY place) FILTER (side = 1 AND place > n), '') AS rejected,
+  coalesce(string_agg(CAST(until - length(body) AS VARCHAR) || ':' || CAST(until AS VARCHAR), ',' ORDER BY place) FILTER (side = 0 AND place > n AND role = 'assistant'), '') AS chosen_mask,
+  coalesce(string_agg(CAST(until - length(body) AS VARCHAR) || ':' || CAST(until AS VARCHAR), ',' ORDER BY place) FILTER (side = 1 AND place > n AND role = 'assistant'), '') AS rejected_mask
+FROM placed JOIN common USING (pair_id) GROUP BY pair_id, n, c, r""")
+def op4(spark, sf_dir):
+    return preferences.neighbours(table(spark, sf_dir, "conversations"))
+
+
 @query("op5_one_bit_codes")
 def op5(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
