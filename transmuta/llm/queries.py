@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import binary_codes, bpe, impact_index, minhash, mixing, preferences, repeats, toxicity, warc
+from transmuta.llm import binary_codes, bpe, impact_index, licences, minhash, mixing, preferences, repeats, toxicity, warc
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op2(spark, sf_dir):
     return impact_index.exact_top(rows, rows.filter("vec_id % 50 = 0"), 5)
 
 
+@query("op3_licence_scan")
+def op3(spark, sf_dir):
+    return licences.licence_report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_preference_format", sql="""
 WITH t AS (
   SELECT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, role, text,
