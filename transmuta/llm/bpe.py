@@ -232,8 +232,12 @@ def _broadcast_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None) -> DataFrame:
-    """docs with the text replaced by its ids (array<int>); path: a rank file; parts: groups of words, by default as many as shuffle partitions."""
+def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None, finish=None) -> DataFrame:
+    """docs with the text replaced by its ids (array<int>).
+
+    path: a rank file; parts: groups of words, by default as many as shuffle partitions; finish: (function of Arrow
+    batches, schema) that the task which puts a text together applies to it at once, so that ids need not leave it.
+    """
     spark = docs.sparkSession
     data = _broadcast_file(spark, path)
     carry = [c for c in docs.columns if c != "text"]
@@ -249,38 +253,46 @@ def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None) -
     texts = renamed.mapInArrow(_text_rows(data, pattern, names), T.StructType([
         *schema(("block", long), ("place", long), ("distinct", long)).fields, *fields, T.StructField("numbers", binary)]))
     both = encoded.withColumn("place", F.lit(-1).cast("long")).unionByName(texts, allowMissingColumns=True)
-    whole = both.repartition("block").sortWithinPartitions("block", "place") \
-        .mapInArrow(_assemble(carry), T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
-    return whole.toDF(*carry, "ids")
+    ready = both.repartition("block").sortWithinPartitions("block", "place")
+    assemble = _assemble(carry)
+    if finish is None:
+        return ready.mapInArrow(assemble, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])).toDF(*carry, "ids")
+    last, schema = finish
 
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return last(b.rename_columns([*carry, "ids"]) for b in assemble(batches))
+    return ready.mapInArrow(finished, schema)
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encoded with bytes: the tokens' bytes, by a join with the broadcast token-byte table."""
-    data = _broadcast_file(encoded.sparkSession, path)
 
+def _decoder(data, pattern: str):
+    """batches with ids -> batches with bytes beside them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(data.value, pattern)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids"))
             texts = []
-            for x in ids:
+            for x in batch.column(batch.schema.get_field_index("ids")):
                 x = x.values.to_numpy(zero_copy_only=False) if x.is_valid else np.empty(0, np.int64)
                 texts.append(v.bytes[ragged(v.starts[x], v.lengths[x])].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, "bytes"])
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
+    return run
 
 
-def _hash_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("ids"))
-        digests = [hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() for x in ids]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([len(x) for x in ids], pa.int64()), pa.array(digests, pa.string()), batch["bytes"]],
-            ["doc_id", "n_tokens", "ids_sha256", "bytes"])
+def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+    """encoded with bytes: the tokens' bytes, by a join with the broadcast token-byte table."""
+    data = _broadcast_file(encoded.sparkSession, path)
+    return encoded.mapInArrow(_decoder(data, pattern), T.StructType([*encoded.schema.fields, T.StructField("bytes", T.BinaryType())]))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts encoded, and the ids decoded again."""
-    back = decode(encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
-    return back.mapInArrow(_hash_ids, "doc_id long, n_tokens long, ids_sha256 string, bytes binary") \
-        .select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts encoded, and the ids decoded again, in the task that puts a text together."""
+    decoded = _decoder(_broadcast_file(docs.sparkSession, path), pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in decoded(batches):
+            ids = batch.column(batch.schema.get_field_index("ids"))
+            hashed = [hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()).hexdigest() for x in ids]
+            back = [hashlib.sha256(x.as_py()).hexdigest() for x in batch.column(batch.schema.get_field_index("bytes"))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(x) for x in ids], pa.int64()), pa.array(hashed), pa.array(back)],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return encode(docs.select("doc_id", "text"), path, pattern, finish=(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
