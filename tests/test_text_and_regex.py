@@ -41,19 +41,29 @@ def test_decoding_falls_back_to_latin1(spark):
     assert [tuple(r) for r in rows] == [("é", True), ("café", False)]
 
 
-PATTERNS = [(r"class (\w+)\(", "class \\1_x("), (r"a.b", "$1"), (r"^x|y$", r"\\"), (r"(?P<n>\d+)\s", r"<\g<n>>"), (r"\bké\b", "K"), (r"\$\{(\w)\}", r"\1")]
-TEXTS = ["class Foo(Bar): class Été(X)", "a\nb a b acb", "x\ny", "12 3\u00a04 x", "ké kéa", "cost ${v} $1", "y\n"]
+PATTERNS = [(r"\x27(\w)\x27", "<\\1>"), (r"[^[\]]+x", "-"), (r"(?P<a_b>k)(?P=a_b)?", r"\g<a_b>0"), (r"[&&k]+", "&"), (r"x(?=\s|$)", "y"), (r"(?i)KÉ|X", "z"), (r"\\Z", "z"),
+            (r"(c)(o)(s)(t)", r"\g<1>0\4"), (r"class (\w+)\(", "class \\1_x("), (r"a.b", "$1"), (r"^x|y$", r"\\"), (r"(?P<n>\d+)\s", r"<\g<n>>"), (r"\bké\b", "K"), (r"\$\{(\w)\}", r"\1")]
+TEXTS = ["class Foo(Bar): class Été(X)", "a\nb a b acb", "x\ny", "12 3\u00a04 x", "ké kéa", "cost ${v} $1", "y\n", "x = 'f' [a]x k&k kk \\\\Z"]
 
 
 @pytest.mark.parametrize("pattern,replacement", PATTERNS)
 def test_jvm_dialect_agrees_with_python(spark, pattern, replacement):
-    jp, jr = jvm_pattern(pattern), jvm_replacement(replacement)
-    got = one(spark, TEXTS, lambda c: F.regexp_replace(c, jp, jr)) if "\\g" in replacement or "$1" != replacement else None
-    if got is not None:
-        assert got == [re.sub(pattern, replacement, t) for t in TEXTS]
+    jp, jr = jvm_pattern(pattern), jvm_replacement(replacement, pattern)
+    assert one(spark, TEXTS, lambda c: F.regexp_replace(c, jp, jr)) == [re.sub(pattern, replacement, t) for t in TEXTS]
     assert one(spark, TEXTS, lambda c: c.rlike(jp)) == [re.search(pattern, t) is not None for t in TEXTS]
 
 
+ATOMS = st.sampled_from(["a", "b", r"\x61", r"\.", "[ab]", "[^a]", r"[^[\]]", r"\w", ".", "(a)", "(?:ab)", "(a|b)", r"\b", "K"])
+WILD = st.lists(st.tuples(ATOMS, st.sampled_from(["", "", "", "+", "*", "?", "{2}", "{0,1}"])).map(lambda x: x[0] + (x[1] if x[0] != r"\b" else "")), min_size=1, max_size=5).map("".join)
+
+
+@given(st.text(alphabet="abK.[] ", max_size=14), WILD)
+@settings(max_examples=400, deadline=None)
+def test_required_literal_of_any_pattern_is_in_every_match(s, pattern):
+    for m in re.finditer(pattern, s):
+        assert required_literal(pattern) in m.group(0)
+
+
 @given(st.text(alphabet="abK(.)_ \\n", max_size=12), st.sampled_from([r"Kernel\(", r"a+b", r"ab*K", r"a{2}b", r"[ab]K_", r"(aK)b_", r"\.a\(b"]))
 @settings(max_examples=200, deadline=None)
 def test_required_literal_is_in_every_match(s, pattern):

@@ -6,28 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 16
-BROADCAST_ROWS = 200_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str],
-                salts: int = SALTS) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """Join a large left side with a right side that has few rows per key.
 
     Left rows of one key are spread over `salts` sub-keys by a hash of `spread_by`; each right row is repeated once
-    per sub-key. The result equals the plain join. Adaptive execution still turns it into a broadcast when the
-    right side is measured to be small.
+    per sub-key; by default there are as many sub-keys as shuffle partitions, so a hot key can fill them all. The
+    result equals the plain join. Adaptive execution still turns it into a broadcast when the right side is measured
+    to be small.
     """
+    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting keeps every left row in exactly one sub-key; {how} joins need both sides whole")
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     joined = left.withColumn("_salt", salt).join(right.withColumn("_salt", copies), [*on, "_salt"], how)
     return joined.drop("_salt")
-
-
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, spread_by: Sequence[str],
-                max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a lookup table whose row count is checked to be small, else salt the join."""
-    small = right.limit(max_rows + 1).count() <= max_rows
-    return left.join(F.broadcast(right), list(on), how) if small else salted_join(left, right, on, how, spread_by)

@@ -60,16 +60,16 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(PY_SPACE))
 
 
-def mixed_lines(lines_col: Column, first_n: int = 100) -> Column:
-    """A tab anywhere and a leading space somewhere within the first n lines."""
-    head = F.slice(lines_col, 1, first_n)
+def mixed_lines(lines_col: Column, first_n: int | None = None) -> Column:
+    """A tab anywhere and a leading space somewhere, in all lines or in the first n."""
+    head = lines_col if first_n is None else F.slice(lines_col, 1, first_n)
     return F.exists(head, lambda s: s.contains("\t")) & F.exists(head, lambda s: s.startswith(" "))
 
 
-def with_line_shape(files: DataFrame) -> DataFrame:
-    """Add `n_lines` and `is_mixed` (tabs and spaces), splitting each text once."""
+def with_line_shape(files: DataFrame, first_n: int | None = None) -> DataFrame:
+    """Add `n_lines` and `is_mixed` (tabs and spaces), splitting each text once. first_n: lines looked at for tabs and spaces, None for all."""
     split = once(files, _lines=splitlines(F.col("content")))
-    return once(split, n_lines=F.size("_lines").cast("long"), is_mixed=mixed_lines(F.col("_lines"))).drop("_lines")
+    return once(split, n_lines=F.size("_lines").cast("long"), is_mixed=mixed_lines(F.col("_lines"), first_n)).drop("_lines")
 
 
 def decode_with_fallback(raw: Column) -> Column:

@@ -11,9 +11,8 @@ from transmuta.functions import text
 from transmuta.functions.arrays import elements, once
 from transmuta.functions.facts import with_facts
 from transmuta.functions.joins import salted_join
-from transmuta.functions.materialize import cut
 from transmuta.functions.pyre import jvm_pattern
-from transmuta.sources.corpus import SKIP_DIRS, first_n_files
+from transmuta.sources.corpus import SKIP_DIRS
 
 
 @dataclass(frozen=True)
@@ -27,8 +26,8 @@ class Limits:
     max_files: int = 10_000
     min_files: int = 5
     max_size_ratio: float = 1_000.0
-    size_sample: int = 100
     min_parts: int = 3
+    indent_lines: int | None = None  # lines of a file looked at for mixed indentation, None for all
 
 
 # fixed values: top-level names that mark generated code
@@ -85,7 +84,7 @@ def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str]
     """Per-file measurements without the content. NULL content means the bytes were not UTF-8."""
     rel = text.relative(F.col("repo"), F.col("path"))
     p = text.parts(rel)
-    measured = once(text.with_line_shape(files), is_comment_only=comment_only_mentions(F.col("content"))).withColumns({
+    measured = once(text.with_line_shape(files, limits.indent_lines), is_comment_only=comment_only_mentions(F.col("content"))).withColumns({
         "rel": rel,
         "is_py": F.col("path").endswith(".py"),
         "skipped": text.any_part(rel, skip),
@@ -125,12 +124,14 @@ def repo_profile(flags: DataFrame) -> DataFrame:
         F.bool_or("is_py").alias("has_py"), F.max("depth").alias("depth"),
         F.bool_or("is_generated").alias("is_generated"), F.bool_or("is_gitmodules").alias("is_gitmodules"),
         F.bool_or("is_namespace").alias("is_namespace"), F.count_if("is_py").alias("n_py"),
+        F.max(F.when(F.col("is_py"), F.col("n_lines"))).alias("max_lines"), F.min(F.when(F.col("is_py"), F.col("n_lines"))).alias("min_lines"),
         *[F.count_if(c).alias(c) for c in counted])
     return per_dir.groupBy("repo").agg(
         F.count_if(F.col("has_py") & ~F.col("top_dir").startswith(".")).alias("python_project_count"),
         F.max("depth").cast("long").alias("max_depth"),
         F.bool_or("is_generated").alias("generated_code"), F.bool_or("is_gitmodules").alias("git_submodules"),
         F.bool_or("is_namespace").alias("namespace_packages"), F.sum("n_py").alias("n_py"),
+        F.max("max_lines").alias("max_lines"), F.min("min_lines").alias("min_lines"),
         *[F.sum(c).alias(c) for c in counted])
 
 
@@ -157,32 +158,22 @@ def pattern_outliers(flags: DataFrame) -> DataFrame:
 
 
 def size_outliers(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Project size and the ratio of the longest to the shortest of its first files."""
-    totals = flags.groupBy("repo").agg(F.count_if("is_py").alias("total_files"))
-    return _size_flags(totals, flags, limits)
+    """Project size and the ratio of its longest to its shortest Python file."""
+    return repo_profile(flags).select("repo", F.col("n_py").alias("total_files"), *_size_flags(limits))
 
 
-def _size_flags(totals: DataFrame, flags: DataFrame, limits: Limits) -> DataFrame:
-    py = flags.filter("is_py").select("repo", "path", "n_lines")
-    sizes = first_n_files(py, limits.size_sample).groupBy("repo").agg(
-        F.max("n_lines").alias("max_lines"), F.min("n_lines").alias("min_lines"))
+def _size_flags(limits: Limits) -> list[Column]:
     ratio = F.when((F.col("max_lines") > 0) & (F.col("min_lines") > 0), F.col("max_lines") / F.col("min_lines"))
-    return totals.join(sizes, "repo", "left").select(
-        "repo", "total_files", (F.col("total_files") > limits.max_files).alias("very_large_codebase"),
-        (F.col("total_files") < limits.min_files).alias("very_small_codebase"), ratio.alias("size_ratio"),
-        F.coalesce(ratio > limits.max_size_ratio, F.lit(False)).alias("extreme_size_variation"))
+    return [(F.col("n_py") > limits.max_files).alias("very_large_codebase"), (F.col("n_py") < limits.min_files).alias("very_small_codebase"),
+            ratio.alias("size_ratio"), F.coalesce(ratio > limits.max_size_ratio, F.lit(False)).alias("extreme_size_variation")]
 
 
 def outlier_type_counts(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per project, its outlier types and how often each was recorded; deep paths and deep code add up.
 
-    The measurements come from every file's content, so they are written once in their narrow form; the profile and
-    the size sample both read that.
+    One aggregate over the files gives the profile and the sizes.
     """
-    flags = cut(flags)
-    profile = repo_profile(flags)
-    sizes = _size_flags(profile.select("repo", F.col("n_py").alias("total_files")), flags, limits)
-    wide = profile.join(sizes, "repo")
+    wide = repo_profile(flags).select("*", F.col("n_py").alias("total_files"), *_size_flags(limits))
 
     def once(cond):
         return F.when(cond, 1).otherwise(0).cast("long")
@@ -236,7 +227,7 @@ def file_reasons(limits: Limits = Limits()) -> Column:
 
 def file_outlier_reasons(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Unusual files with their reasons."""
-    found = once(with_facts(text.with_line_shape(files)), reasons=file_reasons(limits))
+    found = once(with_facts(text.with_line_shape(files, limits.indent_lines)), reasons=file_reasons(limits))
     return found.filter(F.size("reasons") > 0).select("repo", "path", "reasons")
 
 

@@ -56,7 +56,7 @@ def task_outcome(state: DataFrame, strict: bool = False) -> DataFrame:
         F.sum(F.when(F.col("slot") == "error", F.col("n")).otherwise(0)).alias("errors_logged"),
         *[F.max(F.when(F.col("slot") == f"group:{g}", F.struct("at", "latest"))).alias(g) for g in GROUPS],
         F.collect_list(F.when(F.startswith("slot", F.lit("criterion:")), F.struct(
-            F.substring("slot", 11, 1000).alias("name"), "at", "latest", "last_met", "last_not_met", "last_review"))).alias("criteria"),
+            F.substring(F.col("slot"), F.lit(11), F.length("slot")).alias("name"), "at", "latest", "last_met", "last_not_met", "last_review"))).alias("criteria"),
     ).filter(F.col("started").isNotNull())
     after = F.col("started")
 
@@ -136,7 +136,8 @@ def log_outcomes(logs: DataFrame, log_col: str = "log") -> DataFrame:
     log = F.col(log_col)
 
     def count(word):
-        return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(log, rf"([0-9]+)\s+{word}", 1), F.lit("")), F.lit("999999999999")).cast("long"), F.lit(0).cast("long"))
+        found = F.nullif(F.regexp_extract(log, rf"([0-9]+)\s+{word}", 1), F.lit(""))
+        return F.coalesce(found.try_cast("long"), F.lit(0).cast("long"))
 
     total_line = F.regexp_extract(log, r"TOTAL\s+[0-9]+\s+[0-9]+\s+([0-9]+)%", 1)
     any_percent = F.regexp_extract(log, r"([0-9]+\.[0-9]+)%", 1)

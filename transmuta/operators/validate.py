@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from transmuta.functions.constants import built_once, constant_table
 from transmuta.functions.facts import with_facts
-from transmuta.functions.joins import lookup_join
+from transmuta.functions.joins import salted_join
 
 LEVELS = ("error", "warning", "info")
 _ISSUE = ("array<struct<level:string, line_no:int, col_no:int, error_type:string, message:string, context:string, "
@@ -60,7 +60,7 @@ def validate(files: DataFrame, known_modules: DataFrame, parsed: bool = False) -
     ready = files if parsed else with_facts(files)
     rows = ready.select("repo", "path", F.inline(issue_candidates()))
     known = builtin_or_known(files.sparkSession, known_modules).withColumnRenamed("module", "top_module")
-    return lookup_join(rows, known, ["top_module"], "left_anti", spread_by=["path"]).drop("top_module")
+    return salted_join(rows, known, ["top_module"], "left_anti", spread_by=["path"]).drop("top_module")
 
 
 def unresolved_imports(files: DataFrame, known_modules: DataFrame) -> DataFrame:

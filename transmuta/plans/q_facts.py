@@ -85,7 +85,7 @@ def _(spark, sf):
 
 
 CTES["mixed"] = """
-SELECT doc_id, repo, path, len(list_filter(arr[1:100], lambda s: contains(s, chr(9)))) > 0 AND len(list_filter(arr[1:100], lambda s: starts_with(s, ' '))) > 0 AS is_mixed
+SELECT doc_id, repo, path, len(list_filter(arr, lambda s: contains(s, chr(9)))) > 0 AND len(list_filter(arr, lambda s: starts_with(s, ' '))) > 0 AS is_mixed
 FROM line_arrays"""
 
 
@@ -94,6 +94,12 @@ def _(spark, sf):
     return text.with_line_shape(corpus(spark, sf)).select("repo", "path", "is_mixed")
 
 
+@query("mixed_indentation_head", """
+SELECT repo, path, len(list_filter(arr[1:100], lambda s: contains(s, chr(9)))) > 0 AND len(list_filter(arr[1:100], lambda s: starts_with(s, ' '))) > 0 AS is_mixed FROM line_arrays""")
+def _(spark, sf):
+    return text.with_line_shape(corpus(spark, sf), first_n=100).select("repo", "path", "is_mixed")
+
+
 @query("structure_stats", "SELECT repo, path, CAST(max_func_lines AS INTEGER) AS max_func_lines, CAST(max_nesting AS INTEGER) AS max_nesting FROM file_facts")
 def _(spark, sf):
     return facts.code_facts(corpus(spark, sf)).select("repo", "path", "max_func_lines", "max_nesting")

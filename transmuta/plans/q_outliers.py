@@ -32,7 +32,7 @@ SELECT t.repo, t.total_files, t.total_files > 48 AS very_large_codebase, t.total
   coalesce(s.size_ratio > 5.0, FALSE) AS extreme_size_variation
 FROM (SELECT repo, count(*) AS total_files FROM flags GROUP BY repo) t LEFT JOIN (
   SELECT repo, CASE WHEN max(n_lines) > 0 AND min(n_lines) > 0 THEN max(n_lines) / min(n_lines) END AS size_ratio
-  FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path) AS rn FROM flags) WHERE rn <= 100 GROUP BY repo) s ON s.repo = t.repo"""
+  FROM flags GROUP BY repo) s ON s.repo = t.repo"""
 CTES["type_counts"] = " UNION ALL ".join(
     f"SELECT p.repo, p.total_files, '{t}' AS outlier_type, CAST({e} AS BIGINT) AS n FROM profile p JOIN sizes z ON z.repo = p.repo"
     for t, e in [("monorepo", "CASE WHEN p.python_project_count > 1 THEN 1 ELSE 0 END"),

@@ -198,7 +198,7 @@ def _(spark, sf):
     custom = [{"id": "USER_LINK", "pattern": r"<a\s+href=", "replacement": "<a data-href="},
               {"id": "USER_HEADING", "pattern": r"<h[1-3][^>]*>", "replacement": "<h4>"},
               {"id": "USER_SCRIPT", "pattern": r"<script", "replacement": "<!--script"}]
-    pages = derived.spread(derived.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = derived.table(spark, sf, "pages").select("page_id", "html")
     return detect.regex_rule_scan(pages, RULES.plus(custom), "html", ("page_id",)).select("page_id", "id")
 
 

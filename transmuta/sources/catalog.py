@@ -224,7 +224,7 @@ class Rule:
 
     @property
     def jvm_replacement(self) -> str:
-        return jvm_replacement(self.replacement)
+        return jvm_replacement(self.replacement, self.pattern)
 
     @property
     def literal(self) -> str:

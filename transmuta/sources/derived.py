@@ -69,15 +69,9 @@ def _query(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
     return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: table(spark, sf_dir, name)})
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows of a small single-file input over the cores; inputs with enough files stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def derived_corpus(spark: SparkSession, sf_dir: str, with_id: bool = False) -> DataFrame:
     """files(repo, path, content) from `documents`."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     sql = FILES_SQL.format(extra="doc_id, " if with_id else "").replace("FROM documents", "FROM {documents}")
     return spark.sql(sql, documents=docs)
 
