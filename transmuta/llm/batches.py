@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -38,6 +40,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
-def in_slices(rows: int, most: int) -> Iterator[tuple[int, int]]:
-    for start in range(0, rows, most):
-        yield start, min(rows, start + most)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: texts become Python objects a few at a time.
+
+    When the task ends, memory it has freed goes back to the system, as workers and their heaps outlive it.
+    """
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)

@@ -29,6 +29,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from transmuta.llm.batches import small
+
 BLOCK = 8_000_000  # characters of text per block
 _PLANES = (0, 8, 16, 24)
 
@@ -98,7 +100,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
         names = list(words)
         return digest.intdigest() - (1 << 63), [names[i] for i in order], [rank[x] for x in lists], where
 
-    for batch in batches:
+    for batch in small(batches):
         for row, text in enumerate(batch["text"].to_pylist()):
             found = vocabulary.cut(text) if text else []
             number = words.setdefault
@@ -187,7 +189,7 @@ def _assemble(carry: Sequence[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         block, packed, table = None, [], None
-        for batch in batches:
+        for batch in small(batches):
             columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             blocks, places = columns["block"].to_pylist(), columns["place"].to_pylist()
             out, rows = [], []

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from transmuta.functions.materialize import Written
-from transmuta.llm.batches import groups, in_slices
+from transmuta.llm.batches import groups, small
 from transmuta.llm.components import components
 
 WORDS = 5
@@ -37,7 +37,7 @@ ROWS = 6
 BANDS = BINS // ROWS
 AGREE = int(BINS * 0.66)
 BLOCK = 1024  # representatives compared with each other at a time
-MEMO = 500_000
+MEMO = 150_000
 _U = np.uint64
 
 
@@ -94,7 +94,7 @@ def signature(found: np.ndarray, orders: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, orders = WordHashes(), _orders()
-    for batch in batches:
+    for batch in small(batches):
         sizes, prints, signs = [], [], []
         for text in batch["text"].to_pylist():
             s = shingles(text, hashes)
@@ -107,23 +107,19 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
-        for a, b in in_slices(batch.num_rows, 256):
-            part = batch.slice(a, b - a)
-            found = [shingles(t, hashes).view(np.int64) for t in part["text"].to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], values], ["doc_id", "set"])
+    for part in small(batches, 200):
+        found = [shingles(t, hashes).view(np.int64) for t in part["text"].to_pylist()]
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
+        yield pa.RecordBatch.from_arrays([part["doc_id"], values], ["doc_id", "set"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, node): the band's number above its six signature bytes."""
-    for batch in batches:
-        for a, b in in_slices(batch.num_rows, 256):
-            part = batch.slice(a, b - a)
-            keys = band_keys(_matrix(part["sign"]))
-            nodes = np.repeat(part["node"].to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["bucket", "node"])
+    for part in small(batches, 200):
+        keys = band_keys(_matrix(part["sign"]))
+        nodes = np.repeat(part["node"].to_numpy(zero_copy_only=False), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["bucket", "node"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -194,7 +190,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = Written(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components").df
 
     whole = signed.select("doc_id", "n", "print").join(nodes.select("print", "node"), "print", "left").join(found, "node", "left")
-    component = F.coalesce("component", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from transmuta.functions.materialize import Written, free_shuffles
 from transmuta.llm.anchors import runs
+from transmuta.llm.batches import small
 from transmuta.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
@@ -39,7 +40,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         columns = [[] for _ in range(6)]
         size = 0
         for id_, mark, text in zip(batch["id"].to_numpy(), batch["mark"].to_numpy(), batch["text"].to_pylist()):
@@ -65,7 +66,7 @@ def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(anchor, id, mark, start, bytes) of the runs asked for."""
-    for batch in batches:
+    for batch in small(batches, 100):
         out = []
         size = 0
         for row in batch.to_pylist():
@@ -220,7 +221,7 @@ def _merge(spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches, 200):
         kept, removed, count = [], [], []
         names = batch.schema.names
         texts, spans = batch.column(names.index("text")).to_pylist(), batch.column(names.index("_rep_spans")).to_pylist()

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions.materialize import Written
+from transmuta.llm.batches import small
 
 TOKEN = re.compile(r"\w+")
 STEM = 4  # letters
@@ -41,7 +42,7 @@ DRIFT = 1.0
 PRIOR = 2.0  # pseudo-count of each level of the Dirichlet prior
 LEAST = 3  # training documents that hold a term
 SIGNIFICANT = 0.05  # expected chance segments per text
-MEMO = 500_000
+MEMO = 150_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -119,7 +120,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(term, toxic, n) per batch: documents that hold the term. A stem ends in a blank, so it is no word; '' counts documents."""
     for batch in batches:
         counts = (Counter(), Counter())
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
+        for text, toxic in (pair for part in small([batch]) for pair in zip(part["text"].to_pylist(), part["toxic"].to_pylist())):
             words = set(TOKEN.findall(text.lower()))
             counts[toxic].update(words)
             counts[toxic].update({w[:STEM] + " " for w in words})
@@ -190,7 +191,7 @@ def _fit_terms(model: Model, terms: DataFrame, base: float, clean: int) -> None:
 def _segments_of(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = model.memo()
-        for batch in batches:
+        for batch in small(batches):
             out = [(y, *_evidence(text, memo, model.decay, 1.0)) for text, y in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist())]
             yield pa.RecordBatch.from_pydict({
                 "toxic": pa.array([y for y, _, _ in out], pa.int32()), "tokens": pa.array([n for _, n, _ in out], pa.int64()),
@@ -233,7 +234,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         memo = m.memo()
-        for batch in batches:
+        for batch in small(batches):
             scores, spans = [], []
             for text in batch["text"].to_pylist():
                 _, found = _evidence(text, memo, m.decay, m.rate)

@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from transmuta.functions.materialize import Written, shared_folder
+from transmuta.llm.batches import small
 
 SAMPLE = 4_000_000  # bytes of payload to train on
 DICTIONARY = 64 * 1024
@@ -164,7 +165,7 @@ def write_archives(pages: DataFrame, folder: str, sample: int = SAMPLE) -> DataF
             done.append((name, records, writer.size))
             out = None
 
-        for batch in batches:
+        for batch in small(batches, 200):
             for row in batch.to_pylist():
                 record = record_bytes(row["page_id"], row["url"], row["html"].encode(), row["response"])
                 if out is None:
