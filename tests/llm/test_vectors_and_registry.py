@@ -59,7 +59,7 @@ def test_possible_members_hold_the_best(dims, n, seed, k):
     values = rng.integers(-50, 50, (n, dims))
     q = rng.integers(-50, 50, dims)
     order = np.argsort(values, axis=0, kind="stable").T
-    may = impact_index.possible_members(q, values, order, np.take_along_axis(values.T, order, axis=1), min(k, n))
+    may = impact_index.possible_members(q, impact_index.Segments(values, order), min(k, n))
     scores = values @ q
     bound = np.sort(scores)[::-1][min(k, n) - 1]
     assert set(np.flatnonzero(scores >= bound)) <= set(may.tolist())

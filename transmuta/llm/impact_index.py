@@ -3,9 +3,9 @@
 Components are quantised to integers, floor(256 * x). The index of a block lists, for every dimension, the vectors in order of
 their value; a posting segment is a run of equal values. A query gives each segment an impact: its weight times the
 value, above the least that dimension can add. Segments of all dimensions are processed by descending impact level. An
-accumulator holds what a vector has received, so it is a lower bound of the score; a vector's unseen dimensions can
-still add less than the level's impact each. Processing stops only on proof: when at most a few vectors can still reach
-the k-th best lower bound. Those are rescored exactly, so the result is exact whatever the level it stopped at.
+accumulator holds what a vector has received; its unseen dimensions can still add less than the level's impact each. The
+vectors ahead are scored exactly, and their k-th best score is the bound to reach. Processing stops only on proof: when
+at most a few vectors can still reach the bound. Those are rescored exactly, so the result is exact whatever the level it stopped at.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and null ids, take no part; ties go
 to the smaller id; rows that share the query's id are not its candidates, other rows that share an id are candidates
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from transmuta.functions.materialize import Written
 from transmuta.llm import vectors
+from transmuta.llm.bpe import ragged
 
-LEVELS = 16  # impact levels between the largest impact and 0
+LEVELS = (0.4, 0.25, 0.16, 0.1, 0.06)  # impact levels, as parts of the largest impact
 FEW = 32  # proof is reached when k + 1/FEW of the block can still be members
 
 
@@ -42,12 +43,30 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               "postings": pa.array([order.tobytes()], pa.binary())})
 
 
-def possible_members(q: np.ndarray, values: np.ndarray, postings: np.ndarray, sorted_values: np.ndarray, k: int) -> np.ndarray:
-    """Positions that may belong to the k best, a superset of them. sorted_values[d] goes with postings[d]."""
-    dims, n = postings.shape
-    low, high = sorted_values[:, 0] * q, sorted_values[:, -1] * q
-    worst = np.minimum(low, high)
-    span = np.abs(high - low)
+class Segments:
+    """Postings of a block: per dimension the vectors in order of value, and how many lie below each value."""
+
+    def __init__(self, values: np.ndarray, postings: np.ndarray):
+        self.values = values
+        self.dims, self.n = postings.shape
+        in_order = np.take_along_axis(values.T, postings.astype(np.int64), axis=1)
+        self.least, self.most = in_order[:, 0], in_order[:, -1]
+        self.postings, self.in_order = postings.ravel().astype(np.int64), in_order.ravel().astype(np.float64)
+        width = int((self.most - self.least).max(initial=0)) + 2
+        starts = np.arange(self.dims)[:, None] * width
+        counts = np.bincount((values.T - self.least[:, None] + starts).ravel(), minlength=self.dims * width).reshape(self.dims, width)
+        self.below = np.concatenate((np.zeros((self.dims, 1), np.int64), np.cumsum(counts, axis=1)), axis=1)
+
+    def count_below(self, limit: np.ndarray) -> np.ndarray:
+        """Per dimension the number of values below its limit."""
+        return self.below[np.arange(self.dims), np.clip(limit - self.least, 0, self.below.shape[1] - 1)]
+
+
+def possible_members(q: np.ndarray, block: Segments, k: int) -> np.ndarray:
+    """Positions that may belong to the k best of the block, a superset of them."""
+    dims, n = block.dims, block.n
+    low, high = block.least * q, block.most * q
+    worst, span = np.minimum(low, high), np.abs(high - low)
     largest = int(span.max(initial=0))
     few = max(k + 1, n // FEW)
     if n <= few or not largest:
@@ -55,28 +74,25 @@ def possible_members(q: np.ndarray, values: np.ndarray, postings: np.ndarray, so
     received = np.full(n, float(worst.sum()))
     seen = np.zeros(n, np.int64)
     done = np.zeros(dims, np.int64)  # postings processed, from the end with the larger impact
-    for level in range(LEVELS - 1, 0, -1):
-        impact = largest * level // LEVELS + 1  # segments of this impact or more
-        ids, adds = [], []
-        for d in np.flatnonzero(span >= impact).tolist():
-            w, s = int(q[d]), sorted_values[d]
-            need = impact + int(worst[d])  # of weight times value
-            if w > 0:
-                until = n - int(np.searchsorted(s, -(-need // w)))
-                part = slice(n - until, n - int(done[d]))
-            else:
-                until = int(np.searchsorted(s, need // w, side="right"))
-                part = slice(int(done[d]), until)
-            if until > done[d]:
-                ids.append(postings[d, part])
-                adds.append(s[part] * w - worst[d])
-                done[d] = until
-        if ids:
-            at = np.concatenate(ids)
-            received += np.bincount(at, np.concatenate(adds), n)
+    weight = np.where(q == 0, 1, q)
+    for level in LEVELS:
+        impact = int(largest * level) + 1  # segments of this impact or more
+        need = impact + worst  # of weight times value
+        until = np.where(q > 0, n - block.count_below(-(-need // weight)), block.count_below(need // weight + 1))
+        until = np.where(span >= impact, until, 0)
+        some = np.flatnonzero(until > done)
+        if len(some):
+            start = np.where(q > 0, n - until, done)[some] + some * n
+            length = (until - done)[some]
+            place = ragged(start, length)
+            at = block.postings[place]
+            received += np.bincount(at, block.in_order[place] * np.repeat(q[some], length) - np.repeat(worst[some], length), n)
             seen += np.bincount(at, minlength=n)
-        bound = np.partition(received, n - k)[n - k]
-        may = np.flatnonzero(received + (impact - 1.0) * (dims - seen) >= bound)
+            done[some] = until[some]
+        ahead = np.argpartition(received, n - few)[n - few:]
+        bound = np.partition(block.values[ahead] @ q, few - k)[few - k]
+        # a dimension not yet seen adds less than the impact, and no more than its span
+        may = np.flatnonzero(received + np.minimum(impact - 1, span).sum() - (impact - 1.0) * seen >= bound)
         if len(may) <= few:
             return may
     return np.arange(n)
@@ -88,13 +104,13 @@ def _best(k: int):
         ids = np.frombuffer(row["ids"], np.int64)
         values = np.frombuffer(row["data"], np.int32).reshape(-1, dim).astype(np.int64)
         postings = np.frombuffer(row["postings"], np.uint16).reshape(dim, -1)
-        sorted_values = np.take_along_axis(values.T, postings.astype(np.int64), axis=1)
+        block = Segments(values, postings)
         query_ids, asked = vectors.unpack(dim, row["query_ids"], row["query_data"])
         out = []
         for own, q in zip(query_ids.tolist(), quantised(asked)):
             # one more than k, as the query itself may be in the block
             extra = int((ids == own).sum())
-            may = possible_members(q, values, postings, sorted_values, min(len(ids), k + extra))
+            may = possible_members(q, block, min(len(ids), k + extra))
             may = may[ids[may] != own]
             scores = values[may] @ q
             chosen = vectors.top(ids[may], scores, k)
