@@ -218,3 +218,39 @@ def test_a_project_with_a_third_of_all_files_keeps_every_file(spark):
     assert (got["total_files"], got["files_transformed"]) == (1000, 1000)
     flags = outliers.file_flags(files)
     assert outliers.size_outliers(flags).filter("repo = 'hot'").first()["total_files"] == 1000
+
+
+def test_results_are_whole(spark, make_files):
+    """Long names and counts, the last file of a large project, tabs late in a file, unreadable files."""
+    from transmuta.operators import diff, lint, outliers, tracker
+
+    names = ["c" * 1500 + x for x in "ab"]
+    events = spark.createDataFrame([(i, f"2024-01-01 00:00:0{i}", "t", kind, None, None, None, name, met, False) for i, (kind, name, met) in enumerate(
+        [("start", None, None), ("criterion", names[0], True), ("criterion", names[1], False)])],
+        "event_id long, ts string, task_id string, kind string, test_group string, passed int, failed int, criterion string, met boolean, requires_review boolean")
+    state = tracker.task_state(events.withColumn("ts", F.to_timestamp("ts")))
+    row = tracker.task_outcome(state).first().asDict(recursive=True)
+    assert names[0] in str(row) and names[1] in str(row)
+    logs = spark.createDataFrame([("== 1234567890123 passed ==",), ("99999999999999999999 passed",)], "log string")
+    assert [r["passed"] for r in tracker.log_outcomes(logs).collect()] == [1234567890123, 0]
+
+    tree = {f"m{i:03}.py": "x\n" for i in range(300)} | {"z_last.py": "x\n" * 5000, "tabs.py": "x = 1\n" * 200 + "\ty\n z\n"}
+    flags = outliers.file_flags(make_files(tree))
+    assert outliers.size_outliers(flags).first()["size_ratio"] == 5000.0
+    assert outliers.code_outliers(flags).first()["mixed_indentation"] == 1
+    assert outliers.code_outliers(outliers.file_flags(make_files(tree), outliers.Limits(indent_lines=100))).first()["mixed_indentation"] == 0
+
+    files = make_files({"test_e2e.py": None, "a.py": None, "b.py": "1"})
+    assert [r["issue_type"] for r in lint.monitor(files).collect()] == ["scan_error"]
+    assert {r["path"]: r["status"] for r in diff.snapshot_diff(files, make_files({"a.py": None, "b.py": "2", "c.py": None})).collect()} == {
+        "p/test_e2e.py": "removed", "p/a.py": "same", "p/b.py": "modified", "p/c.py": "added"}
+
+
+def test_lints_are_kept_apart_by_project(spark, make_files):
+    from transmuta.operators import lint
+
+    files = make_files({"test_a.py": "def test_a():\n    pass\n"}, "bad").unionByName(make_files({"test_b.py": "def test_b():\n    assert f(1) == 2, 'm'\n    # verify\n"}, "good"))
+    found = lint.audit(files)
+    verdicts = {r["repo"]: r["verdict"] for r in lint.quality_verdict(found, files).collect()}
+    assert verdicts["bad"] == "FAIL" and verdicts["good"] != "FAIL"
+    assert {r["repo"] for r in lint.issue_counts(found).filter("grouping = 'severity'").collect()} <= {"bad", "good"}

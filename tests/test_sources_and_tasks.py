@@ -32,6 +32,10 @@ def test_scan_of_a_directory(spark, tree):
     assert rows["one/main.py"]["repo"] == "one" and "\r" not in rows["one/main.py"]["content"]
     assert rows["two/bad.py"]["content"] is None and rows["two/with space.py"]["content"] == "x = 'é'\n"
     assert {r["repo"] for r in corpus.corpus_scan(spark, tree, repo="all").collect()} == {"all"}
+    import os
+
+    for root in (os.path.relpath(tree), f"{tree}/../tree/", f"file://{tree}"):
+        assert {(r["repo"], r["path"]) for r in corpus.corpus_scan(spark, root).collect()} == {(r["repo"], p) for p, r in rows.items()}
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         corpus.corpus_scan(spark, tree + "/missing").collect()
 

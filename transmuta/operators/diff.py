@@ -27,12 +27,16 @@ def line_changes(before: Column, after: Column) -> Column:
 def line_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("repo", "path"), text_col: str = "content") -> DataFrame:
     """Changed lines of the texts present in both tables.
 
-    Each side crosses the network once, as whole texts (not at all when both are bucketed by the keys); equal texts
-    are dropped before any line is split.
+    Digests are compared first; only the texts of keys whose digests differ cross the network, each once.
     """
-    a = before.select(*keys, F.col(text_col).alias("_b"))
-    b = after.select(*keys, F.col(text_col).alias("_a"))
-    joined = a.join(b, list(keys)).filter(F.col("_b") != F.col("_a"))
+    def side(df, name):
+        return df.select(*keys, F.col(text_col).alias(name))
+
+    def digests(df, name):
+        return df.select(*keys, F.sha2(F.col(text_col), 256).alias(name))
+
+    differing = digests(before, "_old").join(digests(after, "_new"), list(keys)).filter(F.col("_old") != F.col("_new")).select(*keys).distinct()
+    joined = side(before, "_b").join(differing, list(keys), "left_semi").join(side(after, "_a").join(differing, list(keys), "left_semi"), list(keys)).filter(F.col("_b") != F.col("_a"))
     split = once(joined, _old=text.splitlines(F.col("_b")), _new=text.splitlines(F.col("_a")))
     return split.select(*keys, F.inline(line_changes(F.col("_old"), F.col("_new"))))
 
@@ -46,11 +50,13 @@ def rewrite_diff(rewritten: DataFrame) -> DataFrame:
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """added / removed / modified / same per path. Only digests are shuffled, never the content."""
     def digests(df, name):
-        return df.select("repo", "path", F.sha2(F.col("content"), 256).alias(name))
+        # raw bytes, where a scan carries them, tell unreadable files apart too
+        body = "raw" if "raw" in df.columns else "content"
+        return df.select("repo", "path", F.sha2(F.col(body), 256).alias(name), F.lit(True).alias(f"has_{name}"))
 
     joined = digests(before, "old").join(digests(after, "new"), ["repo", "path"], "full")
-    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(
-        F.col("old") == F.col("new"), "same").otherwise("modified")
+    status = F.when(F.col("has_old").isNull(), "added").when(F.col("has_new").isNull(), "removed").when(
+        F.col("old").eqNullSafe(F.col("new")), "same").otherwise("modified")
     return joined.select("repo", "path", status.alias("status"))
 
 

@@ -132,6 +132,22 @@ def real_world_issues() -> Column:
     return F.when(missing, F.array(row)).otherwise(F.array()).cast(_ISSUE)
 
 
+@built_once
+def unvalidated_issues() -> Column:
+    """The quality monitor's form of the same finding."""
+    missing = (F.col("path").contains("e2e") | F.col("path").contains("integration")) & ~contains_any(F.lower("content"), REAL_WORLD)
+    # fixed values: issue type and text
+    row = _issue(0, "missing_real_world", "missing_real_world", "critical", "E2E/Integration test missing real-world validation")
+    return F.when(missing, F.array(row)).otherwise(F.array()).cast(_ISSUE)
+
+
+@built_once
+def scan_errors() -> Column:
+    """A test file whose bytes are not text is reported, not passed over."""
+    row = _issue(0, "scan_error", "scan_error", "warning", "Error scanning file: content is not valid UTF-8")
+    return F.when(F.col("content").isNull(), F.array(row)).otherwise(F.array()).cast(_ISSUE)
+
+
 def test_windows(width: int = 50) -> Column:
     """(n, head, body) of every line that starts a test: the line and the ones after it, up to `width` lines."""
     starts = F.filter("test_lines", lambda x: x["s"].startswith("def test_"))
@@ -212,7 +228,7 @@ def issues(files: DataFrame, *parts: Column, parse: bool = False) -> DataFrame:
     """Issue rows of test files from any of the array builders above, in one pass."""
     ready = with_test_lines(files)
     ready = with_facts(ready, F.col("content").contains("pass")) if parse else ready
-    return ready.select("repo", "path", F.inline(F.concat(*parts)))
+    return ready.select("repo", "path", F.inline(F.concat(*(F.coalesce(p, F.array().cast(_ISSUE)) for p in parts))))
 
 
 def audit(files: DataFrame) -> DataFrame:
@@ -222,7 +238,7 @@ def audit(files: DataFrame) -> DataFrame:
 
 def monitor(files: DataFrame) -> DataFrame:
     """All quality-monitor issues of test files."""
-    return issues(files, weak_issues(), real_world_issues(), window_issues())
+    return issues(files, weak_issues(), unvalidated_issues(), window_issues(), scan_errors())
 
 
 def function_blocks(files: DataFrame) -> DataFrame:
@@ -239,16 +255,16 @@ def assertion_stats(files: DataFrame) -> DataFrame:
 
 
 def issue_counts(found: DataFrame, categories: Sequence[str] = tuple(CATEGORIES)) -> DataFrame:
-    """(grouping, name, n): issues per category with zeros, and per severity, from one scan."""
-    grouped = found.groupingSets([["category"], ["severity"]], "category", "severity").agg(
-        F.grouping("severity").alias("by_category"), F.count("*").alias("n"))
-    rows = grouped.select(F.when(F.col("by_category") == 1, "category").otherwise("severity").alias("grouping"),
-                          F.coalesce("category", "severity").alias("name"), "n")
-    zeros = constant_table(found.sparkSession, [("category", c, 0) for c in categories], "grouping string, name string, n long")
-    return rows.unionByName(zeros).groupBy("grouping", "name").agg(F.sum("n").alias("n"))
+    """(repo, grouping, name, n): a project's issues per category with zeros, and per severity, from one scan."""
+    rows = found.select("repo", F.explode(F.array(
+        F.struct(F.lit("category").alias("grouping"), F.col("category").alias("name")),
+        F.struct(F.lit("severity").alias("grouping"), F.col("severity").alias("name")))).alias("x")).groupBy("repo", "x").agg(F.count("*").alias("n"))
+    zeros = rows.select("repo").distinct().withColumn("x", F.explode(F.array(*[F.struct(F.lit("category").alias("grouping"), F.lit(c).alias("name")) for c in categories]))) \
+        .withColumn("n", F.lit(0).cast("long"))
+    return rows.unionByName(zeros).groupBy("repo", "x.grouping", "x.name").agg(F.sum("n").alias("n"))
 
 
-def topk_issues(found: DataFrame, limits: dict[str, int], by: Sequence[str] = ("category", "severity")) -> DataFrame:
+def topk_issues(found: DataFrame, limits: dict[str, int], by: Sequence[str] = ("repo", "category", "severity")) -> DataFrame:
     """The first k issues of each group in path and line order, with the number left out.
 
     `row_number() <= k` keeps k rows per group in every map task before the shuffle; the group sizes come from a
@@ -256,26 +272,34 @@ def topk_issues(found: DataFrame, limits: dict[str, int], by: Sequence[str] = ("
     """
     widest = max(limits.values())
     found = cut(found)
-    w = Window.partitionBy(*by).orderBy("repo", "path", "line_no", "description", "current_code")
+    w = Window.partitionBy(*by).orderBy("path", "line_no", "description", "current_code")
     ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= widest)
     k = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("severity")]
     sizes = found.groupBy(*by).agg(F.count("*").alias("n_group"))
     return ranked.filter(F.col("rank") <= k).join(sizes, list(by)).withColumn("n_more", F.greatest(F.col("n_group") - k, F.lit(0)))
 
 
-def quality_verdict(found: DataFrame) -> DataFrame:
-    """FAIL with critical issues, WARN with warnings, else PASS."""
-    counts = found.agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+def quality_verdict(found: DataFrame, projects: DataFrame | None = None) -> DataFrame:
+    """Per project FAIL with critical issues, WARN with warnings, else PASS; projects(repo) adds those without issues."""
+    def n(severity):
+        return F.count_if(F.col("severity") == severity)
+
+    counts = found.groupBy("repo").agg(n("critical").alias("critical"), n("warning").alias("warnings"))
+    if projects is not None:
+        zero = F.lit(0).cast("long")
+        rest = projects.select("repo").distinct().join(counts, "repo", "left_anti").select("repo", zero.alias("critical"), zero.alias("warnings"))
+        counts = counts.unionByName(rest)
     return counts.withColumn("verdict", F.when(F.col("critical") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS"))
 
 
 def test_inventory(files: DataFrame, folders: Sequence[str] = TEST_FOLDERS) -> DataFrame:
-    """Tests per file, per folder and in total; folder totals of zero are left out."""
+    """Tests per file, per folder and per project; folder totals of zero are left out."""
     p = text.parts(F.col("path"))
     after_tests = F.try_element_at(p, (F.array_position(p, "tests") + 1).cast("int"))
     folder = F.when(F.array_contains(p, "tests") & after_tests.isin(*folders), after_tests)
     n = F.regexp_count("content", F.lit(jvm_pattern(r"def test_\w+")))
-    counted = files.filter(name_matches(F.col("path"), "test_*.py")).select(folder.alias("category"), F.col("path").alias("file"), n.alias("n"))
-    totals = counted.filter(F.col("category").isNotNull()).rollup("category", "file").agg(
+    counted = files.filter(name_matches(F.col("path"), "test_*.py")).select("repo", folder.alias("category"), F.col("path").alias("file"), n.alias("n"))
+    sets = [["repo", "category", "file"], ["repo", "category"], ["repo"]]
+    totals = counted.filter(F.col("category").isNotNull()).groupingSets([[F.col(c) for c in g] for g in sets], "repo", "category", "file").agg(
         F.sum("n").cast("long").alias("n_tests"), F.grouping_id().cast("int").alias("level"))
     return totals.filter((F.col("level") != 1) | (F.col("n_tests") > 0))

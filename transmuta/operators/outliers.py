@@ -186,7 +186,9 @@ def outlier_type_counts(flags: DataFrame, limits: Limits = Limits()) -> DataFram
         **{t: F.col(t) for t in (*CODE_TYPES, *PATTERN_TYPES) if t != "deep_nesting"},
         **{t: once(F.col(t)) for t in ("very_large_codebase", "very_small_codebase", "extreme_size_variation")},
     }
-    rows = F.array(*[F.struct(F.lit(t).alias("outlier_type"), n.alias("n")) for t, n in counts.items()])
+    # only deep folders carry a risk of their own; deep code is a type without advice
+    advised = {"deep_nesting": F.col("max_depth") > limits.max_depth}
+    rows = F.array(*[F.struct(F.lit(t).alias("outlier_type"), n.alias("n"), F.coalesce(advised.get(t, F.lit(True)), F.lit(False)).alias("advised")) for t, n in counts.items()])
     return wide.select("repo", "total_files", F.filter(rows, lambda r: r["n"] > 0).alias("types"))
 
 
@@ -194,7 +196,7 @@ def distinct_types(type_counts: DataFrame) -> DataFrame:
     """One row per project and outlier type with its risk and recommendation."""
     advice = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(r).alias("risk"), F.lit(a).alias("recommendation")) for t, r, a in ADVICE])
     rows = type_counts.select("repo", "total_files", F.inline(elements("types")))
-    found = rows.withColumn("a", F.get(F.filter(advice, lambda x: x["t"] == F.col("outlier_type")), F.lit(0)))
+    found = rows.withColumn("a", F.when(F.col("advised"), F.get(F.filter(advice, lambda x: x["t"] == F.col("outlier_type")), F.lit(0))))
     shown = F.when(F.col("outlier_type") == "very_large_codebase", F.col("total_files")).otherwise(F.col("n"))
     return found.select("repo", "outlier_type", F.col("n").alias("n_recorded"),
                         F.replace("a.risk", F.lit("{n}"), shown.cast("string")).alias("risk"), F.col("a.recommendation").alias("recommendation"))

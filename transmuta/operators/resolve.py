@@ -101,21 +101,24 @@ def attach_detections(files: DataFrame, detections: DataFrame) -> DataFrame:
 def resolve_rule(detections: DataFrame, files: DataFrame, rules: RuleSet) -> DataFrame:
     """Table form: detection columns plus rule_ord, rule_id, rule_confidence and method.
 
-    Ids and modules are resolved without touching any content. Only what is left, grouped per file, is joined with
-    its file and searched; a detection whose file is missing stays unresolved.
+    Ids and modules are resolved without touching any content. For the rest, each file's first matching rule per type
+    is found in the scan; only that narrow table is joined, so no content is shuffled. A detection whose file is
+    missing stays unresolved.
     """
     entries = rule_array(rules)
     by_id, by_module = first_with(entries, "id", F.col("id")), first_with(entries, "key", routed_key(F.col("module")))
     named = once(detections, _rule=F.struct(F.coalesce(by_id, by_module).alias("rule")))
     rule = F.col("_rule.rule")
+    family = F.col("module").startswith("semantic_kernel") | F.col("module").startswith("autogen")
     direct = named.filter(rule.isNotNull()).select(
         "repo", "path", *_FIELDS, rule["rule_ord"].alias("rule_ord"), rule["id"].alias("rule_id"), rule["confidence"].alias("rule_confidence"),
         F.when(rule["id"] == F.col("id"), "id").otherwise("module").alias("method"))
     rest = named.filter(rule.isNull()).select("repo", "path", *_FIELDS)
-    found = files.select("repo", "path", "content").join(_per_file(rest), ["repo", "path"])
-    searched = explode_resolved(with_resolved(found, rules))
-    missing = rest.join(files.select("repo", "path"), ["repo", "path"], "left_anti")
-    return direct.unionByName(searched).unionByName(missing, allowMissingColumns=True)
+    searched = first_matching_rule(files, RuleSet(tuple(r for r in rules if r.key != MAPPING_KEY)))
+    found = rest.join(searched, ["repo", "path", "type"], "left").select(
+        "repo", "path", *_FIELDS, "rule_ord", "rule_id", "rule_confidence",
+        F.when(F.col("rule_id").isNotNull(), F.when(family, "module").otherwise("regex")).alias("method"))
+    return direct.unionByName(found)
 
 
 def first_matching_rule(files: DataFrame, rules: RuleSet) -> DataFrame:
@@ -126,7 +129,7 @@ def first_matching_rule(files: DataFrame, rules: RuleSet) -> DataFrame:
     kinds = F.array_distinct(F.transform("hits", lambda h: h["type"]))
     first = F.transform(kinds, lambda t: F.get(F.filter("hits", lambda h: h["type"] == t), F.lit(0)))
     return hits.select("repo", "path", F.inline(first)).select(
-        "repo", "path", "type", F.col("id").alias("rule_id"), "rule_ord")
+        "repo", "path", "type", F.col("id").alias("rule_id"), "rule_ord", F.col("confidence").alias("rule_confidence"))
 
 
 def codemod_plan(detections: DataFrame, rules: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from transmuta.sources.catalog import RuleSet
 
 def gated(resolved: Column, mode: str = "auto") -> Column:
     """Rules to apply, in detection order. Auto mode needs a high-confidence detection and a high-confidence rule."""
-    keep = F.filter(resolved, lambda x: x["rule"]["id"].isNotNull())
+    # a rule that states no replacement only detects
+    keep = F.filter(resolved, lambda x: x["rule"]["id"].isNotNull() & (x["rule"]["replacement"] != ""))
     if mode == "auto":
         keep = F.filter(keep, lambda x: (x["detection"]["confidence"] == "high") & (x["detection"]["source"] == "rule")
                         & (x["rule"]["confidence"] == "high"))
@@ -69,7 +70,7 @@ def migrate(files: DataFrame, rules: RuleSet, mode: str = "auto", outlier_mode:
         from transmuta.functions.facts import with_facts
         from transmuta.operators.outliers import Limits, file_reasons
 
-        found = detect.with_detections(with_facts(text.with_line_shape(files)), parsed=True)
+        found = detect.with_detections(with_facts(text.with_line_shape(files, (limits or Limits()).indent_lines)), parsed=True)
         found = once(found, _reasons=file_reasons(limits or Limits())).filter(F.size("_reasons") == 0)
         found = found.drop("_reasons", "n_lines", "is_mixed")
     return rewrite(found, rules, mode, per_match)
@@ -142,6 +143,6 @@ def backref_codemod(files: DataFrame, pattern: str, replacement: str, gates: tup
         spliced = F.concat(F.substring(source, F.lit(1), at + (len(anchor) - 1)), F.lit("\n" + import_line),
                            F.substring(source, at + len(anchor), F.length(source)))
         source = F.when((at > 0) & ~source.contains(import_line), spliced).otherwise(source)
-    replaced = F.regexp_replace(source, jvm_pattern(pattern), jvm_replacement(replacement))
+    replaced = F.regexp_replace(source, jvm_pattern(pattern), jvm_replacement(replacement, pattern))
     out = base.withColumn("new_content", F.when(gate, replaced).otherwise(F.col("content")))
     return out.withColumn("changed", ~F.col("new_content").eqNullSafe(F.col("content")))

@@ -80,7 +80,7 @@ def _(spark, sf):
 @query("first_matching_rule", """
 SELECT h.repo, h.path, h.type, CAST(min(h.rule_ord) AS INTEGER) AS rule_ord, min_by(h.id, h.rule_ord) AS rule_id FROM rule_hits h GROUP BY h.repo, h.path, h.type""")
 def _(spark, sf):
-    return resolve.first_matching_rule(corpus(spark, sf), RULES)
+    return resolve.first_matching_rule(corpus(spark, sf), RULES).drop("rule_confidence")
 
 
 @query("files_for_detections", """

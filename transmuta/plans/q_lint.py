@@ -43,6 +43,9 @@ CTES["real_world_rows"] = f"""
 SELECT repo, path, CAST(0 AS INTEGER) AS line_no, 'missing_real_world' AS category, 'no_real_world_tests' AS issue_type, 'critical' AS severity,
   CASE WHEN contains(path, 'e2e') THEN 'E2E' ELSE 'Integration' END || ' test file missing real-world tests' AS description, 'N/A' AS current_code
 FROM files WHERE regexp_matches(path, '(^|/)test_[^/]*\\.py$') AND (contains(path, 'e2e') OR contains(path, 'integration')) AND NOT {_any('lower(content)', lint.REAL_WORLD)}"""
+CTES["unvalidated_rows"] = """
+SELECT repo, path, line_no, category, 'missing_real_world' AS issue_type, severity, 'E2E/Integration test missing real-world validation' AS description,
+  CAST(NULL AS VARCHAR) AS current_code FROM real_world_rows"""
 CTES["window_rows"] = rf"""
 SELECT repo, path, CAST(line_no AS INTEGER) AS line_no, 'missing_outcome_verification' AS category, 'missing_outcome_verification' AS issue_type, 'warning' AS severity,
   'Test ' || head || ' may not verify actual outcomes' AS description, head AS current_code
@@ -56,7 +59,7 @@ SELECT a.repo, a.path, CAST(a.line_no AS INTEGER) AS line_no, 'poor_test_structu
 FROM test_lines a JOIN test_lines b ON b.doc_id = a.doc_id AND b.line_no = a.line_no + 1 AND b.s = 'pass' WHERE starts_with(a.s, 'def test_')"""
 _SHORT = "repo, path, line_no, category, issue_type, severity, description, current_code"
 CTES["audit_rows"] = " UNION ALL ".join(f"SELECT {_SHORT} FROM {t}" for t in ("weak_fix_rows", "message_rows", "real_world_rows", "block_rows", "empty_rows"))
-CTES["monitor_rows"] = " UNION ALL ".join(f"SELECT {_SHORT} FROM {t}" for t in ("weak_rows", "real_world_rows", "window_rows"))
+CTES["monitor_rows"] = " UNION ALL ".join(f"SELECT {_SHORT} FROM {t}" for t in ("weak_rows", "unvalidated_rows", "window_rows"))
 _COLS = [c.strip() for c in _SHORT.split(",")]
 
 
@@ -109,33 +112,53 @@ def _(spark, sf):
 
 
 @query("issue_counts", """
-SELECT 'category' AS grouping, c.name, count(a.category) AS n FROM (VALUES """ + ", ".join(f"('{c}')" for c in lint.CATEGORIES) + """) c(name)
-LEFT JOIN audit_rows a ON a.category = c.name GROUP BY c.name UNION ALL SELECT 'severity', severity, count(*) FROM audit_rows GROUP BY severity""")
+SELECT r.repo, 'category' AS grouping, c.name, count(a.category) AS n FROM (SELECT DISTINCT repo FROM audit_rows) r CROSS JOIN (VALUES """ + ", ".join(f"('{c}')" for c in lint.CATEGORIES) + """) c(name)
+LEFT JOIN audit_rows a ON a.category = c.name AND a.repo = r.repo GROUP BY r.repo, c.name
+UNION ALL SELECT repo, 'severity', severity, count(*) FROM audit_rows GROUP BY repo, severity""")
 def _(spark, sf):
     return lint.issue_counts(lint.audit(corpus(spark, sf)))
 
 
-@query("topk_issues", """
+def _topk_sql(rows: str, critical: int, warning: int, by: str) -> str:
+    return f"""
 SELECT repo, path, line_no, category, severity, description, rank, n_group, greatest(n_group - k, 0) AS n_more FROM (
-  SELECT *, CASE severity WHEN 'critical' THEN 10 ELSE 5 END AS k, CAST(row_number() OVER (PARTITION BY category, severity ORDER BY repo, path, line_no, description, current_code) AS INTEGER) AS rank,
-   count(*) OVER (PARTITION BY category, severity) AS n_group FROM audit_rows) WHERE rank <= k""")
+  SELECT *, CASE severity WHEN 'critical' THEN {critical} ELSE {warning} END AS k,
+   CAST(row_number() OVER (PARTITION BY {by} ORDER BY path, line_no, description, current_code NULLS FIRST) AS INTEGER) AS rank,
+   count(*) OVER (PARTITION BY {by}) AS n_group FROM {rows}) WHERE rank <= k"""
+
+
+_TOP = ("repo", "path", "line_no", "category", "severity", "description", "rank", "n_group", "n_more")
+
+
+@query("topk_issues", _topk_sql("audit_rows", 10, 5, "repo, category, severity"))
+def _(spark, sf):
+    return lint.topk_issues(lint.audit(corpus(spark, sf)), {"critical": 10, "warning": 5}).select(*_TOP)
+
+
+@query("topk_monitor_issues", _topk_sql("monitor_rows", 20, 10, "repo, severity"))
+def _(spark, sf):
+    return lint.topk_issues(lint.monitor(corpus(spark, sf)), {"critical": 20, "warning": 10}, ("repo", "severity")).select(*_TOP)
+
+
+@query("monitor", f"SELECT {_SHORT} FROM monitor_rows")
 def _(spark, sf):
-    top = lint.topk_issues(lint.audit(corpus(spark, sf)), {"critical": 10, "warning": 5})
-    return top.select("repo", "path", "line_no", "category", "severity", "description", "rank", "n_group", "n_more")
+    return lint.monitor(corpus(spark, sf)).select(*_COLS)
 
 
 @query("quality_verdict", """
-SELECT critical, warnings, CASE WHEN critical > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARN' ELSE 'PASS' END AS verdict
-FROM (SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings FROM monitor_rows)""")
+SELECT repo, critical, warnings, CASE WHEN critical > 0 THEN 'FAIL' WHEN warnings > 0 THEN 'WARN' ELSE 'PASS' END AS verdict
+FROM (SELECT f.repo, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warnings
+  FROM (SELECT DISTINCT repo FROM files) f LEFT JOIN monitor_rows m ON m.repo = f.repo GROUP BY f.repo)""")
 def _(spark, sf):
-    return lint.quality_verdict(lint.monitor(corpus(spark, sf)))
+    files = corpus(spark, sf)
+    return lint.quality_verdict(lint.monitor(files), files)
 
 
 @query("test_inventory", r"""
-WITH c AS (SELECT path AS file, regexp_extract(path, '/tests/([^/]+)/', 1) AS category, len(regexp_extract_all(content, 'def test_\w+')) AS n FROM files
+WITH c AS (SELECT repo, path AS file, regexp_extract(path, '/tests/([^/]+)/', 1) AS category, len(regexp_extract_all(content, 'def test_\w+')) AS n FROM files
   WHERE regexp_matches(path, '(^|/)test_[^/]*\.py$') AND contains(path, '/tests/'))
-SELECT category, file, CAST(n AS BIGINT) AS n_tests, CAST(0 AS INTEGER) AS level FROM c
-UNION ALL SELECT category, NULL, CAST(sum(n) AS BIGINT), 1 FROM c GROUP BY category HAVING sum(n) > 0
-UNION ALL SELECT NULL, NULL, CAST(sum(n) AS BIGINT), 3 FROM c""")
+SELECT repo, category, file, CAST(n AS BIGINT) AS n_tests, CAST(0 AS INTEGER) AS level FROM c
+UNION ALL SELECT repo, category, NULL, CAST(sum(n) AS BIGINT), 1 FROM c GROUP BY repo, category HAVING sum(n) > 0
+UNION ALL SELECT repo, NULL, NULL, CAST(sum(n) AS BIGINT), 3 FROM c GROUP BY repo""")
 def _(spark, sf):
     return lint.test_inventory(corpus(spark, sf))

@@ -97,7 +97,8 @@ def _(spark, sf):
 
 @query("distinct_types", """
 SELECT t.repo, t.outlier_type, t.n AS n_recorded, replace(a.risk, '{n}', CAST(CASE WHEN t.outlier_type = 'very_large_codebase' THEN t.total_files ELSE t.n END AS VARCHAR)) AS risk,
-  a.recommendation FROM type_counts t JOIN advice a ON a.outlier_type = t.outlier_type WHERE t.n > 0""")
+  a.recommendation FROM type_counts t JOIN profile p ON p.repo = t.repo
+  LEFT JOIN advice a ON a.outlier_type = t.outlier_type AND (t.outlier_type <> 'deep_nesting' OR p.max_depth > 2) WHERE t.n > 0""")
 def _(spark, sf):
     return outliers.distinct_types(outliers.outlier_type_counts(flags(spark, sf), LIMITS))
 

@@ -24,9 +24,12 @@ def read_tree(spark: SparkSession, root: str, glob: str = "*.py", repo: str | No
 
     Without `repo`, each directory directly below the root is one project. A missing root fails the read.
     """
-    base = re.sub(r"^file:/+", "/", root.rstrip("/"))
-    full = F.regexp_replace("path", "^file:/+", "/")
-    rel = F.substring(full, F.lit(len(base) + 2), F.length(full))
+    # the scan returns qualified paths, so the root is qualified by the same file system before it is cut off
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().normalize().getPath().rstrip("/")
+    full = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    inside = F.when(F.startswith(full, F.lit(base + "/")), full).otherwise(F.raise_error(F.concat(F.lit(f"not below {base}: "), full)))
+    rel = F.substring(inside, F.lit(len(base) + 2), F.length(full))
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
         .select(rel.alias("path"), F.col("content").alias("raw"))
@@ -130,7 +133,8 @@ def first_n_files(files: DataFrame, n: int = 100) -> DataFrame:
 def snapshot_manifest(files: DataFrame, exclude: Sequence[str] = COPY_EXCLUDES) -> DataFrame:
     """Files that belong to a project copy: no excluded path component, no excluded suffix."""
     suffixes = [e[1:] for e in exclude if e.startswith("*")]
-    return files.filter(~text.any_part(F.col("path"), list(exclude)) & ~text.suffix(F.col("path")).isin(suffixes))
+    rel = text.relative(F.col("repo"), F.col("path"))
+    return files.filter(~text.any_part(rel, list(exclude)) & ~text.suffix(F.col("path")).isin(suffixes))
 
 
 def write_snapshot(files: DataFrame, path: str, exclude: Sequence[str] = COPY_EXCLUDES) -> None:
