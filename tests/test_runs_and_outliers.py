@@ -254,3 +254,11 @@ def test_lints_are_kept_apart_by_project(spark, make_files):
     verdicts = {r["repo"]: r["verdict"] for r in lint.quality_verdict(found, files).collect()}
     assert verdicts["bad"] == "FAIL" and verdicts["good"] != "FAIL"
     assert {r["repo"] for r in lint.issue_counts(found).filter("grouping = 'severity'").collect()} <= {"bad", "good"}
+
+
+def test_unreadable_files_have_a_size(spark):
+    from transmuta.operators import outliers
+
+    rows = [("p", "p/a.py", bytearray(b"x\n" * 3000 + b"\xe9"), None), ("p", "p/b.py", bytearray(b"x\n"), "x\n")]
+    files = spark.createDataFrame(rows, "repo string, path string, raw binary, content string")
+    assert outliers.size_outliers(outliers.file_flags(files)).first()["size_ratio"] == 3001.0

@@ -96,8 +96,11 @@ def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str]
     def flag(cond: Column) -> Column:
         return F.coalesce(cond, F.lit(False))
 
+    # bytes that are not UTF-8 still have lines, read as latin-1, where the scan carries the bytes
+    size_lines = F.col("n_lines") if "raw" not in files.columns else F.coalesce(
+        "n_lines", F.when(F.col("content").isNull(), text.line_count(text.decode_with_fallback(F.col("raw")))))
     return measured.select(
-        "repo", "path", "rel", "is_py", "n_lines",
+        "repo", "path", "rel", "is_py", "n_lines", size_lines.alias("size_lines"),
         F.when(F.size(p) > 1, p[0]).alias("top_dir"),
         (F.size(p) - 1).alias("depth"),
         p[0].isin(*GENERATED).alias("is_generated"),
@@ -124,7 +127,7 @@ def repo_profile(flags: DataFrame) -> DataFrame:
         F.bool_or("is_py").alias("has_py"), F.max("depth").alias("depth"),
         F.bool_or("is_generated").alias("is_generated"), F.bool_or("is_gitmodules").alias("is_gitmodules"),
         F.bool_or("is_namespace").alias("is_namespace"), F.count_if("is_py").alias("n_py"),
-        F.max(F.when(F.col("is_py"), F.col("n_lines"))).alias("max_lines"), F.min(F.when(F.col("is_py"), F.col("n_lines"))).alias("min_lines"),
+        F.max(F.when(F.col("is_py"), F.col("size_lines"))).alias("max_lines"), F.min(F.when(F.col("is_py"), F.col("size_lines"))).alias("min_lines"),
         *[F.count_if(c).alias(c) for c in counted])
     return per_dir.groupBy("repo").agg(
         F.count_if(F.col("has_py") & ~F.col("top_dir").startswith(".")).alias("python_project_count"),
@@ -250,15 +253,13 @@ def repo_policy(report: DataFrame, choice: str = "cautious") -> DataFrame:
 def suffix_match(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Files whose path equals or ends with a listed relative path of the same project.
 
-    A path is compared by its last L characters for every length L that occurs in the list, so the theta condition
-    becomes an equi-join on (repo, ending), salted because a short ending may fit most paths. Lengths are bounded by
-    the longest path.
+    A path is compared by its last L characters for every length L that its own project's list holds, so the theta
+    condition becomes an equi-join on (repo, ending), salted because a short ending may fit most paths. The lengths are
+    one small row per project, bounded by the longest path.
     """
-    lengths = listed.agg(F.array_sort(F.collect_set(F.length("rel"))).alias("l")).first()["l"] or []
-    if not lengths:
-        return files.limit(0).select("repo", "path", F.lit("").alias("rel"))
-    endings = F.array_distinct(F.array_compact(F.array(*[
-        F.when(F.length("path") >= n, F.right("path", F.lit(n))) for n in lengths])))
-    keyed = files.select("repo", "path", F.explode(endings).alias("rel"))
-    matched = salted_join(keyed, listed.select("repo", "rel").distinct(), ["repo", "rel"], "inner", spread_by=["path"])
-    return matched.select("repo", "path", "rel")
+    wanted = listed.select("repo", "rel").distinct()
+    lengths = wanted.groupBy("repo").agg(F.collect_set(F.length("rel")).alias("lengths"))
+    placed = salted_join(files.select("repo", "path"), lengths, ["repo"], "inner", spread_by=["path"])
+    endings = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.right(F.col("path"), n))
+    keyed = placed.select("repo", "path", F.explode(endings).alias("rel"))
+    return salted_join(keyed, wanted, ["repo", "rel"], "inner", spread_by=["path"]).select("repo", "path", "rel")

@@ -60,6 +60,12 @@ def _(spark, sf):
     return _flat(stream.task_events_stream(events, stream.stream_folder(spark)))
 
 
+@query("windowed_activity", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, task_id, kind, count(*) AS n FROM task_events GROUP BY ALL")
+def _(spark, sf):
+    """The batch form of the windowed stream."""
+    return stream.windowed_activity(derived.task_events(spark, sf))
+
+
 _GROUP_ROWS = " UNION ALL ".join(
     f"SELECT '{g}_tests' AS section, '{n}' AS name, CAST(coalesce((SELECT sum({e}) FROM live_groups WHERE test_group = '{g}'), 0) AS BIGINT) AS value"
     for g in tracker.GROUPS for n, e in (("total_passed", "passed"), ("total_failed", "failed"), ("total_run", "passed + failed")))
