@@ -220,34 +220,37 @@ def _merge(spans: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return a[new, 0], reach[np.append(new[1:], len(a)) - 1]
 
 
-def _with_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches, 200):
-        kept, removed, count = [], [], []
-        names = batch.schema.names
-        texts, spans = batch.column(names.index("text")).to_pylist(), batch.column(names.index("_rep_spans")).to_pylist()
-        for text, found in zip(texts, spans):
-            data = (text or "").encode()
-            starts, ends = _merge(found or [])
-            pieces = [data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)])]
-            kept.append(b"".join(pieces))
-            removed.append(int((ends - starts).sum()))
-            count.append(len(starts))
-        at = names.index("_rep_spans")
-        rest = [batch.column(i) for i in range(len(names)) if i != at]
-        yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
-                                         [*(n for n in names if n != "_rep_spans"), "_rep_kept", "_rep_removed", "_rep_count"])
-
-
-def without_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
-    """docs with _rep_kept (bytes that remain), _rep_removed (bytes) and _rep_count (maximal removed runs)."""
+def _with_kept(as_text: bool):
+    """The bytes that remain; as text without the bytes of broken characters."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 200):
+            kept, removed, count = [], [], []
+            names = batch.schema.names
+            texts, spans = batch.column(names.index("text")).to_pylist(), batch.column(names.index("_rep_spans")).to_pylist()
+            for text, found in zip(texts, spans):
+                data = (text or "").encode()
+                starts, ends = _merge(found or [])
+                rest = b"".join(data[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(data)]))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+                removed.append(int((ends - starts).sum()))
+                count.append(len(starts))
+            at = names.index("_rep_spans")
+            others = [batch.column(i) for i in range(len(names)) if i != at]
+            yield pa.RecordBatch.from_arrays([*others, pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
+                                             [*(n for n in names if n != "_rep_spans"), "_rep_kept", "_rep_removed", "_rep_count"])
+    return run
+
+
+def without_repeats(docs: DataFrame, large: int = LARGE, as_text: bool = False) -> DataFrame:
+    """docs with _rep_kept (what remains, as bytes or text), _rep_removed (bytes) and _rep_count (maximal removed runs)."""
     spans = repeated_spans(docs, large).groupBy(F.col("id").alias("_rep_id"), F.col("mark").alias("_rep_mark")) \
         .agg(F.collect_list(F.struct("start", "end")).alias("_rep_spans"))
     spans = Written(spans, "spans").df
     free_shuffles(docs.sparkSession)
     joined = _keyed(docs).join(spans, ["_rep_id", "_rep_mark"], "left").drop("_rep_id", "_rep_mark").select(*docs.columns, "_rep_spans")
-
-    return joined.mapInArrow(_with_kept, T.StructType([*docs.schema.fields, T.StructField("_rep_kept", T.BinaryType()),
-                                                       T.StructField("_rep_removed", T.LongType()), T.StructField("_rep_count", T.LongType())]))
+    return joined.mapInArrow(_with_kept(as_text), T.StructType([
+        *docs.schema.fields, T.StructField("_rep_kept", T.StringType() if as_text else T.BinaryType()),
+        T.StructField("_rep_removed", T.LongType()), T.StructField("_rep_count", T.LongType())]))
 
 
 def digests(docs: DataFrame, large: int = LARGE) -> DataFrame:
@@ -259,17 +262,9 @@ def digests(docs: DataFrame, large: int = LARGE) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """docs with texts that lack the repeated bytes; a character that loses one of its bytes goes whole. Columns of docs."""
-    kept = without_repeats(docs)
-    text = F.when(F.col("_rep_count") > 0, F.col("_rep_text")).otherwise(F.col("text"))
-    out = kept.withColumn("_rep_text", whole_characters("_rep_kept")).withColumn("text", text)
+    kept = without_repeats(docs, as_text=True)
+    cut = F.col("_rep_count") > 0
+    changed = {"text": F.when(cut, F.col("_rep_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_rep_count") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
-
-
-def whole_characters(column: str):
-    """UTF-8 bytes as text, without the bytes of broken characters."""
-    @F.pandas_udf("string")
-    def decoded(values):
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-    return decoded(F.col(column))
+        changed["n_chars"] = F.when(cut, F.length("_rep_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumns(changed).select(*docs.columns)
