@@ -84,12 +84,20 @@ def _unpack(packed: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
     return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
 
+class Numbers(dict):
+    """Numbers words in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
     """(block id, words, numbers of each text, (batch, row) of each text); a word's number is its place by frequency.
 
     The id is a digest of the block's texts, so that both reads of the input agree on it.
     """
-    words: dict[str, int] = {}
+    words = Numbers()
     lists, where, size, digest = [], [], 0, xxhash.xxh3_64()
 
     def close():
@@ -103,15 +111,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary):
     for batch in small(batches):
         for row, text in enumerate(batch["text"].to_pylist()):
             found = vocabulary.cut(text) if text else []
-            number = words.setdefault
-            lists.append(np.fromiter((number(w, len(words)) for w in found), np.uint32, len(found)))
+            lists.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)))
             where.append((batch, row))
             size += len(text or "") + 1
             data = text.encode() if text else b""
             digest.update(struct.pack("<q", len(data)) + data)
             if size >= BLOCK:
                 yield close()
-                words, lists, where, size, digest = {}, [], [], 0, xxhash.xxh3_64()
+                words, lists, where, size, digest = Numbers(), [], [], 0, xxhash.xxh3_64()
     if where:
         yield close()
 
