@@ -262,3 +262,13 @@ def test_unreadable_files_have_a_size(spark):
     rows = [("p", "p/a.py", bytearray(b"x\n" * 3000 + b"\xe9"), None), ("p", "p/b.py", bytearray(b"x\n"), "x\n")]
     files = spark.createDataFrame(rows, "repo string, path string, raw binary, content string")
     assert outliers.size_outliers(outliers.file_flags(files)).first()["size_ratio"] == 3001.0
+
+
+def test_only_python_files_are_parsed(spark, make_files):
+    from transmuta.operators import outliers
+    from transmuta.plans import flows
+
+    files = make_files({"README.md": "# def broken(", "a.py": "x = 1\n", "b.py": "def broken("})
+    assert [r["path"] for r in outliers.file_outlier_reasons(files).collect()] == ["p/b.py"]
+    known = spark.createDataFrame([("os",)], "module string")
+    assert flows.validate_tree(files, known).first().asDict()["total_files"] == 2

@@ -231,7 +231,8 @@ def file_reasons(limits: Limits = Limits()) -> Column:
 
 
 def file_outlier_reasons(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Unusual files with their reasons."""
+    """Unusual Python files with their reasons; other files are not parsed."""
+    files = files.filter(F.col("path").endswith(".py"))
     found = once(with_facts(text.with_line_shape(files, limits.indent_lines)), reasons=file_reasons(limits))
     return found.filter(F.size("reasons") > 0).select("repo", "path", "reasons")
 

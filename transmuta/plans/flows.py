@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from transmuta.operators import decisions, detect, metrics, outliers, reports, resolve, rewrite, validate
 from transmuta.sources import stores
 from transmuta.sources.catalog import RuleSet
-from transmuta.sources.corpus import select_files
+from transmuta.sources.corpus import glob_scan, select_files
 
 
 def analyze(files: DataFrame, out: str, limits: outliers.Limits = outliers.Limits()) -> None:
@@ -31,7 +31,8 @@ def apply(files: DataFrame, report_path: str, rules: RuleSet, mode: str = "auto"
 
 
 def validate_tree(files: DataFrame, known_modules: DataFrame) -> DataFrame:
-    """One row of validation results per project."""
+    """One row of validation results per project, over its Python files."""
+    files = glob_scan(files)
     return validate.validation_summary(validate.validate(files, known_modules), files)
 
 
