@@ -89,3 +89,20 @@ def test_licences_are_named_and_confirmed(spark):
     assert len(hits) >= 0.9 * len(cases)
     assert all(got[i]["families"] == "" and got[i]["n_passages"] == 0 for i in [*range(1000, 1060), 2000, 2001, 2002])
     assert licences.licence_report(frame.limit(0)).count() == 0
+
+
+def test_adjacent_notices_are_all_reported(spark):
+    rng = random.Random(9)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    cases = [(f, t) for f, texts in licences.TEMPLATES.items() for t in texts]
+    short = [(f, texts[0]) for f, texts in licences.TEMPLATES.items()]
+    dual = ["Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    sets = [[c] for c in cases] + [[a, b] for a in short for b in short if a[0] != b[0]] + [rng.sample(short, 5) for _ in range(40)]
+    sets += [[("MIT", dual[0]), ("Apache-2.0", dual[1])], cases]
+    docs = [(i, f"{plain(30)}\n" + "\n".join(t for _, t in s) + f"\n{plain(30)}") for i, s in enumerate(sets)]
+    docs += [(10_000 + i, plain(200)) for i in range(60)]
+    rows = licences.licence_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in rows}
+    wrong = {i: (got[i]["families"], sorted({f for f, _ in s})) for i, s in enumerate(sets) if got[i]["families"] != ",".join(sorted({f for f, _ in s}))}
+    assert not wrong
+    assert all(got[i]["n_passages"] == len(s) for i, s in enumerate(sets[:-1]))
