@@ -145,6 +145,21 @@ def rendered(turns):
     return out, spans
 
 
+def test_dictionary_is_trained_on_different_payloads_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdef <>") for _ in range(n))
+    rows = [(i, "u", x) for i, x in enumerate([*[text(2000)] * 3000, *(text(2000) for _ in range(300)), text(3_000_000)])]
+    used = []
+    real = zstandard.train_dictionary
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, records, **more: used.extend(records) or real(size, records, **more))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    dictionary = warc.train(frame, 200_000)
+    payloads = [r.partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2] for r in used]
+    assert dictionary and len(set(payloads)) == len(payloads)
+    assert 180_000 <= sum(map(len, used)) <= 200_000 + 4 * warc.PART
+    assert warc.train(frame, 200_000) == dictionary
+
+
 def test_preference_pairs_equal_brute_force(spark):
     rng = random.Random(9)
     conversations = {}

@@ -6,7 +6,9 @@ import zlib
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from transmuta.llm import licences, toxicity
+from pyspark.sql import functions as F
+
+from transmuta.llm import licences, samples, toxicity
 
 
 def brute_segments(scores):
@@ -106,3 +108,19 @@ def test_adjacent_notices_are_all_reported(spark):
     wrong = {i: (got[i]["families"], sorted({f for f, _ in s})) for i, s in enumerate(sets) if got[i]["families"] != ",".join(sorted({f for f, _ in s}))}
     assert not wrong
     assert all(got[i]["n_passages"] == len(s) for i, s in enumerate(sets[:-1]))
+
+
+def test_samples_of_a_tiny_share_are_not_empty(spark, monkeypatch):
+    many = spark.range(4_000_000)  # shares below 2**-20
+    labels = many.select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    docs = many.select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    assert 0 < toxicity.training_rows(docs, labels, 3).count() < 20
+    monkeypatch.setattr(licences, "SAMPLE", 1)
+    texts = many.select(F.concat(F.lit("the words of this text are "), "id").alias("text"))
+    assert not licences.fit(texts).telling & {"the", "of", "this"}
+
+
+def test_smallest_hashes_count_copies_once(spark):
+    sized = spark.createDataFrame([(h, 10) for h in range(-50, 50) for _ in range(1 + 300 * (h == -50))], "hash long, size long")
+    assert samples.smallest(sized, 95) == -41
+    assert samples.smallest(sized, 10**6) == 49 and samples.smallest(sized.limit(0), 95) is None

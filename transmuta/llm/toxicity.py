@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions.materialize import Written
 from transmuta.llm.batches import small
+from transmuta.llm.samples import below_share
 
 TOKEN = re.compile(r"\w+")
 STEM = 4  # letters
@@ -135,7 +136,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     ids = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     share = min(1.0, sample / max(1, ids.count()))
-    chosen = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = ids.filter(below_share(F.xxhash64("doc_id"), share))
     # at most about `sample` rows of two numbers, so a broadcast is bounded and no text moves
     return docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id") \
         .select(fold(F.col("doc_id")).alias("fold"), "toxic", "text")

@@ -1,8 +1,9 @@
 """WARC archives compressed with a Zstandard dictionary, one frame per record.
 
 An archive starts with a skippable frame that holds the dictionary; every record follows as a frame of its own, so it can
-be read alone. The dictionary is trained on archived records: a sample of about SAMPLE bytes, chosen by a hash of the
-payload (a bound of the training; every record is written). With too few records to train on, archives have no dictionary.
+be read alone. The dictionary is trained on archived records: about SAMPLE bytes of different payloads, those of smallest
+hash, of each the first PART characters (bounds of the training; every record is written whole). With too few records to
+train on, archives have no dictionary.
 
 Records with equal payloads (equal SHA-1) are stored once: the one with the largest page id is the response, the others
 are revisits that name it. Tasks write archives of about ARCHIVE bytes of records to the shared folder under names of
@@ -29,8 +30,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from transmuta.functions.materialize import Written, shared_folder
 from transmuta.llm.batches import small
+from transmuta.llm.samples import smallest
 
-SAMPLE = 4_000_000  # bytes of payload to train on
+SAMPLE = 4_000_000  # bytes of records to train on
+PART = 100_000  # characters of payload in a record to train on
+URL = 1000  # and of url
+HEAD = 500  # about the bytes of a record's headers
 DICTIONARY = 64 * 1024
 ARCHIVE = 32_000_000  # bytes of records in an archive
 LEVEL = 3
@@ -134,9 +139,15 @@ def read_archive(source) -> Iterator[bytes]:
 def train(pages: DataFrame, sample: int = SAMPLE) -> bytes:
     """A dictionary from about `sample` bytes of records, or nothing where these are too few."""
     sized = pages.select(F.coalesce("html", F.lit("")).alias("html"), "url", "page_id").filter("html <> ''")
-    total = sized.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    part = int(min(1.0, sample / max(1, total)) * (1 << 20))
-    rows = sized.filter(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < part).collect()
+    part, url = F.substring("html", 1, PART), F.substring("url", 1, URL)
+    size = F.octet_length(part) + HEAD
+    last = smallest(sized.select(F.xxhash64("html").alias("hash"), size.alias("size")), sample)
+    if last is None:
+        return b""
+    # one record of each payload, however many copies it has
+    rows = sized.withColumn("hash", F.xxhash64("html")).filter(F.col("hash") <= last) \
+        .select("hash", F.struct("page_id", url.alias("url"), part.alias("html")).alias("row")) \
+        .groupBy("hash").agg(F.min("row").alias("row")).orderBy("hash").select("row.*").collect()
     records = [record_bytes(r["page_id"], r["url"], r["html"].encode(), None) for r in rows]
     if len(records) < 8 or sum(map(len, records)) < 8 * 1024:
         return b""
