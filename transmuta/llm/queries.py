@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import binary_codes, bpe, impact_index, licences, minhash, mixing, preferences, repeats, toxicity, warc
+from transmuta.llm import binary_codes, bpe, factorisation, impact_index, licences, minhash, mixing, phrases, preferences, repeats, toxicity, warc
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,37 @@ def op9(spark, sf_dir):
 @query("op10_suffix_array_dedup")
 def op10(spark, sf_dir):
     return repeats.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_quality_classifier")
+def op11(spark, sf_dir):
+    return factorisation.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_phrase_collocations", sql=r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+phrases AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, unnest([1, 2, 3, 4]) AS m FROM pieces) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM phrases GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, l.f AS l, r.f AS r, CAST((2000000::HUGEINT * c.a) // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, a AS longer, array_to_string(w[i:i + s - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand))),
+covered AS (SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT b.*, t.n, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN covered v ON v.lang = b.lang AND v.phrase = b.phrase
+  WHERE v.longer IS NULL OR 100::HUGEINT * v.longer < 80::HUGEINT * b.a)
+WHERE rank <= 2000""")
+def op12(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
