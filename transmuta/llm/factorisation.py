@@ -45,7 +45,7 @@ SAMPLE = 20_000
 SHARDS = 4
 ROUNDS = 6
 BATCH = 128
-RATE, RIDGE = 0.1, 1e-5
+RATE, RIDGE, CAUTION = 0.2, 1e-5, 1e-2  # CAUTION: what AdaGrad's sums of squares start from
 BINS = 24
 MEMO = 200_000
 
@@ -137,9 +137,10 @@ def _sum_by(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], rate: float, seed: int) -> tuple[Model, np.ndarray]:
-    """One pass of AdaGrad over the rows in mini-batches; the new model, and the indices met. No row has no feature."""
+    """One pass of AdaGrad over the rows in mini-batches; the new model, and the features met. No row is without features."""
     w0, w, v = model.bias, model.weights.copy(), model.factors.copy()
-    g0, gw, gv = 1e-6, np.full(SIZE, 1e-6, np.float32), np.full((SIZE, FACTORS), 1e-6, np.float32)
+    g0, gw, gv = CAUTION, np.full(SIZE, CAUTION, np.float32), np.full((SIZE, FACTORS), CAUTION, np.float32)
+    seen = np.zeros(SIZE, bool)
     order = np.random.default_rng(seed).permutation(len(rows))
     for start in range(0, len(rows), BATCH):
         part = [rows[i] for i in order[start:start + BATCH]]
@@ -152,6 +153,7 @@ def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], rate: fl
         slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - np.array([r[2] for r in part])) / len(part)
         each = slope[of] * x
         met, place = np.unique(index, return_inverse=True)
+        seen[index[x != 0]] = True
         dw = np.bincount(place, each, len(met)) + RIDGE * w[met]
         inner = each[:, None] * (total[of] - vx)
         dv = np.stack([np.bincount(place, inner[:, f], len(met)) for f in range(FACTORS)], axis=1) + RIDGE * v[met]
@@ -160,7 +162,7 @@ def train(model: Model, rows: list[tuple[np.ndarray, np.ndarray, int]], rate: fl
         w0 -= rate * d0 / np.sqrt(g0)
         w[met] -= rate * dw / np.sqrt(gw[met])
         v[met] -= rate * dv / np.sqrt(gv[met])
-    return Model(float(w0), w, v), gw > 1e-6
+    return Model(float(w0), w, v), seen
 
 
 def _trainer(model: Model, rate: float):

@@ -12,8 +12,10 @@ Phrases are runs of 2 to LONGEST words inside a piece of text, counted per langu
    are being counted in this same pass. Every frequent phrase is then counted, so one expansion closes the result,
    which is exact whatever the sample was.
 
-A task counts the words of a chunk as integers and sends (language, phrase, count) rows, which are summed map-side and
-once more after one shuffle, so a frequent phrase is one row a task. Scores are whole numbers, computed in decimals of 38 digits. A candidate's
+A task counts the words of a chunk as integers. What leaves it is packed: for each part of the phrases, dealt by their hash,
+one row with its phrases and counts, compressed; a frequent phrase is one entry a chunk. There are PARTS parts for each
+shuffle partition; the task that gets a part sums it and keeps what is frequent, so its memory is bounded by the distinct phrases
+over the number of partitions. Scores are whole numbers, computed in decimals of 38 digits. A candidate's
 parts are looked up by a join; parts that very many candidates share (at most 1 / HOT_SHARE of them can exist) are looked
 up in a broadcast of that bound instead.
 
@@ -29,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from transmuta.functions.materialize import Written
@@ -37,9 +40,11 @@ from transmuta.llm.samples import below_share
 LEAST = 30
 LONGEST = 4
 SHARE = 0.125
-LOWERED = 0.55  # of the threshold that the sample's share would give
+LOWERED = 0.8  # of the threshold that the sample's share would give
 BITS = 1 << 26
-CHUNK = 3_000_000  # words
+CHUNK = 1_500_000  # words
+PARTS = 4  # for each shuffle partition
+COMPACT = 2_000_000  # entries that a summing task holds before it sums them
 HOT_SHARE = 1 / 1000
 
 #: Lower case for A to Z; the tab is a space; a piece ends at these marks and line breaks, which all become a full stop.
@@ -100,17 +105,20 @@ class Chunk:
         self.n += len(found)
 
 
-def count_chunk(chunk: Chunk, counted: Filter | None, known: Filter, longest: int, levels: range) -> Iterator[pa.RecordBatch]:
-    """(lang, phrase, words, h, n) of the phrases of the lengths `levels` to be counted.
+Counted = tuple[pa.Array, np.ndarray, np.ndarray]
+
+
+def count_chunk(chunk: Chunk, counted: Filter | None, known: Filter, longest: int, levels: range) -> Iterator[Counted]:
+    """(phrases ended by a line break, hashes, counts) of the phrases of the lengths `levels` to be counted; the chunk's
+    number of words stands under the empty phrase, with the words.
 
     known: the phrases that may be parts of longer ones. counted: by which filter an earlier pass chose what it counted;
     that is not counted again, and what it left out may be part of longer ones. None in a first pass.
     """
     ids = np.concatenate(chunk.ids) if chunk.ids else np.zeros(0, np.int32)
     words = list(chunk.words)
-    seed = xxhash.xxh64_intdigest(chunk.lang.encode("utf-8", "surrogatepass"))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))
-    names = pa.array(words, pa.binary())
+    hashes = np.fromiter(map(word_hash(chunk.lang), words), np.uint64, len(words))
+    names, ended = pa.array(words, pa.binary()), pa.array([w + b"\n" for w in words], pa.binary())
     n = len(ids)
     raw = hashes[ids]  # of the phrase so far, before mixing
     whole = ids != 0
@@ -118,82 +126,147 @@ def count_chunk(chunk: Chunk, counted: Filter | None, known: Filter, longest: in
         n_of = np.bincount(ids, minlength=len(words))
         n_of[0] = 0
         at = np.flatnonzero(n_of)
-        yield from _rows(chunk.lang, 1, names.take(pa.array(at)), _mixed(hashes[at]), n_of[at])
-        yield from _rows(chunk.lang, 0, pa.array([b""], pa.binary()), np.zeros(1, np.uint64), np.array([int(whole.sum())]))
-    of_word = known.holds(_mixed(hashes))
-    before = of_word[ids] & whole  # at a position: the phrase of the last length that starts there may be a part
-    early = counted.holds(_mixed(hashes))[ids] & whole if counted else None  # the same by the earlier pass
-    key, distinct = ids.astype(np.int64), len(words)
-    shorter_key, shorter_distinct = key, distinct
+        yield ended.take(pa.array(at)), _mixed(hashes[at]), n_of[at]
+        yield pa.array([b"\n"], pa.binary()), np.zeros(1, np.uint64), np.array([int(whole.sum())])
+    known_word = known.holds(_mixed(hashes))
+    before = known_word[ids] & whole  # at a position: the phrase of the last length that starts there may be a part
+    early = counted.holds(_mixed(hashes))[ids] & whole if counted else None  # the same in the earlier pass
+    code, distinct = ids.astype(np.int64), len(words)  # its name in this chunk
     for m in range(2, longest + 1):
         if n < m:
             return
         size = n - m + 1
         raw = raw[:size] * _STEP + hashes[ids[m - 1:]]
         may = before[:size] & before[1:size + 1]
-        done = early[:size] & early[1:size + 1] if counted else None
-        h = _mixed(raw)
-        here = np.flatnonzero(may)
-        in_known = np.zeros(size, bool)
-        in_known[here] = known.holds(h[here])
-        fresh = may & ~done if counted else may
-        next_early = np.zeros(size, bool)
-        if counted:
-            here = np.flatnonzero(done)
-            next_early[here] = counted.holds(h[here])
-        # a name of the phrase in this chunk: of its first words and its last one, or of its first and last two
         at = np.flatnonzero(may)
-        if m == 2:
-            code = key[at] * distinct + key[at + 1]
-        else:
-            code = shorter_key[at] * shorter_distinct + shorter_key[at + 1]
-        unique, first, place = np.unique(code, return_index=True, return_inverse=True)
+        held = np.zeros(size, bool)
+        if m < longest:
+            held[at] = known.holds(_mixed(raw[at]))
+        fresh = may
+        if counted:
+            done = early[:size] & early[1:size + 1]
+            early = np.zeros(size, bool)
+            if m < longest:
+                there = np.flatnonzero(done)
+                early[there] = counted.holds(_mixed(raw[there]))
+            fresh = may & ~done
+            held |= fresh
+        before = may & held
+        # named by the names of its first and its last words but one
+        unique, first, place = np.unique(code[at] * distinct + code[at + 1], return_index=True, return_inverse=True)
         if m in levels:
-            new = fresh[at]
-            n_of = np.bincount(place[new], minlength=len(unique))
+            n_of = np.bincount(place[fresh[at]], minlength=len(unique))
             some = np.flatnonzero(n_of)
             start = at[first[some]]
-            parts = [names.take(pa.array(ids[start + j])) for j in range(m)]
-            yield from _rows(chunk.lang, m, pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), h[start], n_of[some])
-        shorter_key = np.full(size, -1, np.int64)
-        shorter_key[at] = place
-        shorter_distinct = len(unique)
-        before = may & (in_known | fresh) if counted else may & in_known
-        early = next_early
-
-
-def _rows(lang: str, words: int, phrases: pa.Array, hashes: np.ndarray, n: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
-    for start in range(0, len(n), most):
-        part = slice(start, start + most)
-        size = len(n[part])
-        yield pa.RecordBatch.from_pydict({
-            "lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int8))), "phrase": phrases[part].view(pa.string()), "words": pa.array(np.full(size, words, np.int32)),
-            "h": pa.array(hashes[part].view(np.int64)), "n": pa.array(n[part].astype(np.int64))})
-
-
-def counts(docs: DataFrame, known: Filter, counted: Filter | None = None, longest: int = LONGEST, levels: range | None = None, chunk: int | None = None) -> DataFrame:
-    """lang, phrase, words, h, n summed over docs (text, lang); a language's total stands under words = 0."""
+            parts = [names.take(pa.array(ids[start + j])) for j in range(m - 1)] + [ended.take(pa.array(ids[start + m - 1]))]
+            yield pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())), _mixed(raw[start]), n_of[some]
+        if m < longest:
+            code = np.full(size, -1, np.int64)
+            code[at] = place
+            distinct = max(1, len(unique))
+
+
+def word_hash(lang: str):
+    """Hash of a word of a language."""
+    seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
+    return lambda w: xxhash.xxh64_intdigest(w, seed)
+
+
+def phrase_hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
+    """The hashes that count_chunk gives phrases."""
+    of_word, known, mask, out = word_hash(lang), {}, (1 << 64) - 1, []
+    for p in phrases:
+        raw = 0
+        for k, w in enumerate(p.split(b" ")):
+            if w not in known:
+                known[w] = of_word(w)
+            raw = known[w] if not k else (raw * int(_STEP) + known[w]) & mask
+        out.append(raw)
+    return _mixed(np.array(out, np.uint64))
+
+
+def packed(lang: str, found: Counted, parts: int) -> pa.RecordBatch:
+    """One row for each part that has phrases: its phrases and their counts, compressed."""
+    phrases, hashes, n = found
+    part = (hashes % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    phrases, n, part = phrases.take(pa.array(order)), n[order].astype(np.int64), part[order]
+    offsets = np.frombuffer(phrases.buffers()[1], np.int32)[:len(phrases) + 1] if len(phrases) else np.zeros(1, np.int32)
+    data = phrases.buffers()[2]
+    starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1)) if len(part) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(part)) if len(part) else starts
+    pack = zstandard.ZstdCompressor(1).compress
+    texts = [pack(data.slice(int(offsets[a]), int(offsets[b] - offsets[a]))) for a, b in zip(starts, ends)]
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(part[starts].astype(np.int32)), "lang": pa.array([lang] * len(starts), pa.string()), "phrases": pa.array(texts, pa.binary()),
+        "n": pa.array([pack(n[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary())})
+
+
+def unpacked(phrases: bytes, n: bytes) -> pa.Table:
+    unpack = zstandard.ZstdDecompressor().decompress
+    data = unpack(phrases)
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    # the line breaks stay: they cost a byte and save a copy
+    offsets = np.concatenate(([0], ends + 1)).astype(np.int32)
+    return pa.table({"phrase": pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]),
+                     "n": pa.array(np.frombuffer(unpack(n), np.int64))})
+
+
+def _summed(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("phrase", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+
+
+def counts(docs: DataFrame, least: int, known: Filter, counted: Filter | None = None, longest: int = LONGEST, levels: range | None = None) -> DataFrame:
+    """lang, phrase, words, h, n of the phrases that docs (text, lang) hold at least `least` times; a language's number of
+    words stands under words = 0."""
     levels = range(1, longest + 1) if levels is None else levels
-    most = chunk or CHUNK
+    most, compact = CHUNK, COMPACT
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = PARTS * partitions
     held = docs.sparkSession.sparkContext.broadcast((known, counted))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counted = held.value
         open_: dict[str, Chunk] = {}
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            for lang in list(open_):
+                for found in count_chunk(open_.pop(lang), counted, known, longest, levels):
+                    yield packed(lang, found, parts)
+
         for batch in batches:
-            langs = batch["lang"].to_pylist()
-            for lang in dict.fromkeys(langs):
+            for lang in dict.fromkeys(batch["lang"].to_pylist()):
                 mine = batch["text"].filter(pc.equal(batch["lang"], lang)).cast(pa.binary())
                 for start in range(0, len(mine), 64):
-                    c = open_.setdefault(lang, Chunk(lang))
-                    c.add(b".".join(mine[start:start + 64].to_pylist()))
-                    if sum(x.n for x in open_.values()) >= most:
-                        yield from (r for x in open_.values() for r in count_chunk(x, counted, known, longest, levels))
-                        open_.clear()
-        yield from (r for x in open_.values() for r in count_chunk(x, counted, known, longest, levels))
-
-    rows = docs.mapInArrow(run, "lang string, phrase string, words int, h long, n long")
-    return rows.groupBy("lang", "phrase").agg(F.max("words").alias("words"), F.max("h").alias("h"), F.sum("n").alias("n"))
+                    open_.setdefault(lang, Chunk(lang)).add(b".".join(mine[start:start + 64].to_pylist()))
+                    if sum(c.n for c in open_.values()) >= most:
+                        yield from closed()
+        yield from closed()
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[str, list[pa.Table]] = {}
+        size: dict[str, int] = {}
+        for batch in batches:
+            for lang, phrases, n in zip(*(batch[c].to_pylist() for c in ("lang", "phrases", "n"))):
+                new = unpacked(phrases, n)
+                tables.setdefault(lang, []).append(new)
+                size[lang] = size.get(lang, 0) + len(new)
+                if size[lang] > compact:
+                    tables[lang] = [_summed(tables[lang])]
+                    size[lang] = min(compact // 2, len(tables[lang][0]))
+        for lang in list(tables):
+            summed = _summed(tables.pop(lang))
+            summed = summed.filter(pc.or_(pc.greater_equal(summed["n"], least), pc.equal(summed["phrase"], b"\n")))
+            names, totals = [p[:-1] for p in summed["phrase"].to_pylist()], pa.array(summed["n"].to_numpy())
+            for a in range(0, len(names), 50_000):
+                part = names[a:a + 50_000]
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * len(part), pa.string()), "phrase": pa.array(part, pa.binary()).view(pa.string()),
+                    "words": pa.array([p.count(b" ") + 1 if p else 0 for p in part], pa.int32()), "h": pa.array(phrase_hashes(lang, part).view(np.int64)),
+                    "n": totals[a:a + 50_000]})
+
+    rows = docs.mapInArrow(count, "part int, lang string, phrases binary, n binary").repartition(partitions, "part")
+    return rows.mapInArrow(sum_up, "lang string, phrase string, words int, h long, n long")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: float = SHARE, lowered: float = LOWERED, bits: int = BITS) -> tuple[DataFrame, list[Written]]:
@@ -204,16 +277,16 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share:
     limit = max(1, int(least * share * lowered)) if share < 1 else least
     everything = Filter(None)
     # the sample proposes words first, then phrases of them; the longest are parts of nothing
-    proposed = [Written(counts(sample, everything, longest=1).filter(f"words = 1 AND n >= {limit}"), "proposed-words")]
+    proposed = [Written(counts(sample, limit, everything, longest=1).filter("words = 1"), "proposed-words")]
     if longest > 2:
-        proposed.append(Written(counts(sample, bloom(proposed[0].df, bits), Filter(bytearray(bits // 8)), longest - 1, range(2, longest)).filter(f"n >= {limit}"), "proposed-phrases"))
+        proposed.append(Written(counts(sample, limit, bloom(proposed[0].df, bits), Filter(bytearray(bits // 8)), longest - 1, range(2, longest)), "proposed-phrases"))
     counted = bloom(_union([p.df for p in proposed]), bits)
     for p in proposed:
         p.drop()
-    found = [Written(counts(rows, counted, None, longest).filter(f"words = 0 OR n >= {least}"), "phrases")]
-    parts = found[0].df.filter(f"words BETWEEN 1 AND {longest - 1}")
-    if not parts.filter(~_held(counted, rows.sparkSession)("h")).isEmpty():
-        found.append(Written(counts(rows, bloom(parts, bits), counted, longest, range(2, longest + 1)).filter(f"n >= {least}"), "phrases"))
+    found = [Written(counts(rows, least, counted, None, longest), "phrases")]
+    short = found[0].df.filter(f"words BETWEEN 1 AND {longest - 1}")
+    if not short.filter(~_held(counted, rows.sparkSession)("h")).isEmpty():
+        found.append(Written(counts(rows, least, bloom(short, bits), counted, longest, range(2, longest + 1)), "phrases"))
     return _union([f.df for f in found]), found
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transmuta.llm import binary_codes, bpe, factorisation, impact_index, licences, minhash, mixing, phrases, preferences, repeats, toxicity, warc
+from transmuta.llm import binary_codes, bpe, conversations, factorisation, impact_index, licences, minhash, mixing, phrases, preferences, repeats, toxicity, warc
 from transmuta.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,51 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 WHERE rank <= 2000""")
 def op12(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op13_conversation_repair", sql=r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+checked AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, [CAST(ord(c) AS BIGINT) for c in string_split(name, '')]),
+    lambda crc, b: list_reduce([xor(crc, b), 1::BIGINT, 1, 1, 1, 1, 1, 1, 1], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT) % 20 AS fate
+  FROM named),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM checked WHERE fate <> 0),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM placed),
+totals AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faulty GROUP BY conv_id),
+-- from each state (start, after system, user, assistant), what follows row i: cost, audit, text
+ahead AS (
+  SELECT conv_id, n + 1 AS i, [{'c': 0, 'a': '', 't': ''}, {'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}, {'c': 2, 'a': 'I', 't': 'assistant:' || chr(10)}, {'c': 0, 'a': '', 't': ''}] AS f
+  FROM totals
+  UNION ALL
+  SELECT conv_id, i, [list_sort([h[q], {'c': h[[3, 3, 4, 3][q]].c + 2, 'a': 'I' || h[[3, 3, 4, 3][q]].a, 't': ['user', 'user', 'assistant', 'user'][q] || ':' || chr(10) || h[[3, 3, 4, 3][q]].t},
+      CASE WHEN q < 3 THEN {'c': h[4].c + 4, 'a': 'II' || h[4].a, 't': 'user:' || chr(10) || 'assistant:' || chr(10) || h[4].t} END], 'ASC', 'NULLS LAST')[1] for q in [1, 2, 3, 4]]
+  FROM (
+    SELECT d.conv_id, p.i, [list_sort([{'c': d.f[q].c + 3, 'a': 'D' || d.f[q].a, 't': d.f[q].t},
+        CASE WHEN fault NOT IN ('blank', 'duplicate') AND kept[q] > 0 THEN {'c': d.f[kept[q]].c + stay, 'a': 'K' || d.f[kept[q]].a, 't': role || ':' || text || chr(10) || d.f[kept[q]].t} END,
+        CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {'c': d.f[[3, 3, 4, 3][q]].c + 2 + stay, 'a': 'R' || d.f[[3, 3, 4, 3][q]].a,
+          't': ['user', 'user', 'assistant', 'user'][q] || ':' || text || chr(10) || d.f[[3, 3, 4, 3][q]].t} END], 'ASC', 'NULLS LAST')[1] for q in [1, 2, 3, 4]] AS h
+    FROM ahead d JOIN (
+      SELECT *, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stay,
+        CASE left(role, 1) WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS kept FROM faulty) p
+      ON p.conv_id IS NOT DISTINCT FROM d.conv_id AND p.i = d.i - 1)),
+done AS (SELECT conv_id, f[1].c AS cost, f[1].a AS audit, f[1].t AS t FROM ahead WHERE i = 1),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(t, length(t) - 1), '')) AS repaired_sha256
+FROM every e LEFT JOIN totals s ON s.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM e.conv_id""")
+def op13(spark, sf_dir):
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
