@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions import text
 from transmuta.functions.arrays import once
+from transmuta.functions.joins import may_be_member
 
 
 def line_changes(before: Column, after: Column) -> Column:
@@ -27,16 +28,21 @@ def line_changes(before: Column, after: Column) -> Column:
 def line_diff(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("repo", "path"), text_col: str = "content") -> DataFrame:
     """Changed lines of the texts present in both tables.
 
-    Digests are compared first; only the texts of keys whose digests differ cross the network, each once.
+    Keys and digests are compared first. What differs becomes a membership filter of fixed size that is tested in a second
+    scan of either side, so that only the texts of differing keys, and of a few more that the filter lets pass, reach the
+    join. Texts of equal keys cross no network, whatever the planner knows about sizes.
     """
-    def side(df, name):
-        return df.select(*keys, F.col(text_col).alias(name))
-
     def digests(df, name):
         return df.select(*keys, F.sha2(F.col(text_col), 256).alias(name))
 
-    differing = digests(before, "_old").join(digests(after, "_new"), list(keys)).filter(F.col("_old") != F.col("_new")).select(*keys).distinct()
-    joined = side(before, "_b").join(differing, list(keys), "left_semi").join(side(after, "_a").join(differing, list(keys), "left_semi"), list(keys)).filter(F.col("_b") != F.col("_a"))
+    # null-safe, as a plain comparison would make the planner test, and so compute, every digest once more
+    differing = digests(before, "_old").join(digests(after, "_new"), list(keys)).filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    may_differ = may_be_member(differing, list(keys))
+
+    def side(df, name):
+        return df.filter(may_differ).select(*keys, F.col(text_col).alias(name))
+
+    joined = side(before, "_b").join(side(after, "_a"), list(keys)).filter(F.col("_b") != F.col("_a"))
     split = once(joined, _old=text.splitlines(F.col("_b")), _new=text.splitlines(F.col("_a")))
     return split.select(*keys, F.inline(line_changes(F.col("_old"), F.col("_new"))))
 

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from transmuta import schemas
 from transmuta.functions import text
 from transmuta.functions.arrays import elements, once
 from transmuta.functions.facts import with_facts
-from transmuta.functions.joins import salted_join
+from transmuta.functions.joins import lookup_join
 from transmuta.functions.pyre import jvm_pattern
 from transmuta.sources.corpus import SKIP_DIRS
 
@@ -80,18 +81,40 @@ def _can_exceed(limits: Limits) -> Column:
     return (F.col("n_lines") > limits.max_func_lines) | (definitions > limits.max_nesting)
 
 
-def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str] = SKIP_DIRS) -> DataFrame:
-    """Per-file measurements without the content. NULL content means the bytes were not UTF-8."""
+def _path_columns(limits: Limits) -> dict[str, Column]:
+    """What a path says, and whether its file makes a namespace package."""
     rel = text.relative(F.col("repo"), F.col("path"))
     p = text.parts(rel)
+    empty = (text.basename(rel) == "__init__.py") & (text.strip(F.col("content")) == "")
+    return {"rel": rel, "is_py": F.col("path").endswith(".py"), "top_dir": F.when(F.size(p) > 1, p[0]), "depth": F.size(p) - 1, "is_generated": p[0].isin(*GENERATED),
+            "is_gitmodules": rel == ".gitmodules", "is_namespace": F.coalesce(empty & (F.size(text.parts(F.col("path"))) > limits.min_parts), F.lit(False))}
+
+
+def path_flags(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The part of `file_flags` that structure needs: no text is split, searched or parsed."""
+    return files.select("repo", "path", *[c.alias(n) for n, c in _path_columns(limits).items()])
+
+
+def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str] = SKIP_DIRS, with_detections: bool = False) -> DataFrame:
+    """Per-file measurements without the content. NULL content means the bytes were not UTF-8.
+
+    `with_detections` adds the file's uses and whether the scan selects it, from the same parse.
+    """
+    rel = text.relative(F.col("repo"), F.col("path"))
     measured = once(text.with_line_shape(files, limits.indent_lines), is_comment_only=comment_only_mentions(F.col("content"))).withColumns({
         "rel": rel,
         "is_py": F.col("path").endswith(".py"),
         "skipped": text.any_part(rel, skip),
     })
-    measured = with_facts(measured, F.col("is_py") & ~F.col("skipped") & _can_exceed(limits))
     seen = F.col("is_py") & ~F.col("skipped")
-    name = text.basename(rel)
+    may_matter = _can_exceed(limits)
+    extra = []
+    if with_detections:
+        from transmuta.operators.detect import detection_array, may_use
+
+        may_matter = may_matter | may_use()
+        extra = [seen.alias("selected"), F.when(seen, detection_array()).otherwise(F.array().cast(f"array<{schemas.DETECTION}>")).alias("detections")]
+    measured = with_facts(measured, seen & may_matter)
 
     def flag(cond: Column) -> Column:
         return F.coalesce(cond, F.lit(False))
@@ -100,13 +123,8 @@ def file_flags(files: DataFrame, limits: Limits = Limits(), skip: Sequence[str]
     size_lines = F.col("n_lines") if "raw" not in files.columns else F.coalesce(
         "n_lines", F.when(F.col("content").isNull(), text.line_count(text.decode_with_fallback(F.col("raw")))))
     return measured.select(
-        "repo", "path", "rel", "is_py", "n_lines", size_lines.alias("size_lines"),
-        F.when(F.size(p) > 1, p[0]).alias("top_dir"),
-        (F.size(p) - 1).alias("depth"),
-        p[0].isin(*GENERATED).alias("is_generated"),
-        (rel == ".gitmodules").alias("is_gitmodules"),
-        flag((name == "__init__.py") & (text.strip(F.col("content")) == "") & (F.size(text.parts(F.col("path"))) > limits.min_parts)
-             ).alias("is_namespace"),
+        "repo", "path", "n_lines", size_lines.alias("size_lines"), *extra,
+        *[c.alias(n) for n, c in _path_columns(limits).items()],
         flag(seen & (F.col("n_lines") > limits.max_lines)).alias("large_files"),
         flag(seen & F.col("is_mixed")).alias("mixed_indentation"),
         flag(seen & F.col("content").isNull()).alias("encoding_issues"),
@@ -120,26 +138,28 @@ CODE_TYPES = ("large_files", "mixed_indentation", "encoding_issues", "large_func
 PATTERN_TYPES = ("unusual_file_types", "patterns_in_comments")
 
 
-def repo_profile(flags: DataFrame) -> DataFrame:
-    """Counts per project. Rows are first summed per top-level directory, which also makes directories distinct."""
-    counted = [*CODE_TYPES, *PATTERN_TYPES]
+def repo_profile(flags: DataFrame, totals: Sequence[str] = ()) -> DataFrame:
+    """Counts per project, of those flags that are given; `totals` are columns to be summed. Rows are first summed per top-level
+    directory, which also makes directories distinct."""
+    counted = [c for c in (*CODE_TYPES, *PATTERN_TYPES) if c in flags.columns]
+    sizes = "size_lines" in flags.columns
     per_dir = flags.groupBy("repo", "top_dir").agg(
         F.bool_or("is_py").alias("has_py"), F.max("depth").alias("depth"),
         F.bool_or("is_generated").alias("is_generated"), F.bool_or("is_gitmodules").alias("is_gitmodules"),
         F.bool_or("is_namespace").alias("is_namespace"), F.count_if("is_py").alias("n_py"),
-        F.max(F.when(F.col("is_py"), F.col("size_lines"))).alias("max_lines"), F.min(F.when(F.col("is_py"), F.col("size_lines"))).alias("min_lines"),
-        *[F.count_if(c).alias(c) for c in counted])
+        *([F.max(F.when(F.col("is_py"), F.col("size_lines"))).alias("max_lines"), F.min(F.when(F.col("is_py"), F.col("size_lines"))).alias("min_lines")] if sizes else []),
+        *[F.count_if(c).alias(c) for c in counted], *[F.sum(c).alias(c) for c in totals])
     return per_dir.groupBy("repo").agg(
         F.count_if(F.col("has_py") & ~F.col("top_dir").startswith(".")).alias("python_project_count"),
         F.max("depth").cast("long").alias("max_depth"),
         F.bool_or("is_generated").alias("generated_code"), F.bool_or("is_gitmodules").alias("git_submodules"),
         F.bool_or("is_namespace").alias("namespace_packages"), F.sum("n_py").alias("n_py"),
-        F.max("max_lines").alias("max_lines"), F.min("min_lines").alias("min_lines"),
-        *[F.sum(c).alias(c) for c in counted])
+        *([F.max("max_lines").alias("max_lines"), F.min("min_lines").alias("min_lines")] if sizes else []),
+        *[F.sum(c).alias(c) for c in (*counted, *totals)])
 
 
 def structure_outliers(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Project-level structure flags."""
+    """Project-level structure flags, from `path_flags` or `file_flags`."""
     return repo_profile(flags).select(
         "repo", "python_project_count", "max_depth", (F.col("python_project_count") > 1).alias("monorepo"),
         (F.col("max_depth") > limits.max_depth).alias("deep_nesting"), "generated_code", "git_submodules", "namespace_packages")
@@ -171,12 +191,12 @@ def _size_flags(limits: Limits) -> list[Column]:
             ratio.alias("size_ratio"), F.coalesce(ratio > limits.max_size_ratio, F.lit(False)).alias("extreme_size_variation")]
 
 
-def outlier_type_counts(flags: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def outlier_type_counts(flags: DataFrame, limits: Limits = Limits(), totals: Sequence[str] = ()) -> DataFrame:
     """Per project, its outlier types and how often each was recorded; deep paths and deep code add up.
 
-    One aggregate over the files gives the profile and the sizes.
+    One aggregate over the files gives the profile, the sizes and the sums of the columns in `totals`.
     """
-    wide = repo_profile(flags).select("*", F.col("n_py").alias("total_files"), *_size_flags(limits))
+    wide = repo_profile(flags, totals).select("*", F.col("n_py").alias("total_files"), *_size_flags(limits))
 
     def once(cond):
         return F.when(cond, 1).otherwise(0).cast("long")
@@ -192,7 +212,7 @@ def outlier_type_counts(flags: DataFrame, limits: Limits = Limits()) -> DataFram
     # only deep folders carry a risk of their own; deep code is a type without advice
     advised = {"deep_nesting": F.col("max_depth") > limits.max_depth}
     rows = F.array(*[F.struct(F.lit(t).alias("outlier_type"), n.alias("n"), F.coalesce(advised.get(t, F.lit(True)), F.lit(False)).alias("advised")) for t, n in counts.items()])
-    return wide.select("repo", "total_files", F.filter(rows, lambda r: r["n"] > 0).alias("types"))
+    return wide.select("repo", "total_files", F.filter(rows, lambda r: r["n"] > 0).alias("types"), *totals)
 
 
 def distinct_types(type_counts: DataFrame) -> DataFrame:
@@ -206,7 +226,8 @@ def distinct_types(type_counts: DataFrame) -> DataFrame:
 
 
 def outlier_report(type_counts: DataFrame) -> DataFrame:
-    """One row per project. Confidence grows by 0.2 per recorded type, duplicates included."""
+    """One row per project, with the totals it carries. Confidence grows by 0.2 per recorded type, duplicates included."""
+    totals = [c for c in type_counts.columns if c not in ("repo", "total_files", "types")]
     names = F.transform("types", lambda r: r["outlier_type"])
     level = F.when(F.size("types") == 0, "none")
     for risk, members in RISK_LEVELS:
@@ -214,7 +235,7 @@ def outlier_report(type_counts: DataFrame) -> DataFrame:
     total = F.aggregate("types", F.lit(0).cast("long"), lambda a, r: a + r["n"])
     return type_counts.select(
         "repo", (F.size("types") > 0).alias("is_outlier"), F.array_join(F.array_sort(names), ",").alias("outlier_types"),
-        F.least(total * F.lit(0.2).cast("double"), F.lit(1.0).cast("double")).alias("confidence"), level.otherwise("low").alias("risk_level"))
+        F.least(total * F.lit(0.2).cast("double"), F.lit(1.0).cast("double")).alias("confidence"), level.otherwise("low").alias("risk_level"), *totals)
 
 
 def file_reasons(limits: Limits = Limits()) -> Column:
@@ -254,13 +275,22 @@ def repo_policy(report: DataFrame, choice: str = "cautious") -> DataFrame:
 def suffix_match(files: DataFrame, listed: DataFrame) -> DataFrame:
     """Files whose path equals or ends with a listed relative path of the same project.
 
-    A path is compared by its last L characters for every length L that its own project's list holds, so the theta
-    condition becomes an equi-join on (repo, ending), salted because a short ending may fit most paths. The lengths are
-    one small row per project, bounded by the longest path.
+    The theta condition becomes an equi-join on (repo, tail): what ends with a listed path also ends with a tail of it. A listed path
+    with two or more slashes is found by its last two components, one with a single slash by its last, one without by its
+    last 2^k characters, the largest power its length allows. A path has one tail for each of these kinds that its own project
+    lists, most often one; it is found in a narrow row per project, where a project with most files is looked up in a
+    broadcast of bounded size.
     """
-    wanted = listed.select("repo", "rel").distinct()
-    lengths = wanted.groupBy("repo").agg(F.collect_set(F.length("rel")).alias("lengths"))
-    placed = salted_join(files.select("repo", "path"), lengths, ["repo"], "inner", spread_by=["path"])
-    endings = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.right(F.col("path"), n))
-    keyed = placed.select("repo", "path", F.explode(endings).alias("rel"))
-    return salted_join(keyed, wanted, ["repo", "rel"], "inner", spread_by=["path"]).select("repo", "path", "rel")
+    slashes = F.length("rel") - F.length(F.replace("rel", F.lit("/"), F.lit("")))
+    short = F.when(F.length("rel") == 0, 0).otherwise(F.pow(F.lit(2), F.floor(F.log2(F.length("rel") + 0.5))))
+    wanted = listed.select("repo", "rel").distinct().withColumn("kind", F.when(slashes > 1, -2).when(slashes == 1, -1).otherwise(short).cast("int"))
+
+    def tail(path: Column, kind: Column) -> Column:
+        return F.when(kind < 0, F.when(kind == -1, F.substring_index(path, "/", -1)).otherwise(F.substring_index(path, "/", -2))).otherwise(F.right(path, kind))
+
+    kinds = wanted.groupBy("repo").agg(F.collect_set("kind").alias("kinds"))
+    placed = lookup_join(files.select("repo", "path"), kinds, ["repo"], ["path"])
+    tails = F.transform("kinds", lambda k: F.struct(k.alias("kind"), tail(F.col("path"), k).alias("tail")))
+    keyed = placed.select("repo", "path", F.inline(tails))
+    found = keyed.join(wanted.withColumn("tail", tail(F.col("rel"), F.col("kind"))), ["repo", "kind", "tail"])
+    return found.filter(F.endswith("path", F.col("rel"))).select("repo", "path", "rel")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta.functions import text
+from transmuta.operators import outliers
 
 
 def analysis_statistics(files: DataFrame, report: DataFrame | None = None) -> DataFrame:
@@ -14,6 +15,16 @@ def analysis_statistics(files: DataFrame, report: DataFrame | None = None) -> Da
     return stats if report is None else stats.join(report.select("repo", "is_outlier", "risk_level"), "repo", "left")
 
 
+def judged_statistics(judged: DataFrame, limits: outliers.Limits = outliers.Limits()) -> DataFrame:
+    """`analysis_statistics` with the verdict, from `file_flags` with detections: one scan, one parse, one aggregate."""
+    n = F.size("detections")
+    counted = judged.withColumns({"total_files": F.col("selected").cast("long"), "patterns_detected": n.cast("long"), "files_with_patterns": (n > 0).cast("long")})
+    totals = ["total_files", "patterns_detected", "files_with_patterns"]
+    counted = counted.withColumnsRenamed({t: f"sum_{t}" for t in totals})
+    report = outliers.outlier_report(outliers.outlier_type_counts(counted, limits, [f"sum_{t}" for t in totals]))
+    return report.filter("sum_total_files > 0").select("repo", *[F.col(f"sum_{t}").alias(t) for t in totals], "is_outlier", "risk_level")
+
+
 def _line(section: int, line: Column, path: Column | None = None, seq: Column | None = None) -> Column:
     return F.struct(F.lit(section).alias("section"), (F.lit("") if path is None else path).alias("at_path"),
                     (F.lit(0) if seq is None else seq).cast("int").alias("at_seq"), line.alias("line"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from transmuta import schemas
 from transmuta.functions.arrays import elements, once
 from transmuta.functions.constants import built_once, constant_rows
+from transmuta.functions.joins import may_be_member
 from transmuta.sources.catalog import MAPPING_KEY, RuleSet
 
 RULE_STRUCT = ("struct<rule_ord:int, key:string, id:string, pattern:string, replacement:string, confidence:string, type:string, "
@@ -92,10 +93,16 @@ def _per_file(detections: DataFrame) -> DataFrame:
 
 
 def attach_detections(files: DataFrame, detections: DataFrame) -> DataFrame:
-    """Bring a detection table (such as a saved report) back to its files: the array per file is built first,
-    so the join has one narrow row per file on one side."""
-    joined = files.join(_per_file(detections), ["repo", "path"], "left")
-    return joined.withColumn("detections", F.coalesce("detections", F.array().cast(f"array<{schemas.DETECTION}>")))
+    """Bring a detection table (such as a saved report) back to its files.
+
+    The array per file is built first. A membership filter of the named files is tested in the scan: a file it rejects is not
+    in the report and stays where it is, so only named files (and a few more that pass) are moved to the join.
+    """
+    keys = ["repo", "path"]
+    none = F.array().cast(f"array<{schemas.DETECTION}>")
+    named = may_be_member(detections, keys)
+    joined = files.filter(named).join(_per_file(detections), keys, "left").withColumn("detections", F.coalesce("detections", none))
+    return joined.unionByName(files.filter(~named).withColumn("detections", none))
 
 
 def resolve_rule(detections: DataFrame, files: DataFrame, rules: RuleSet) -> DataFrame:

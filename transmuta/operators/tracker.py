@@ -17,10 +17,10 @@ def _order() -> Column:
     return F.struct("ts", "event_id")
 
 
-def task_state(events: DataFrame) -> DataFrame:
+def task_state(events: DataFrame, *within: Column) -> DataFrame:
     """Latest event per task and slot, with counts of how often a criterion was met, not met or sent to review.
 
-    A test result also settles the criterion `<group>_tests_all_passed`.
+    A test result also settles the criterion `<group>_tests_all_passed`. `within` are further keys, such as a time window.
     """
     result = F.col("kind") == "result"
     criterion = F.col("kind") == "criterion"
@@ -30,19 +30,26 @@ def task_state(events: DataFrame) -> DataFrame:
     met = F.when(result, F.col("failed") == 0).otherwise(F.col("met"))
     verdict = F.when(criterion & F.col("requires_review"), "review").when(met, "met").otherwise("not_met")
     rows = events.select(
-        "task_id", "ts", "event_id", F.explode(slots).alias("slot"), F.col("passed").cast("long").alias("passed"),
+        *within, "task_id", "ts", "event_id", F.explode(slots).alias("slot"), F.col("passed").cast("long").alias("passed"),
         F.col("failed").cast("long").alias("failed"), verdict.alias("verdict"))
     order = _order()
 
     def last(v):
         return F.max(F.when(F.col("verdict") == v, order))
 
-    return rows.groupBy("task_id", "slot").agg(
+    keys = [c for c in rows.columns if c not in ("ts", "event_id", "passed", "failed", "verdict")]
+    return rows.groupBy(*keys).agg(
         F.max(order).alias("at"), F.max_by(F.struct("passed", "failed", "verdict"), order).alias("latest"),
         last("met").alias("last_met"), last("not_met").alias("last_not_met"), last("review").alias("last_review"),
         F.count("*").alias("n"))
 
 
+def merged(state: DataFrame, *within: str) -> DataFrame:
+    """Entries of several states of a (task, slot) as one; the aggregates of `task_state` combine."""
+    return state.groupBy("task_id", "slot", *within).agg(
+        F.max("at").alias("at"), F.max_by("latest", "at").alias("latest"), *[F.max(c).alias(c) for c in ("last_met", "last_not_met", "last_review")], F.sum("n").alias("n"))
+
+
 def task_outcome(state: DataFrame, strict: bool = False) -> DataFrame:
     """One row per started task; only what happened after the task's latest start counts.
 

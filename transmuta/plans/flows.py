@@ -6,17 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from transmuta.operators import decisions, detect, metrics, outliers, reports, resolve, rewrite, validate
+from transmuta.functions.materialize import Written
+from transmuta.operators import decisions, metrics, outliers, reports, resolve, rewrite, validate
 from transmuta.sources import stores
 from transmuta.sources.catalog import RuleSet
-from transmuta.sources.corpus import glob_scan, select_files
+from transmuta.sources.corpus import glob_scan
 
 
 def analyze(files: DataFrame, out: str, limits: outliers.Limits = outliers.Limits()) -> None:
     """Scan, detect, judge outliers and save the report."""
-    found = detect.with_detections(select_files(files))
-    verdict = outliers.outlier_report(outliers.outlier_type_counts(outliers.file_flags(files, limits), limits))
-    stores.save_report(found, reports.analysis_statistics(found, verdict), out)
+    judged = Written(outliers.file_flags(files, limits, with_detections=True), "judged")  # both parts of the report read this one parse
+    stores.save_report(judged.df.filter("selected"), reports.judged_statistics(judged.df, limits), out)
+    judged.drop()
 
 
 def apply(files: DataFrame, report_path: str, rules: RuleSet, mode: str = "auto", by_rule: DataFrame | None = None,

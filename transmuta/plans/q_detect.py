@@ -9,7 +9,6 @@ from transmuta.operators import decisions, detect, diff, outliers, reports, reso
 from transmuta.plans.base import CTES, RULES, corpus, known, query
 from transmuta.plans.q_sources import decision_writes
 from transmuta.sources import derived, stores
-from transmuta.sources import corpus as scans
 
 LIMITS = outliers.Limits(max_lines=40, max_func_lines=1, max_nesting=0, max_depth=2, max_files=48, min_files=49, max_size_ratio=5.0)
 
@@ -63,9 +62,7 @@ SELECT s.repo, s.total_files, s.patterns_detected, s.files_with_patterns, o.is_o
   FROM scanned f LEFT JOIN (SELECT doc_id, count(*) AS n FROM detections GROUP BY doc_id) d ON d.doc_id = f.doc_id GROUP BY f.repo) s
 LEFT JOIN outlier_reports o ON o.repo = s.repo""")
 def _(spark, sf):
-    files = corpus(spark, sf)
-    verdict = outliers.outlier_report(outliers.outlier_type_counts(outliers.file_flags(files, LIMITS), LIMITS))
-    return reports.analysis_statistics(detect.with_detections(scans.select_files(files)), verdict)
+    return reports.judged_statistics(outliers.file_flags(corpus(spark, sf), LIMITS, with_detections=True), LIMITS)
 
 
 @query("resolve_rule", """
@@ -121,9 +118,8 @@ def _(spark, sf):
 SELECT r.repo, r.path, CAST(len(r.applied) AS INTEGER) AS n_applied FROM (SELECT repo, path, doc_id, applied FROM rewritten WHERE changed) r
 WHERE r.doc_id NOT IN (SELECT doc_id FROM reasons)""")
 def _(spark, sf):
-    files = corpus(spark, sf)
-    changes = rewrite.migrate(files, RULES).filter("changed").select("repo", "path", F.size("applied").alias("n_applied"))
-    return outliers.outlier_gate(changes, outliers.file_outlier_reasons(files, LIMITS), "cautious")
+    done = rewrite.migrate(corpus(spark, sf), RULES, outlier_mode="cautious", limits=LIMITS)
+    return done.filter("changed").select("repo", "path", F.size("applied").alias("n_applied"))
 
 
 @query("unresolved_imports", "SELECT repo, path, line_no, message FROM issues WHERE error_type = 'ImportWarning'")

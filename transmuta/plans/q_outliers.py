@@ -67,7 +67,7 @@ def flags(spark, sf):
 @query("structure_outliers", """
 SELECT repo, python_project_count, max_depth, python_project_count > 1 AS monorepo, max_depth > 2 AS deep_nesting, generated_code, git_submodules, namespace_packages FROM profile""")
 def _(spark, sf):
-    return outliers.structure_outliers(flags(spark, sf), LIMITS)
+    return outliers.structure_outliers(outliers.path_flags(corpus(spark, sf), LIMITS), LIMITS)
 
 
 @query("code_outliers", "SELECT repo, large_files, mixed_indentation, encoding_issues, large_functions, deep_nesting FROM profile")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from transmuta.functions.materialize import Written
 from transmuta.operators import tracker
 from transmuta.plans.base import CTES, query
 from transmuta.sources import derived
@@ -60,6 +61,37 @@ def _(spark, sf):
     return _flat(stream.task_events_stream(events, stream.stream_folder(spark)))
 
 
+# events as they arrive: by quarter of the time they span, but one in fifty a quarter of the month late or more
+ARRIVALS, DELAY = 4, "2 days"
+_ARRIVAL_SQL = f"""
+SELECT *, CASE WHEN event_id % 50 = 0 THEN {ARRIVALS - 1} ELSE CAST(least({ARRIVALS - 1}, floor({ARRIVALS} * part)) AS INTEGER) END AS arrival
+FROM (SELECT *, CAST({{seconds}} - (SELECT min({{seconds}}) FROM events) AS DOUBLE) / greatest((SELECT max({{seconds}}) FROM events) - (SELECT min({{seconds}}) FROM events), 1) AS part FROM events)"""
+CTES["arriving"] = _ARRIVAL_SQL.format(seconds="CAST(floor(epoch(ts)) AS BIGINT)")
+# a window of a day is closed by the latest event of all batches but the last two, less the delay
+CTES["closing"] = "SELECT a.n AS arrival, max(e.ts) - INTERVAL 2 DAY AS watermark FROM (SELECT DISTINCT arrival AS n FROM arriving) a JOIN arriving e ON e.arrival <= a.n - 2 GROUP BY a.n"
+CTES["accepted_events"] = CTES["task_events"].replace("FROM events", "FROM (SELECT a.* FROM arriving a LEFT JOIN closing c ON c.arrival = a.arrival WHERE c.watermark IS NULL OR date_trunc('day', a.ts) + INTERVAL 1 DAY > c.watermark)")
+for _name in ("task_starts", "live_events", "live_groups", "live_criteria", "outcomes"):
+    _text = CTES[_name].replace("task_events", "accepted_events")
+    for _other in ("task_starts", "live_events", "live_groups", "live_criteria"):
+        _text = _text.replace(_other, f"accepted_{_other}")
+    CTES[f"accepted_{_name}"] = _text
+
+
+@query("task_events_late", _OUTCOME_SQL.replace("FROM outcomes", "FROM accepted_outcomes"))
+def _(spark, sf):
+    """Outcomes of a stream of four micro-batches whose late events are left out and whose closed windows leave the state."""
+    folder = stream.stream_folder(spark)
+    raw = derived.table(spark, sf, "events")
+    placed = spark.sql(_ARRIVAL_SQL.format(seconds="unix_seconds(CAST(ts AS TIMESTAMP))").replace("FROM events", "FROM {events}"), events=raw).select(*raw.columns, "arrival")
+    arrivals = Written(placed, "arrivals")
+    for n in range(ARRIVALS):
+        arrivals.df.filter(F.col("arrival") == n).select(*raw.columns).repartition(2).write.parquet(f"{folder}/arrivals/n={n}")
+    arrivals.drop()
+    events = stream.read_events(spark, f"{folder}/arrivals/*", raw.schema, max_files=2)
+    named = spark.sql(derived.TASK_EVENTS_SQL.replace("FROM events", "FROM {events}"), events=events)
+    return _flat(stream.task_events_stream(named, folder, delay=DELAY))
+
+
 @query("windowed_activity", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, task_id, kind, count(*) AS n FROM task_events GROUP BY ALL")
 def _(spark, sf):
     """The batch form of the windowed stream."""
