@@ -173,7 +173,9 @@ def test_a_chunk_counts_what_its_parts_allow(words, drop):
         names = [p.decode()[:-1] for p in found[0].to_pylist()]
         if names and names[0]:
             assert phrases.phrase_hashes("en", [p.encode() for p in names]).tolist() == found[1].tolist()
-        rows = [r for x in phrases.packed("en", found, 3).to_pylist() for r in phrases.unpacked(x["phrases"], x["n"]).to_pylist()]
+        if not names:
+            continue
+        rows = [r for x in phrases.packed([("en", found)], 3).to_pylist() for lang, t in phrases.unpacked(x["langs"], x["phrases"], x["of"], x["n"]) for r in t.to_pylist() if lang == "en"]
         assert sorted(r["phrase"].decode()[:-1] for r in rows) == sorted(names)
         for r in rows:
             got[(len(r["phrase"].split()), r["phrase"].decode()[:-1])] += r["n"]

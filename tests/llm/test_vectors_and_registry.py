@@ -1,7 +1,10 @@
 """Vector searches against brute force, the registered queries against their SQL, the pipeline's stages."""
 
 import importlib
+import math
 import sys
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -63,6 +66,29 @@ def test_possible_members_hold_the_best(dims, n, seed, k):
     scores = values @ q
     bound = np.sort(scores)[::-1][min(k, n) - 1]
     assert set(np.flatnonzero(scores >= bound)) <= set(may.tolist())
+    # a bound from elsewhere: what reaches it is kept, and the proof always comes
+    for known in (float(bound), float(scores.max()), float(scores.max()) + 1):
+        proofs = Counter()
+        may = impact_index.possible_members(q, impact_index.Segments(values, order), min(k, n), known, proofs)
+        assert set(np.flatnonzero(scores >= known)) <= set(may.tolist()) and sum(proofs.values()) <= 1
+
+
+@pytest.mark.parametrize("size", [1e5, 1e7, 2e9, 1e300])
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.standard_normal(4) * (size if i % 3 else 1)).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in impact_index.exact_top(frame, frame.filter("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [math.floor(256 * Fraction(c)) for c in v] for i, v in rows}
+    for q in range(0, 300, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        want = [(min(max(-s, -2**63), 2**63 - 1), i) for s, i in scores]
+        mine = sorted(got[q])
+        assert [s for _, _, s in mine] == [s for s, _ in want[:5]]
+        if want[4][0] < 2**63 - 1:  # beyond a long all scores are its end, and ids decide
+            assert [i for _, i, _ in mine] == [i for _, i in want[:5]]
 
 
 def test_nearest_neighbours_are_found(spark, monkeypatch):
@@ -89,7 +115,8 @@ def test_error_bounds_hold():
     apart = x - center
     length = np.linalg.norm(apart, axis=1)
     turned = apart / length[:, None] @ binary_codes.rotation(64)
-    estimate, error = binary_codes.bounds(q, center, np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / 8)
+    signs = binary_codes.signs_of(np.packbits(turned > 0, axis=1), 64)
+    estimate, error = binary_codes.bounds(q, center, signs, length, np.abs(turned).sum(axis=1) / 8)
     assert (np.abs(estimate - q @ x.T) <= error).mean() > 0.93
 
 

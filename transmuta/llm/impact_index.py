@@ -1,35 +1,45 @@
 """Exact top-k by integer inner product over an impact-ordered index, score at a time.
 
 Components are quantised to integers, floor(256 * x). The index of a block lists, for every dimension, the vectors in order of
-their value; a posting segment is a run of equal values. A query gives each segment an impact: its weight times the
-value, above the least that dimension can add. Segments of all dimensions are processed by descending impact level. An
-accumulator holds what a vector has received; its unseen dimensions can still add less than the level's impact each. The
-vectors ahead are scored exactly, and their k-th best score is the bound to reach. Processing stops only on proof: when
-at most a few vectors can still reach the bound. Those are rescored exactly, so the result is exact whatever the level it stopped at.
-
-Defined results: vectors that are null, empty or hold null or non-finite components, and null ids, take no part; ties go
-to the smaller id; rows that share the query's id are not its candidates, other rows that share an id are candidates
-each; a query with fewer candidates returns all; an empty table gives none. Components are below 2**20 in size.
+their value. A query gives each posting an impact: its weight times the value, above the least that dimension can add. Segments of
+postings are processed by descending impact level. An accumulator holds what a vector has received and how many of its dimensions
+were seen; its unseen dimensions can still add less than the level's impact each. Processing stops only on proof: when at most
+a few vectors can still reach the bound. Those, and only those, are rescored exactly. The last level is no impact at all, at which every
+posting has been processed, so the proof always comes and the result is exact whatever the level it came at.
+
+The bound of a query is its k-th best score among a sample of the rows, found exactly; no vector below it can be a member. A block whose
+best conceivable score is below it is skipped. A query without a bound takes the k-th best of the vectors ahead in the block.
+
+Quantised values are whole numbers in double precision (a product with 256 is exact there). Scores are summed in doubles while all
+of a block's sums are below 2**53, in Python's integers beyond; a score beyond a long is its nearest end. Accumulators
+that may be rounded are given the rounding as slack, so that they only let more vectors be rescored.
+
+Defined results: vectors that are null, empty or hold null or non-finite components, and null ids, take no part; every other
+vector does, whatever its size; ties go to the smaller id; rows that share the query's id are not its candidates, other rows that
+share an id are candidates each; a query with fewer candidates returns all; an empty table gives none.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from transmuta.functions.materialize import Written
 from transmuta.llm import vectors
-from transmuta.llm.bpe import ragged
 
-LEVELS = (0.4, 0.25, 0.16, 0.1, 0.06)  # impact levels, as parts of the largest impact
-FEW = 32  # proof is reached when k + 1/FEW of the block can still be members
+LEVELS = (0.35, 0.22, 0.14, 0.09, 0.055, 0.03, 0.0)  # impact levels, as parts of the largest impact
+FEW = 16  # proof is reached when k + 1/FEW of the block can still be members
+EXACT = 2.0**53
+LONG = 2**63
 
 
 def quantised(x: np.ndarray) -> np.ndarray:
-    return np.floor(256 * x).astype(np.int64)
+    """floor(256 x) in doubles; the largest double where the product has none."""
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(256 * x), posinf=np.finfo(np.float64).max, neginf=-np.finfo(np.float64).max)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,91 +47,153 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             _, x = vectors.unpack(row["dim"], row["ids"], row["data"])
-            order = np.argsort(quantised(x), axis=0, kind="stable").T.astype(np.uint16)
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([row["dim"]], pa.int32()), "ids": pa.array([row["ids"]], pa.binary()),
-                                              "data": pa.array([quantised(x).astype(np.int32).tobytes()], pa.binary()),
-                                              "postings": pa.array([order.tobytes()], pa.binary())})
+            values = quantised(x)
+            order = np.argsort(values, axis=0, kind="stable").T.astype(np.uint16)
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([row["dim"]], pa.int32()), "ids": pa.array([row["ids"]], pa.binary()), "data": pa.array([values.tobytes()], pa.binary()),
+                                              "bound": pa.array([None], pa.binary()), "postings": pa.array([order.tobytes()], pa.binary())})
 
 
 class Segments:
-    """Postings of a block: per dimension the vectors in order of value, and how many lie below each value."""
+    """Postings of a block: per dimension the vectors in order of value, and those values."""
 
     def __init__(self, values: np.ndarray, postings: np.ndarray):
-        self.values = values
+        self.values = values.astype(np.float64)
         self.dims, self.n = postings.shape
-        in_order = np.take_along_axis(values.T, postings.astype(np.int64), axis=1)
-        self.least, self.most = in_order[:, 0], in_order[:, -1]
-        self.postings, self.in_order = postings.ravel().astype(np.int64), in_order.ravel().astype(np.float64)
-        width = int((self.most - self.least).max(initial=0)) + 2
-        starts = np.arange(self.dims)[:, None] * width
-        counts = np.bincount((values.T - self.least[:, None] + starts).ravel(), minlength=self.dims * width).reshape(self.dims, width)
-        self.below = np.concatenate((np.zeros((self.dims, 1), np.int64), np.cumsum(counts, axis=1)), axis=1)
-
-    def count_below(self, limit: np.ndarray) -> np.ndarray:
-        """Per dimension the number of values below its limit."""
-        return self.below[np.arange(self.dims), np.clip(limit - self.least, 0, self.below.shape[1] - 1)]
-
-
-def possible_members(q: np.ndarray, block: Segments, k: int) -> np.ndarray:
-    """Positions that may belong to the k best of the block, a superset of them."""
-    dims, n = block.dims, block.n
-    low, high = block.least * q, block.most * q
-    worst, span = np.minimum(low, high), np.abs(high - low)
-    largest = int(span.max(initial=0))
+        self.postings = postings.astype(np.intp)
+        self.in_order = np.take_along_axis(self.values.T, self.postings, axis=1)
+        self.least, self.most = self.in_order[:, 0], self.in_order[:, -1]
+        self.largest = float(np.abs(self.values).max(initial=0))
+
+    def best_conceivable(self, q: np.ndarray) -> np.ndarray:
+        """Per query, the sum of the most each dimension can add."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.maximum(q * self.least, q * self.most).sum(axis=1)
+
+
+def exact_scores(values: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products as long."""
+    if not len(values):
+        return np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        most = float(np.abs(values).max(initial=0)) * float(np.abs(q).max(initial=0)) * len(q)
+    if most < EXACT:
+        return (values @ q).astype(np.int64)
+    whole = [int(w) for w in q.tolist()]
+    sums = (sum(int(x) * w for x, w in zip(row, whole)) for row in values.tolist())
+    return np.array([min(max(s, -LONG), LONG - 1) for s in sums], np.int64)
+
+
+def possible_members(q: np.ndarray, block: Segments, k: int, bound: float = -np.inf, levels: Counter | None = None) -> np.ndarray:
+    """Positions that may reach the bound, or without one may belong to the k best of the block; a superset of those that do.
+
+    `levels` counts at which level the proof came.
+    """
+    q = q.astype(np.float64)
+    n = block.n
     few = max(k + 1, n // FEW)
-    if n <= few or not largest:
-        return np.arange(n)
-    received = np.full(n, float(worst.sum()))
-    seen = np.zeros(n, np.int64)
-    done = np.zeros(dims, np.int64)  # postings processed, from the end with the larger impact
-    weight = np.where(q == 0, 1, q)
+    with np.errstate(over="ignore", invalid="ignore"):
+        low, high = block.least * q, block.most * q
+        worst, span = np.minimum(low, high), np.abs(high - low)
+        largest, total = float(span.max(initial=0)), float(np.abs(worst).sum() + span.sum())
+    if n <= few or not largest or not np.isfinite(total):
+        return np.arange(n)  # nothing to order by, or sums that doubles can't hold: all are rescored
+    slack = 0.0 if 2 * total < EXACT else total * 1e-12
+    # one number holds the sum and, above it, how many dimensions were seen
+    unit = 2.0 ** np.ceil(np.log2(2 * total + 2))
+    packed = unit * (2 * block.dims + 2) < EXACT
+    received, seen = np.zeros(n), np.zeros(n)
+    done = np.zeros(block.dims, np.int64)  # postings processed, from the end with the larger impact
+    base = float(worst.sum())
+    some_dims = np.flatnonzero(span > 0)
     for level in LEVELS:
-        impact = int(largest * level) + 1  # segments of this impact or more
-        need = impact + worst  # of weight times value
-        until = np.where(q > 0, n - block.count_below(-(-need // weight)), block.count_below(need // weight + 1))
-        until = np.where(span >= impact, until, 0)
-        some = np.flatnonzero(until > done)
-        if len(some):
-            start = np.where(q > 0, n - until, done)[some] + some * n
-            length = (until - done)[some]
-            place = ragged(start, length)
-            at = block.postings[place]
-            received += np.bincount(at, block.in_order[place] * np.repeat(q[some], length) - np.repeat(worst[some], length), n)
-            seen += np.bincount(at, minlength=n)
-            done[some] = until[some]
-        ahead = np.argpartition(received, n - few)[n - few:]
-        bound = np.partition(block.values[ahead] @ q, few - k)[few - k]
-        # a dimension not yet seen adds less than the impact, and no more than its span
-        may = np.flatnonzero(received + np.minimum(impact - 1, span).sum() - (impact - 1.0) * seen >= bound)
-        if len(may) <= few:
+        impact = largest * level  # segments of at least this impact
+        for d in some_dims.tolist():
+            if span[d] < impact and level:
+                continue
+            row, w = block.in_order[d], q[d]
+            need = (impact + worst[d]) / w
+            if w > 0:
+                until = n - int(np.searchsorted(row, need)) if level else n
+                part = slice(n - until, n - done[d])
+            else:
+                until = int(np.searchsorted(row, need, side="right")) if level else n
+                part = slice(int(done[d]), until)
+            if until <= done[d]:
+                continue
+            at = block.postings[d, part]
+            gain = row[part] * w - worst[d]
+            if packed:
+                received[at] += gain + unit
+            else:
+                received[at] += gain
+                seen[at] += 1
+            done[d] = until
+        got = received
+        if packed:
+            seen = np.floor(received / unit)
+            got = received - seen * unit
+        if bound == -np.inf:
+            ahead = np.argpartition(got, n - few)[n - few:]
+            bound_here = float(np.partition(block.values[ahead] @ q, few - k)[few - k])
+        else:
+            bound_here = bound
+        # a dimension not yet seen adds no more than the impact, and no more than its span
+        rest = np.minimum(impact, span[some_dims]).sum() - impact * seen if level else 0.0
+        may = np.flatnonzero(got + rest >= bound_here - base - slack - 1e-9 * impact * block.dims)
+        if len(may) <= few or not level:
+            if levels is not None:
+                levels[level] += 1
             return may
-    return np.arange(n)
+    raise AssertionError("the last level is a proof")
+
+
+def _open(row: dict) -> tuple[np.ndarray, Segments]:
+    dim = row["dim"]
+    return np.frombuffer(row["ids"], np.int64), Segments(np.frombuffer(row["data"], np.float64).reshape(-1, dim), np.frombuffer(row["postings"], np.uint16).reshape(dim, -1))
 
 
 def _best(k: int):
-    def best(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dim = row["dim"]
-        ids = np.frombuffer(row["ids"], np.int64)
-        values = np.frombuffer(row["data"], np.int32).reshape(-1, dim).astype(np.int64)
-        postings = np.frombuffer(row["postings"], np.uint16).reshape(dim, -1)
-        block = Segments(values, postings)
-        query_ids, asked = vectors.unpack(dim, row["query_ids"], row["query_data"])
-        out = []
-        for own, q in zip(query_ids.tolist(), quantised(asked)):
+    def best(block: tuple[np.ndarray, Segments], dim: int, query_ids: np.ndarray, asked: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, postings = block
+        q = quantised(asked)
+        out = [(np.empty(0, np.int64),) * 3]
+        ceiling = postings.best_conceivable(q)
+        for i, own in enumerate(query_ids.tolist()):
+            # the least long may stand for less than itself, and sums that doubles can't hold skip nothing
+            bound = float(bounds[i]) if bounds[i] > -LONG else -np.inf
+            if np.isfinite(ceiling[i]) and ceiling[i] + abs(ceiling[i]) * 1e-9 < bound:
+                continue
             # one more than k, as the query itself may be in the block
             extra = int((ids == own).sum())
-            may = possible_members(q, block, min(len(ids), k + extra))
+            may = possible_members(q[i], postings, min(len(ids), k + extra), bound)
             may = may[ids[may] != own]
-            scores = values[may] @ q
+            scores = exact_scores(postings.values[may], q[i])
             chosen = vectors.top(ids[may], scores, k)
             out.append((np.full(len(chosen), own), ids[may][chosen], scores[chosen]))
         return tuple(np.concatenate(x) for x in zip(*out))
     return best
 
 
+def _seeds(k: int):
+    """The k best of a block of the sample, all of it scored."""
+    def best(block: tuple[np.ndarray, np.ndarray], dim: int, query_ids: np.ndarray, asked: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids, values = block[0], quantised(block[1])
+        out = [(np.empty(0, np.int64),) * 3]
+        for own, q in zip(query_ids.tolist(), quantised(asked)):
+            others = np.flatnonzero(ids != own)
+            scores = exact_scores(values[others], q)
+            if len(scores) > k:
+                near = np.argpartition(vectors.falling(scores), k - 1)[:k]
+                others, scores = others[near], scores[near]
+            out.append((np.full(len(others), own), ids[others], scores))
+        return tuple(np.concatenate(x) for x in zip(*out))
+    return best
+
+
 def exact_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of each query; rows and queries: vec_id, embedding."""
-    blocks = vectors.pack(rows.filter(vectors.usable("embedding") & F.col("vec_id").isNotNull()), vectors.BLOCK)
-    index = Written(blocks.mapInArrow(_index, f"{vectors.PACKED}, postings binary"), "impact-index").df
-    asked = vectors.pack(queries.filter(vectors.usable("embedding") & F.col("vec_id").isNotNull()), vectors.QUERIES)
-    return vectors.search(asked, index, _best(k), k, pa.int64())
+    good = vectors.usable("embedding") & F.col("vec_id").isNotNull()
+    rows, queries = (x.select("vec_id", "embedding").filter(good) for x in (rows, queries))
+    index = vectors.indexed(vectors.pack(rows, vectors.BLOCK).mapInArrow(_index, f"{vectors.PACKED}, postings binary"), "impact-index")
+    bounded, _ = vectors.with_bounds(queries, rows, _seeds(k), k, pa.int64())
+    return vectors.search(vectors.pack(bounded, vectors.QUERIES), index.df, _open, _best(k), k, pa.int64())

@@ -13,9 +13,8 @@ Phrases are runs of 2 to LONGEST words inside a piece of text, counted per langu
    which is exact whatever the sample was.
 
 A task counts the words of a chunk as integers. What leaves it is packed: for each part of the phrases, dealt by their hash,
-one row with its phrases and counts, compressed; a frequent phrase is one entry a chunk. There are PARTS parts for each
-shuffle partition; the task that gets a part sums it and keeps what is frequent, so its memory is bounded by the distinct phrases
-over the number of partitions. Scores are whole numbers, computed in decimals of 38 digits. A candidate's
+one row with its phrases and counts, compressed; a frequent phrase is one entry a chunk. A shuffle partition is a part: its task
+sums it and keeps what is frequent, so its memory is bounded by the distinct phrases over the number of partitions. Scores are whole numbers, computed in decimals of 38 digits. A candidate's
 parts are looked up by a join; parts that very many candidates share (at most 1 / HOT_SHARE of them can exist) are looked
 up in a broadcast of that bound instead.
 
@@ -43,7 +42,6 @@ SHARE = 0.125
 LOWERED = 0.8  # of the threshold that the sample's share would give
 BITS = 1 << 26
 CHUNK = 1_500_000  # words
-PARTS = 4  # for each shuffle partition
 COMPACT = 2_000_000  # entries that a summing task holds before it sums them
 HOT_SHARE = 1 / 1000
 
@@ -185,31 +183,38 @@ def phrase_hashes(lang: str, phrases: list[bytes]) -> np.ndarray:
     return _mixed(np.array(out, np.uint64))
 
 
-def packed(lang: str, found: Counted, parts: int) -> pa.RecordBatch:
-    """One row for each part that has phrases: its phrases and their counts, compressed."""
-    phrases, hashes, n = found
+def packed(found: list[tuple[str, Counted]], parts: int) -> pa.RecordBatch:
+    """One row for each part that has phrases: its phrases, the places of their languages, and their counts, compressed."""
+    langs = list(dict.fromkeys(lang for lang, _ in found))
+    phrases = pa.concat_arrays([f[0] for _, f in found])
+    hashes, n = (np.concatenate([f[i] for _, f in found]) for i in (1, 2))
+    of = np.concatenate([np.full(len(f[0]), langs.index(lang), np.uint32) for lang, f in found])
     part = (hashes % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    phrases, n, part = phrases.take(pa.array(order)), n[order].astype(np.int64), part[order]
-    offsets = np.frombuffer(phrases.buffers()[1], np.int32)[:len(phrases) + 1] if len(phrases) else np.zeros(1, np.int32)
+    phrases, n, of, part = phrases.take(pa.array(order)), n[order].astype(np.int64), of[order], part[order]
+    offsets = np.frombuffer(phrases.buffers()[1], np.int32)[:len(phrases) + 1]
     data = phrases.buffers()[2]
-    starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1)) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(part)) if len(part) else starts
+    starts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
+    ends = np.append(starts[1:], len(part))
     pack = zstandard.ZstdCompressor(1).compress
-    texts = [pack(data.slice(int(offsets[a]), int(offsets[b] - offsets[a]))) for a, b in zip(starts, ends)]
     return pa.RecordBatch.from_pydict({
-        "part": pa.array(part[starts].astype(np.int32)), "lang": pa.array([lang] * len(starts), pa.string()), "phrases": pa.array(texts, pa.binary()),
-        "n": pa.array([pack(n[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary())})
+        "part": pa.array(part[starts].astype(np.int32)), "langs": pa.array([langs] * len(starts), pa.list_(pa.string())),
+        "phrases": pa.array([pack(data.slice(int(offsets[a]), int(offsets[b] - offsets[a]))) for a, b in zip(starts, ends)], pa.binary()),
+        "of": pa.array([pack(of[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary()), "n": pa.array([pack(n[a:b].tobytes()) for a, b in zip(starts, ends)], pa.binary())})
 
 
-def unpacked(phrases: bytes, n: bytes) -> pa.Table:
+def unpacked(langs: list[str], phrases: bytes, of: bytes, n: bytes) -> Iterator[tuple[str, pa.Table]]:
+    """(language, its phrases and counts)."""
     unpack = zstandard.ZstdDecompressor().decompress
     data = unpack(phrases)
     ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
     # the line breaks stay: they cost a byte and save a copy
     offsets = np.concatenate(([0], ends + 1)).astype(np.int32)
-    return pa.table({"phrase": pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]),
-                     "n": pa.array(np.frombuffer(unpack(n), np.int64))})
+    table = pa.table({"phrase": pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]),
+                      "n": pa.array(np.frombuffer(unpack(n), np.int64))})
+    places = np.frombuffer(unpack(of), np.uint32)
+    for place in np.unique(places).tolist():
+        yield langs[place], table.filter(pa.array(places == place))
 
 
 def _summed(tables: list[pa.Table]) -> pa.Table:
@@ -222,7 +227,6 @@ def counts(docs: DataFrame, least: int, known: Filter, counted: Filter | None =
     levels = range(1, longest + 1) if levels is None else levels
     most, compact = CHUNK, COMPACT
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = PARTS * partitions
     held = docs.sparkSession.sparkContext.broadcast((known, counted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +234,9 @@ def counts(docs: DataFrame, least: int, known: Filter, counted: Filter | None =
         open_: dict[str, Chunk] = {}
 
         def closed() -> Iterator[pa.RecordBatch]:
-            for lang in list(open_):
-                for found in count_chunk(open_.pop(lang), counted, known, longest, levels):
-                    yield packed(lang, found, parts)
+            found = [(lang, f) for lang in list(open_) for f in count_chunk(open_.pop(lang), counted, known, longest, levels) if len(f[0])]
+            if found:
+                yield packed(found, partitions)
 
         for batch in batches:
             for lang in dict.fromkeys(batch["lang"].to_pylist()):
@@ -247,13 +251,13 @@ def counts(docs: DataFrame, least: int, known: Filter, counted: Filter | None =
         tables: dict[str, list[pa.Table]] = {}
         size: dict[str, int] = {}
         for batch in batches:
-            for lang, phrases, n in zip(*(batch[c].to_pylist() for c in ("lang", "phrases", "n"))):
-                new = unpacked(phrases, n)
-                tables.setdefault(lang, []).append(new)
-                size[lang] = size.get(lang, 0) + len(new)
-                if size[lang] > compact:
-                    tables[lang] = [_summed(tables[lang])]
-                    size[lang] = min(compact // 2, len(tables[lang][0]))
+            for row in zip(*(batch[c].to_pylist() for c in ("langs", "phrases", "of", "n"))):
+                for lang, new in unpacked(*row):
+                    tables.setdefault(lang, []).append(new)
+                    size[lang] = size.get(lang, 0) + len(new)
+                    if size[lang] > compact:
+                        tables[lang] = [_summed(tables[lang])]
+                        size[lang] = min(compact // 2, len(tables[lang][0]))
         for lang in list(tables):
             summed = _summed(tables.pop(lang))
             summed = summed.filter(pc.or_(pc.greater_equal(summed["n"], least), pc.equal(summed["phrase"], b"\n")))
@@ -265,7 +269,7 @@ def counts(docs: DataFrame, least: int, known: Filter, counted: Filter | None =
                     "words": pa.array([p.count(b" ") + 1 if p else 0 for p in part], pa.int32()), "h": pa.array(phrase_hashes(lang, part).view(np.int64)),
                     "n": totals[a:a + 50_000]})
 
-    rows = docs.mapInArrow(count, "part int, lang string, phrases binary, n binary").repartition(partitions, "part")
+    rows = docs.mapInArrow(count, "part int, langs array<string>, phrases binary, of binary, n binary").repartitionById(partitions, "part")
     return rows.mapInArrow(sum_up, "lang string, phrase string, words int, h long, n long")
 
 
