@@ -60,6 +60,54 @@ def test_components_equal_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    frame = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b), (9, "u v w x y z"), (9, "one")], "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in minhash.near_duplicates(frame).collect()}
+    assert got == {(3, 6): 3, (5, 6): 3, (7, 6): 3, (9, 2): 9, (9, 1): 9}
+
+
+def test_small_links_that_cross_a_foreign_hub_are_found(spark):
+    """Sets of 3 and 4 shingles at exactly 75 %, whose buckets all begin with a document that neither is linked with."""
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(i, " ".join(words[10 * i:10 * i + 5] + words[3990:])) for i in range(1, 3)]
+    pairs = []
+    for k in range(300):
+        t = [f"p{k}x{j}" for j in range(8)]
+        rows += [(1000 + 2 * k, " ".join(t[:7])), (1001 + 2 * k, " ".join(t))]
+        pairs.append((1000 + 2 * k, 1001 + 2 * k))
+        # smaller ids that share three or two of the shingles with one of them, but less than 75 %
+        rows += [(2 * k, " ".join(t[:5] + [f"q{k}"])), (2 * k + 1, " ".join([f"r{k}"] * 3 + t[3:]))]
+    rows = [r for n, r in enumerate(rows) if n >= 2]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()} and all(got[b] == a for a, b in pairs)
+
+
+def test_signatures_alone_do_not_lose_small_links():
+    """20 000 links of 3 and 4 shingles: each pair shares a bucket, and none falls below the agreement that is asked for."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**64, (20_000, 4), dtype=np.uint64)
+    for row in x:
+        four = np.unique(row)
+        three = np.delete(four, rng.integers(4))
+        assert set(four[:minhash.prefix(4)].tolist()) & set(three[:minhash.prefix(3)].tolist())
+    assert (minhash.agreement(np.arange(1, 129)) == 0).all()
+    for n in (150, 600, 5000):  # and few of the larger ones can
+        assert 0 < minhash.agreement(np.array([n]))[0] < 0.70 * minhash.BINS
+
+
+@given(st.integers(1, 171), st.integers(0, 60), st.integers(0, 10**6))
+@settings(max_examples=300, deadline=None)
+def test_prefixes_of_links_meet(n, more, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 10**6, n, dtype=np.uint64))
+    drop = rng.integers(0, len(a) // 4 + 1)
+    b = np.unique(np.concatenate((a[rng.permutation(len(a))[drop:]], rng.integers(10**6, 2 * 10**6, more, dtype=np.uint64))))
+    common = len(np.intersect1d(a, b))
+    if common * 100 >= 75 * (len(a) + len(b) - common) and len(b) <= minhash.PREFIX:
+        assert len(np.intersect1d(a[:minhash.prefix(len(a))], b[:minhash.prefix(len(b))]))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted(map(tuple, minhash.near_duplicates(frame).collect()), key=str)

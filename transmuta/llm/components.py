@@ -1,21 +1,21 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Links stay distributed; every round is written to the shared folder, so its lineage is short. A vertex with very many
-neighbours costs one row per neighbour: its minimum is a partial aggregate and the join back is one adaptive execution
-can split.
+neighbours costs one row per neighbour: its minimum is a partial aggregate and comes back by a broadcast of the few such vertices.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from transmuta.functions.joins import lookup_join
 from transmuta.functions.materialize import Written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return lookup_join(both.filter("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

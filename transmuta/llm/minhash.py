@@ -3,18 +3,23 @@
 A document's set is its distinct five-word shingles. One hash per shingle serves all 512 bins: its top bits name the bin,
 the smallest hash of a bin is the bin's value. An empty bin takes the value of the first filled bin of its own fixed
 pseudo-random order of bins (optimal densification), so bins stay independent. One byte of each value is the signature;
-85 bands of six bytes are the buckets. Two sets of similarity 0.75 share a bucket with probability 1 - 6e-8.
+85 bands of six bytes are the buckets. Two large sets of similarity 0.75 share a bucket with probability 1 - 6e-8. A small set
+fills few bins, so its signature may say little; sets of up to PREFIX shingles also go to the buckets of their smallest
+shingle hashes, as many as a partner of similarity 0.75 must share one of (prefix filter). So pairs whose smaller set has up to
+three quarters of PREFIX shingles share a bucket for certain.
 
 Pairs are bounded by stars. Documents with equal sets are one class, represented by its smallest id. In every bucket each
 representative is paired with the bucket's smallest one only; these pairs are confirmed on full sets and give first
 components. Only buckets that still hold several components are looked at again: their signatures are compared in blocks
-of bounded size inside a task, and a pair leaves the task only if its components differ, its signatures agree in at least
-66 % of the bins (a true link falls below with probability 1e-6) and the bucket is the first the two share. Those pairs
-are confirmed on full sets too. So no link between components is lost to the star, and no group is expanded into its pairs.
+of bounded size inside a task, and a pair leaves the task only if its components differ, its signatures agree in so many bins as
+a link's can't miss by chance, and the bucket is the first band the two share. The number of bins follows the sizes: SURE standard
+errors below 75 %, with as many independent bins as the smaller set fills (a link falls below with a probability of about 1e-10);
+small sets have no such test. Those pairs are confirmed on full sets too, so no link between components is lost to the star, and
+no group is expanded into its pairs.
 
 Sets hold 64-bit hashes of the shingles. Defined results: texts that are null or wordless have an empty set and are linked
-with nothing; fewer than five words form one shingle; rows that share an id are one node; rows with a null id have a null
-component and are kept; an empty table gives an empty table.
+with nothing; fewer than five words form one shingle; rows that share an id are one node, which is linked with whatever one of them
+is linked with; rows with a null id have a null component and are kept; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from transmuta.functions.joins import lookup_join
 from transmuta.functions.materialize import Written
 from transmuta.llm.batches import groups, small
 from transmuta.llm.components import components
@@ -35,9 +41,11 @@ PERCENT = 75
 BINS = 512
 ROWS = 6
 BANDS = BINS // ROWS
-AGREE = int(BINS * 0.66)
+PREFIX = 171  # shingles
+SURE = 6.5  # standard errors
 BLOCK = 1024  # representatives compared with each other at a time
 MEMO = 150_000
+HUBS = 100  # sets broadcast at most
 _U = np.uint64
 
 
@@ -95,14 +103,28 @@ def signature(found: np.ndarray, orders: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, orders = WordHashes(), _orders()
     for batch in small(batches):
-        sizes, prints, signs = [], [], []
+        sizes, prints, signs, firsts = [], [], [], []
         for text in batch["text"].to_pylist():
             s = shingles(text, hashes)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             signs.append(signature(s, orders).tobytes() if len(s) else None)
+            firsts.append(s[:prefix(len(s))].tobytes())
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()),
-                                          "print": pa.array(prints, pa.binary()), "sign": pa.array(signs, pa.binary())})
+                                          "print": pa.array(prints, pa.binary()), "sign": pa.array(signs, pa.binary()), "firsts": pa.array(firsts, pa.binary())})
+
+
+def prefix(n: int) -> int:
+    """How many of the smallest hashes of a set of n a similar set must share one of; 0 for sets that go by bands alone."""
+    return n - -(-n * PERCENT // 100) + 1 if 0 < n <= PREFIX else 0
+
+
+def agreement(smaller: np.ndarray) -> np.ndarray:
+    """Bins that the signatures of a link agree in, almost surely, by the size of its smaller set."""
+    filled = BINS * -np.expm1(-smaller / BINS)
+    share = PERCENT / 100
+    least = share - SURE * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
+    return np.where(4 * smaller <= 3 * PREFIX, 0, np.maximum(0, BINS * least))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +137,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, node): the band's number above its six signature bytes."""
+    """(bucket, node): the band's number above its six signature bytes; below 0 a shingle of the prefix."""
     for part in small(batches, 200):
-        keys = band_keys(_matrix(part["sign"]))
-        nodes = np.repeat(part["node"].to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(nodes)], ["bucket", "node"])
+        nodes = part["node"].to_numpy(zero_copy_only=False)
+        firsts = [np.frombuffer(f, np.int64) | np.int64(-2**63) for f in part["firsts"].to_pylist()]
+        keys = np.concatenate([band_keys(_matrix(part["sign"])).ravel(), *firsts])
+        of = np.concatenate((np.repeat(nodes, BANDS), np.repeat(nodes, [len(f) for f in firsts])))
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(of)], ["bucket", "node"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -136,7 +160,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a block or of two blocks of one bucket that may be links between components."""
     for table in groups(batches, ("bucket", "low", "high")):
         signs, nodes, comps, sizes, blocks = (_matrix(table["sign"]), *(table[c].to_numpy() for c in ("node", "component", "n", "block")))
-        band = table["bucket"][0].as_py() >> (8 * ROWS)
+        bucket = table["bucket"][0].as_py()
+        band = bucket >> (8 * ROWS)
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
         left = np.flatnonzero(blocks == low)
         right = np.flatnonzero(blocks == high)
@@ -147,9 +172,11 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(near):
                 continue
             same = signs[near] == signs[i]
-            near, same = near[hit := same.sum(axis=1) >= AGREE], same[hit]
-            shared = same[:, :BANDS * ROWS].reshape(len(near), BANDS, ROWS).all(axis=2)
-            out += [(int(nodes[i]), int(nodes[j])) for j in near[shared.argmax(axis=1) == band]]
+            near, same = near[hit := same.sum(axis=1) >= agreement(np.minimum(sizes[near], sizes[i]))], same[hit]
+            if bucket >= 0 and len(near):
+                shared = same[:, :BANDS * ROWS].reshape(len(near), BANDS, ROWS).all(axis=2)
+                near = near[shared.argmax(axis=1) == band]
+            out += [(int(nodes[i]), int(nodes[j])) for j in near]
         if out:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
@@ -157,26 +184,33 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    # a bucket's hub is in a pair with each of its members
+    both = lookup_join(pairs, a, ["a"], ["b"], most_hot=HUBS).join(b, "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
     return both.filter(F.col("common") * 100 >= PERCENT * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of docs."""
     rows = docs.select("doc_id", "text")
-    signed = Written(rows.mapInArrow(_signatures, "doc_id long, n long, print binary, sign binary"), "signatures").df
+    signed = Written(rows.mapInArrow(_signatures, "doc_id long, n long, print binary, sign binary, firsts binary"), "signatures").df
     classes = signed.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"))
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("firsts").alias("firsts"))
     nodes = Written(classes, "classes").df
-    bands = nodes.select("node", "sign").mapInArrow(_bands, "bucket long, node long")
+    bands = nodes.select("node", "sign", "firsts").mapInArrow(_bands, "bucket long, node long")
     shared = Written(bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "buckets").df
     members = Written(bands.join(shared, "bucket"), "members").df
     involved = Written(members.select(F.col("node").alias("doc_id")).distinct(), "involved").df
     sets = Written(rows.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, set array<bigint>").dropDuplicates(["doc_id", "set"]), "sets").df
 
+    # an id with several texts is a node of several classes
+    named = signed.filter("print IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "print").distinct()
+    several = named.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    of_id = named.join(several, "doc_id").join(nodes.select("print", "node"), "print")
+    same_id = of_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+
     star = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     linked = Written(_confirmed(star, sets), "links").df
-    first = Written(components(linked), "components").df
+    first = Written(components(linked.unionByName(same_id)), "components").df
     placed = members.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("mixed")).filter("mixed").select("bucket")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
