@@ -28,10 +28,10 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     return joined.drop("_salt")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner") -> DataFrame:
-    """left joined (inner or left) with a right side that has one row per key, where a few keys may hold most of left's rows.
+def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner", most_hot: int = HOT) -> DataFrame:
+    """left joined (inner or left) with a right side that has one row per key, or a few, where some keys may hold most of left's rows.
 
-    Hot keys are counted first; there are at most HOT of them, so their right rows are a broadcast of proven size. The other rows
+    Hot keys, those of more than one in `most_hot` rows, are counted first; there are at most so many of them, so their right rows are a broadcast of proven size. The other rows
     are shuffled by their key; rows of hot keys are spread over that shuffle and meet no partner in it. Neither side is
     repeated, and everything is part of one plan. Keys that are null meet nothing.
     """
@@ -39,7 +39,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by:
         raise ValueError(f"a lookup is an inner or a left join, not {how}")
     extra = [c for c in right.columns if c not in on]
     counts = left.groupBy(*on).agg(F.count("*").alias("_rows"))
-    hot = counts.filter(F.col("_rows") * HOT > counts.agg(F.sum("_rows")).scalar()).select(*on).join(right, list(on)) \
+    hot = counts.filter(F.col("_rows") * most_hot > counts.agg(F.sum("_rows")).scalar()).select(*on).join(right, list(on)) \
         .select(*on, F.struct(F.lit(True).alias("_met"), *extra).alias("_hot"))
     marked = left.join(F.broadcast(hot), list(on), "left")
     place = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20))).cast("int")
