@@ -1,14 +1,15 @@
 """Exact top-k by integer inner product over an impact-ordered index, score at a time.
 
 Components are quantised to integers, floor(256 * x). The index of a block lists, for every dimension, the vectors in order of
-their value. A query gives each posting an impact: its weight times the value, above the least that dimension can add. Segments of
-postings are processed by descending impact level. An accumulator holds what a vector has received and how many of its dimensions
-were seen; its unseen dimensions can still add less than the level's impact each. Processing stops only on proof: when at most
-a few vectors can still reach the bound. Those, and only those, are rescored exactly. The last level is no impact at all, at which every
-posting has been processed, so the proof always comes and the result is exact whatever the level it came at.
+their value, cut into segments. A query gives each segment an impact: the most its postings can add above the least
+that dimension can add. Segments of all dimensions are processed by descending impact, down to a level. An accumulator then holds
+the most a vector can reach: what it has received, and for each dimension not yet seen the impact of that dimension's next
+segment. Processing stops only on proof: when at most a part of the vectors can still reach the bound. Those, and only those, are rescored
+exactly. The last level is no impact at all, at which every posting has been processed, so the proof always comes and the result is exact
+whatever the level it came at. The level a query starts from follows where its predecessors' proofs came; that changes the work only.
 
 The bound of a query is its k-th best score among a sample of the rows, found exactly; no vector below it can be a member. A block whose
-best conceivable score is below it is skipped. A query without a bound takes the k-th best of the vectors ahead in the block.
+best conceivable score is below it is skipped. A query without a bound takes the k-th best score of a few vectors of the block.
 
 Quantised values are whole numbers in double precision (a product with 256 is exact there). Scores are summed in doubles while all
 of a block's sums are below 2**53, in Python's integers beyond; a score beyond a long is its nearest end. Accumulators
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from transmuta.llm import vectors
 
-LEVELS = (0.35, 0.22, 0.14, 0.09, 0.055, 0.03, 0.0)  # impact levels, as parts of the largest impact
-FEW = 16  # proof is reached when k + 1/FEW of the block can still be members
+LEVELS = (0.5, 0.36, 0.27, 0.2, 0.14, 0.08, 0.0)  # impact levels, as parts of the largest impact
+FEW = 4  # proof is reached when k + 1/FEW of the block can still be members
+SEGMENTS = 16  # of a dimension
 EXACT = 2.0**53
 LONG = 2**63
 
@@ -54,15 +56,22 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Segments:
-    """Postings of a block: per dimension the vectors in order of value, and those values."""
+    """Postings of a block, a row per segment: the vectors of a dimension in order of value, and those values."""
 
     def __init__(self, values: np.ndarray, postings: np.ndarray):
         self.values = values.astype(np.float64)
         self.dims, self.n = postings.shape
-        self.postings = postings.astype(np.intp)
-        self.in_order = np.take_along_axis(self.values.T, self.postings, axis=1)
-        self.least, self.most = self.in_order[:, 0], self.in_order[:, -1]
+        in_order = np.take_along_axis(self.values.T, postings.astype(np.intp), axis=1)
+        self.least, self.most = in_order[:, 0], in_order[:, -1]
         self.largest = float(np.abs(self.values).max(initial=0))
+        # the last segment is filled up with postings of no vector, which have the dimension's largest value
+        each = max(1, min(SEGMENTS, self.n // 8))
+        width = -(-self.n // each)
+        extra = each * width - self.n
+        self.postings = np.pad(postings.astype(np.intp), ((0, 0), (0, extra)), constant_values=self.n).reshape(self.dims * each, width)
+        self.in_order = np.pad(in_order, ((0, 0), (0, extra)), mode="edge").reshape(self.dims * each, width)
+        self.of = np.repeat(np.arange(self.dims), each)
+        self.start = len(LEVELS) - 3  # the level to begin with
 
     def best_conceivable(self, q: np.ndarray) -> np.ndarray:
         """Per query, the sum of the most each dimension can add."""
@@ -97,54 +106,29 @@ def possible_members(q: np.ndarray, block: Segments, k: int, bound: float = -np.
         largest, total = float(span.max(initial=0)), float(np.abs(worst).sum() + span.sum())
     if n <= few or not largest or not np.isfinite(total):
         return np.arange(n)  # nothing to order by, or sums that doubles can't hold: all are rescored
-    slack = 0.0 if 2 * total < EXACT else total * 1e-12
-    # one number holds the sum and, above it, how many dimensions were seen
-    unit = 2.0 ** np.ceil(np.log2(2 * total + 2))
-    packed = unit * (2 * block.dims + 2) < EXACT
-    received, seen = np.zeros(n), np.zeros(n)
-    done = np.zeros(block.dims, np.int64)  # postings processed, from the end with the larger impact
-    base = float(worst.sum())
-    some_dims = np.flatnonzero(span > 0)
-    for level in LEVELS:
-        impact = largest * level  # segments of at least this impact
-        for d in some_dims.tolist():
-            if span[d] < impact and level:
-                continue
-            row, w = block.in_order[d], q[d]
-            need = (impact + worst[d]) / w
-            if w > 0:
-                until = n - int(np.searchsorted(row, need)) if level else n
-                part = slice(n - until, n - done[d])
-            else:
-                until = int(np.searchsorted(row, need, side="right")) if level else n
-                part = slice(int(done[d]), until)
-            if until <= done[d]:
-                continue
-            at = block.postings[d, part]
-            gain = row[part] * w - worst[d]
-            if packed:
-                received[at] += gain + unit
-            else:
-                received[at] += gain
-                seen[at] += 1
-            done[d] = until
-        got = received
-        if packed:
-            seen = np.floor(received / unit)
-            got = received - seen * unit
-        if bound == -np.inf:
-            ahead = np.argpartition(got, n - few)[n - few:]
-            bound_here = float(np.partition(block.values[ahead] @ q, few - k)[few - k])
-        else:
-            bound_here = bound
-        # a dimension not yet seen adds no more than the impact, and no more than its span
-        rest = np.minimum(impact, span[some_dims]).sum() - impact * seen if level else 0.0
-        may = np.flatnonzero(got + rest >= bound_here - base - slack - 1e-9 * impact * block.dims)
-        if len(may) <= few or not level:
+    slack = total * 1e-12
+    if bound == -np.inf:
+        # any k vectors give a bound; those with the largest values where the query weighs most are good ones
+        d = int(np.argmax(span))
+        ahead = np.argpartition(block.values[:, d] * q[d], n - few)[n - few:]
+        bound = float(np.partition(block.values[ahead] @ q, few - k)[few - k])
+    weight, floor = q[block.of], worst[block.of]
+    impact = np.maximum(block.in_order[:, 0] * weight, block.in_order[:, -1] * weight) - floor
+    level = block.start
+    while True:
+        done = impact >= largest * LEVELS[level]
+        # what a dimension can still add to a vector not seen in it: the impact of its next segment
+        rest = np.where(done, 0.0, impact).reshape(block.dims, -1).max(axis=1)
+        chosen = np.flatnonzero(done)
+        gains = block.in_order[chosen] * weight[chosen, None] - (floor + rest[block.of])[chosen, None]
+        most = worst.sum() + rest.sum() + np.bincount(block.postings[chosen].ravel(), gains.ravel(), n + 1)[:n]
+        may = np.flatnonzero(most >= bound - slack)
+        if len(may) <= few or not LEVELS[level]:
+            block.start = max(0, level - (8 * len(may) < few))  # an early proof: try a higher level next
             if levels is not None:
-                levels[level] += 1
+                levels[LEVELS[level]] += 1
             return may
-    raise AssertionError("the last level is a proof")
+        level += 1
 
 
 def _open(row: dict) -> tuple[np.ndarray, Segments]:
