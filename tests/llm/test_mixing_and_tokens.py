@@ -14,7 +14,7 @@ import tiktoken
 import zstandard
 
 from transmuta.functions.materialize import shared_folder
-from transmuta.llm import bpe, mixing, preferences, warc
+from transmuta.llm import bpe, licences, minhash, mixing, preferences, repeats, toxicity, warc
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -67,6 +67,41 @@ def test_mix_hits_targets_and_reruns_agree(spark):
     assert mixing.mix(frame.limit(0)).count() == 0 and mixing.mixed_documents(frame.limit(0)).count() == 0
 
 
+def test_inclusion_follows_the_probabilities(spark):
+    """Over many seeds a document is sampled as often as its words say; the sample is the n of lowest Pareto rank."""
+    sizes = [1, 2, 4, 8, 16, 32, 64, 128] * 25
+    rows = [(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)] + [(1000, "w " * 9000, "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    share, seeds = Fraction(1, 4), 12
+    taken = np.zeros(len(sizes))
+    for seed in range(seeds):
+        got = mixing.mix(frame, seed=f"s{seed}", weights=(1, 1), share=share).filter("doc_id < 1000").collect()
+        target = got[0]["target"]
+        rest = target - sum(sizes) * (target // sum(sizes))
+        for r in got:
+            taken[r["doc_id"]] += r["copies"] - target // sum(sizes)
+        assert abs(sum(r["taken"] for r in got) - target) <= 64
+    wanted = np.minimum(1, rest * np.array(sizes) / sum(n * n for n in sizes))
+    by_size = lambda x: np.array([x[np.array(sizes) == n].mean() for n in sorted(set(sizes))])
+    assert 0.2 < wanted.max() <= 1 and np.abs(by_size(taken / seeds) - by_size(wanted)).max() < 0.1
+    assert (np.diff(by_size(taken)) > 0).all()
+
+
+def test_columns_of_any_name_stay(spark):
+    """Names that operators use themselves are kept apart."""
+    names = ["_mix", "_plan", "_rep_id", "_rep_kept", "_rep_spans", "_toxic_score", "_toxic_passages", "_licences", "ids", "block", "row", "node"]
+    rows = [(i, f"document {i} " + "word " * 30, f"s{i % 2}", 7) for i in range(12)]
+    frame = spark.createDataFrame([(*r, *(f"{n}{r[0]}" for n in names)) for r in rows], "doc_id long, text string, source string, n_chars int, " + ", ".join(f"{n} string" for n in names))
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(12)], "doc_id long, toxic int")
+    for out in (toxicity.clean_documents(frame, labels), minhash.distinct_documents(frame), repeats.deduplicated_documents(frame), mixing.mixed_documents(frame)):
+        assert out.columns == frame.columns
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+    encoded = bpe.encode(frame, RANKS, public_tokenizers.PATTERN)
+    assert encoded.columns == [*(c for c in frame.columns if c != "text"), "_ids"] and all(r["ids"] == f"ids{r['doc_id']}" and r["_ids"] for r in encoded.collect())
+    scanned = licences.scan(frame, licences.fit(frame))
+    assert scanned.columns == [*frame.columns, "__licences"] and all(r["_licences"] == f"_licences{r['doc_id']}" for r in scanned.collect())
+
+
 def test_ids_equal_the_library_and_decode_back(spark, monkeypatch):
     monkeypatch.setattr(bpe, "BLOCK", 3000)
     rng = random.Random(4)

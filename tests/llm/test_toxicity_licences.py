@@ -93,6 +93,23 @@ def test_licences_are_named_and_confirmed(spark):
     assert licences.licence_report(frame.limit(0)).count() == 0
 
 
+def test_the_classifier_names_the_family(spark):
+    """Without weights nothing is reported, and a whole template of a family that the classifier does not name is no finding."""
+    frame = spark.createDataFrame([(i, f"some words before\n{t}\nand after") for i, (f, ts) in enumerate(licences.TEMPLATES.items()) for t in ts[:1]]
+                                  + [(500, "plain " * 300_000 + licences.TEMPLATES["MIT"][1] + " plain" * 300_000)], "doc_id long, text string")
+    model = licences.fit(frame)
+    found = {r["doc_id"]: {x["family"] for x in r["_licences"]} for r in licences.scan(frame, model).collect()}
+    assert found[500] == {"MIT"} and sum(bool(v) for v in found.values()) >= 0.9 * len(found)
+    idle = licences.Model(model.features, model.weights * 0, model.temperature, model.threshold, model.telling, model.named)
+    assert not any(r["_licences"] for r in licences.scan(frame, idle).collect())
+    mit, isc = licences.FAMILIES.index("MIT"), licences.FAMILIES.index("ISC")
+    swapped = model.weights.copy()
+    swapped[:, [mit, isc]] = swapped[:, [isc, mit]]
+    other = licences.Model(model.features, swapped, model.temperature, model.threshold, model.telling, model.named)
+    for r in licences.scan(frame, other).collect():
+        assert not {"MIT", "ISC"} & {x["family"] for x in r["_licences"]}
+
+
 def test_adjacent_notices_are_all_reported(spark):
     rng = random.Random(9)
     plain = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))

@@ -29,6 +29,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from transmuta.llm.tables import free_name
 from transmuta.llm.batches import small
 
 BLOCK = 8_000_000  # characters of text per block
@@ -242,7 +243,7 @@ def _broadcast_file(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None, finish=None) -> DataFrame:
-    """docs with the text replaced by its ids (array<int>).
+    """docs with the text replaced by its ids (array<int>); a column ids of docs stays, and the ids are then in _ids.
 
     path: a rank file; parts: groups of words, by default as many as shuffle partitions; finish: (function of Arrow
     batches, schema) that the task which puts a text together applies to it at once, so that ids need not leave it.
@@ -265,7 +266,7 @@ def encode(docs: DataFrame, path: str, pattern: str, parts: int | None = None, f
     ready = both.repartition("block").sortWithinPartitions("block", "place")
     assemble = _assemble(carry)
     if finish is None:
-        return ready.mapInArrow(assemble, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])).toDF(*carry, "ids")
+        return ready.mapInArrow(assemble, T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])).toDF(*carry, free_name(docs, "ids"))
     last, schema = finish
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,7 +92,7 @@ WITH sized AS (
          (CAST('0x' || substr(md5('pareto|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
            / 4503599627370496::DOUBLE AS u
   FROM documents),
-totals AS (SELECT named, src, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY ALL),
+totals AS (SELECT named, src, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(CAST(size AS HUGEINT) * size) AS DOUBLE) AS squares FROM sized GROUP BY ALL),
 weighted AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY named DESC, src) - 1) % 3 AS INTEGER) + 1] AS weight FROM totals),
 levels AS (
   SELECT *, CAST(source_size * 2 AS DOUBLE) / weight AS full_at,
@@ -102,15 +102,17 @@ levels AS (
   FROM weighted),
 water AS (SELECT level FROM levels WHERE full_at >= level ORDER BY full_at, named DESC, src LIMIT 1),
 targets AS (
-  SELECT named, src, source_size, least(CAST(2 * source_size AS DOUBLE), coalesce(weight * (SELECT level FROM water), CAST(2 * source_size AS DOUBLE))) AS target FROM levels),
+  SELECT named, src, source_size, squares, least(CAST(2 * source_size AS DOUBLE), coalesce(weight * (SELECT level FROM water), CAST(2 * source_size AS DOUBLE))) AS target FROM levels),
 plan AS (
   SELECT *, target - whole * source_size AS rest FROM (
     SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS part FROM (
       SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM targets))),
+odds AS (SELECT *, CASE WHEN size > 0 THEN rest * CAST(size AS DOUBLE) / squares ELSE 0 END AS p FROM sized JOIN plan USING (named, src)),
 ranked AS (
   SELECT doc_id, size, source_size, target, whole, part, rest,
-    CASE WHEN part > 0 THEN sum(size) OVER (PARTITION BY named, src ORDER BY (u / (1 - u)) / (part / (1 - part)) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto
-  FROM sized JOIN plan USING (named, src)),
+    CASE WHEN part > 0 THEN sum(size) OVER (PARTITION BY named, src ORDER BY CASE WHEN p >= 1 THEN 0 WHEN p <= 0 THEN 1e300 ELSE (u / (1 - u)) / (p / (1 - p)) END
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS upto
+  FROM odds),
 marked AS (SELECT *, coalesce(2 * upto - size <= 2 * rest, FALSE) AS sampled FROM ranked)
 SELECT doc_id, size, source_size, target, CAST(whole AS BIGINT) + CAST(sampled AS BIGINT) AS copies,
        size * (CAST(whole AS BIGINT) + CAST(sampled AS BIGINT)) AS taken

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from transmuta.functions.materialize import Written, free_shuffles
 from transmuta.llm.anchors import runs
 from transmuta.llm.batches import small
+from transmuta.llm.tables import apart
 from transmuta.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH = 100
@@ -247,7 +248,7 @@ def without_repeats(docs: DataFrame, large: int = LARGE, as_text: bool = False)
         .agg(F.collect_list(F.struct("start", "end")).alias("_rep_spans"))
     spans = Written(spans, "spans").df
     free_shuffles(docs.sparkSession)
-    joined = _keyed(docs).join(spans, ["_rep_id", "_rep_mark"], "left").drop("_rep_id", "_rep_mark").select(*docs.columns, "_rep_spans")
+    joined = _keyed(docs).join(spans, ["_rep_id", "_rep_mark"], "left").drop("_rep_id", "_rep_mark").select(*(F.col(f"`{c}`") for c in docs.columns), "_rep_spans")
     return joined.mapInArrow(_with_kept(as_text), T.StructType([
         *docs.schema.fields, T.StructField("_rep_kept", T.StringType() if as_text else T.BinaryType()),
         T.StructField("_rep_removed", T.LongType()), T.StructField("_rep_count", T.LongType())]))
@@ -262,9 +263,10 @@ def digests(docs: DataFrame, large: int = LARGE) -> DataFrame:
 
 def deduplicated_documents(docs: DataFrame) -> DataFrame:
     """docs with texts that lack the repeated bytes; a character that loses one of its bytes goes whole. Columns of docs."""
-    kept = without_repeats(docs, as_text=True)
+    own = apart(docs, ("doc_id", "text", "n_chars"))
+    kept = without_repeats(own, as_text=True)
     cut = F.col("_rep_count") > 0
     changed = {"text": F.when(cut, F.col("_rep_kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(cut, F.length("_rep_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumns(changed).select(*docs.columns)
+    return kept.withColumns(changed).select(*(F.col(f"`{c}`") for c in own.columns)).toDF(*docs.columns)

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from transmuta.functions.materialize import Written
 from transmuta.llm.batches import small
 from transmuta.llm.samples import below_share
+from transmuta.llm.tables import apart
 
 TOKEN = re.compile(r"\w+")
 STEM = 4  # letters
@@ -259,4 +260,5 @@ def scored_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic; columns of docs."""
-    return score(docs, fit(docs, labels)).filter("_toxic_score < 0.5").drop("_toxic_score", "_toxic_passages")
+    own = apart(docs, ("doc_id", "text"))
+    return score(own, fit(own, labels)).filter("_toxic_score < 0.5").select(*(F.col(f"`{c}`") for c in own.columns)).toDF(*docs.columns)
