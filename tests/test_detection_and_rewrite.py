@@ -198,14 +198,28 @@ def test_rule_table_limit(spark, monkeypatch):
     monkeypatch.setattr(RuleSet, "LIMIT", 10)
     with pytest.raises(ValueError):
         RuleSet.from_table(table)
-    assert [len(part) for part in RuleSet.parts(table)] == [10, 10, 10, 6]
 
 
-def test_rule_table_in_parts_equals_one_scan(spark, make_files, monkeypatch):
-    files = make_files({f"{i}.py": s for i, s in enumerate(SNIPPETS.values())})
-    monkeypatch.setattr(RuleSet, "LIMIT", 7)
-    parts = detect.scan_rule_table(files, RULES.table(spark))
-    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, detect.regex_rule_scan(files, RULES).select(parts.columns).collect()))
+def test_rule_table_through_its_index_equals_the_array(spark, make_files, monkeypatch):
+    files = make_files({**{f"{i}.py": s for i, s in enumerate(SNIPPETS.values())}, "none.py": None, "empty.py": "", "short.py": "ab", "é.py": "größe = 1 # ÄÖ"})
+    more = RULES.plus([{"id": i, "pattern": p, "replacement": ""} for i, p in (("ANY", r"\w+_\w+"), ("SHORT", "ab"), ("UMLAUT", r"größe\s"), ("CASE", "(?i)KERNEL"))])
+    monkeypatch.setattr(RuleSet, "LIMIT", 20)
+    parts = detect.scan_rule_table(files, more.table(spark))
+    want = sorted(map(tuple, detect.regex_rule_scan(files, more).select(parts.columns).collect()))
+    assert sorted(map(tuple, parts.collect())) == want and {"ANY", "SHORT", "UMLAUT", "CASE"} <= {r[3] for r in want}
+    assert detect.scan_rule_table(files.limit(0), more.table(spark)).count() == 0 and detect.scan_rule_table(files, more.table(spark).limit(0)).count() == 0
+
+
+def test_twenty_thousand_rules_in_one_scan(spark, make_files):
+    files = make_files({f"f{i}.py": f"call_{37 * i}(x)\nprefix common_{i} end\n" for i in range(200)})
+    rules = spark.range(20_000).select(
+        F.col("id").cast("int").alias("rule_ord"), F.concat(F.lit("R"), "id").alias("id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("call_"), "id", F.lit(r"\("))).otherwise(
+            F.concat(F.lit(r"prefix\s+common_"), "id", F.lit(r"\b"))).alias("pattern"), F.lit("x").alias("type"), F.lit("f").alias("framework"), F.lit("high").alias("confidence"), F.lit("rule").alias("source"))
+    found = detect.scan_rule_table(files, rules)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    want = {(f"p/f{i}.py", f"R{37 * i}") for i in range(0, 200, 2)} | {(f"p/f{i}.py", f"R{i}") for i in range(1, 200, 2)}
+    assert {(r["path"], r["id"]) for r in found.collect()} == want and found.count() == len(want)
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
 
 
 def test_detections_of_missing_files_stay(spark, make_files):

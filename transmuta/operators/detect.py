@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from transmuta import schemas
 from transmuta.functions.arrays import elements
 from transmuta.functions.constants import built_once
 from transmuta.functions.facts import names_regex, with_facts
-from transmuta.functions.pyre import jvm_pattern
+from transmuta.functions.materialize import Written
+from transmuta.functions.pyre import jvm_pattern, required_literal
 from transmuta.operators.resolve import matches, rule_array
 from transmuta.sources import catalog
 from transmuta.sources.catalog import RuleSet
@@ -107,10 +112,67 @@ def regex_rule_scan(files: DataFrame, rules: RuleSet, text_col: str = "content",
     return files.select(*keys, F.inline(matching_rules(F.col(text_col), rules)))
 
 
+GRAM = 4  # bytes
+GRAM_BITS = 1 << 20
+_HIT = ("rule_ord", "id", "type", "framework", "confidence", "source")
+
+
+def _gram_of(literal: str) -> int | None:
+    """One of the literal's grams, the one with the least checksum, so that rules with a common beginning are spread."""
+    data = literal.encode("utf-8")
+    grams = {data[i:i + GRAM] for i in range(len(data) - GRAM + 1)}
+    return int.from_bytes(min(grams, key=lambda g: (zlib.crc32(g), g)), "little") if grams else None
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """rules with their pattern in JVM syntax and the gram they are found by, null where no match need hold one; made in tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            patterns = batch["pattern"].to_pylist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([jvm_pattern(p) for p in patterns], pa.string()), pa.array([_gram_of(required_literal(p)) for p in patterns], pa.int64())],
+                                             [*batch.schema.names, "jvm", "gram"])
+    kept = rules.select(*_HIT, "pattern")
+    return kept.mapInArrow(run, f"{kept.schema.toDDL()}, jvm string, gram long")
+
+
+def _grams_in(known: np.ndarray):
+    """Column function: the distinct grams of a text whose place in the filter is set."""
+    @F.arrow_udf("array<bigint>")
+    def grams(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int64)
+            found = np.zeros(0, np.int64)
+            if len(b) >= GRAM:
+                g = sum(b[k:len(b) - GRAM + 1 + k] << (8 * k) for k in range(GRAM))
+                found = np.unique(g[known[g % GRAM_BITS]])
+            out.append(found)
+        return pa.array(out, pa.list_(pa.int64()))
+    return grams
+
+
 def scan_rule_table(files: DataFrame, rules: DataFrame, text_col: str = "content", keys: Sequence[str] = ("repo", "path")) -> DataFrame:
-    """`regex_rule_scan` for a rule table of any length: one scan per part of the table, together all of it."""
-    scans = [regex_rule_scan(files, part, text_col, keys) for part in RuleSet.parts(rules)]
-    return reduce(DataFrame.unionByName, scans) if scans else regex_rule_scan(files, RuleSet(), text_col, keys)
+    """`regex_rule_scan` for a rule table of any length, in one scan of the texts.
+
+    Rules are found by an inverted index: a rule stands under one gram of the literal that each of its matches must hold, a text
+    looks up the grams it holds, and only these rules' regexes are searched. A filter of GRAM_BITS bits, whatever the
+    number of rules, keeps grams of no rule in the scan. Rules whose matches need hold no gram are searched in every text; they must be
+    a set that fits a plan (RuleSet.LIMIT), as there is no way to leave any out.
+    """
+    index = Written(rule_index(rules), "rule-index").df
+    known = np.zeros(GRAM_BITS, bool)
+    places = index.filter("gram IS NOT NULL").select((F.col("gram") % GRAM_BITS).alias("p"))
+    for r in places.groupBy(F.shiftright("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect():  # 32 rows of 4 KB at most
+        known[r["block"] << 15:(r["block"] + 1) << 15] = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little")
+    everywhere = RuleSet.from_table(index.filter("gram IS NULL").drop("jvm", "gram").withColumn("replacement", F.lit("")), keep_order=True)
+    rule = F.struct(*_HIT)
+    looked_up = F.transform(_grams_in(known)(F.col(text_col)), lambda g: F.struct(g.alias("gram"), F.lit(None).cast(index.select(rule.alias("r")).schema["r"].dataType).alias("rule")))
+    searched = F.transform(matching_rules(F.col(text_col), everywhere), lambda r: F.struct(
+        F.lit(None).cast("long").alias("gram"), F.struct(*[r[f].alias(f) for f in _HIT]).cast(index.select(rule.alias("r")).schema["r"].dataType).alias("rule")))
+    found = files.select(*keys, F.col(text_col).alias("_text"), F.inline(F.concat(looked_up, searched)))
+    joined = found.join(index.select("gram", rule.alias("_rule"), "jvm"), "gram", "left")
+    hit = F.when(F.col("gram").isNull(), F.col("rule")).when(F.rlike("_text", F.col("jvm")), F.col("_rule"))
+    return joined.select(*keys, hit.alias("hit")).filter("hit IS NOT NULL").select(*keys, "hit.*")
 
 
 def match_counts(files: DataFrame, pattern: str, text_col: str = "content") -> DataFrame:

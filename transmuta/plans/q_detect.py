@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from transmuta.functions.materialize import cut
-from transmuta.operators import decisions, detect, diff, outliers, reports, resolve, rewrite, validate
+from transmuta.functions.materialize import cut, shared_folder
+from transmuta.operators import decisions, detect, diff, outliers, reports, resolve, resume, rewrite, validate
 from transmuta.plans.base import CTES, RULES, corpus, known, query
 from transmuta.plans.q_sources import decision_writes
 from transmuta.sources import derived, stores
@@ -38,6 +40,12 @@ def _(spark, sf):
     return detect.regex_rule_scan(corpus(spark, sf), RULES)
 
 
+@query("rule_table_scan", "SELECT repo, path, CAST(rule_ord AS INTEGER) AS rule_ord, id, type, framework, confidence, source FROM rule_hits")
+def _(spark, sf):
+    """The same hits from the rules as a table, through their index."""
+    return detect.scan_rule_table(corpus(spark, sf), RULES.table(spark))
+
+
 @query("match_counts", r"SELECT repo, path, len(regexp_extract_all(content, 'def test_\w+')) AS n_matches FROM files")
 def _(spark, sf):
     return detect.match_counts(corpus(spark, sf), r"def test_\w+")
@@ -263,3 +271,15 @@ def migrate(spark, sf):
     done = rewrite.changed_files(rewrite.migrate(corpus(spark, sf), RULES))
     return done.select("repo", "path", F.array_join("applied", ",").alias("applied_ids"), F.md5("new_content").alias("digest"),
                        F.length("new_content").cast("long").alias("n_chars"))
+
+
+@query("migrate_resumed", """
+SELECT repo, path, array_to_string(applied, ',') AS applied_ids, md5(new_content) AS digest, length(new_content) AS n_chars FROM rewritten WHERE changed""")
+def _(spark, sf):
+    """A run that is stopped after one of four waves, and the run that goes on from there."""
+    out = f"{shared_folder(spark)}/resumed-{uuid.uuid4().hex}"
+    files = corpus(spark, sf)
+    resume.migrate(files, RULES, out, waves=4, stop_after=1)
+    resume.migrate(files, RULES, out, waves=4)
+    return resume.migrated(spark, out).select("repo", "path", F.array_join("applied", ",").alias("applied_ids"), F.md5("content").alias("digest"),
+                                              F.length("content").cast("long").alias("n_chars"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark.sql import functions as F
 
 from transmuta.functions import facts, text
+from transmuta.functions.materialize import shared_folder
 from transmuta.operators import detect, labels, reports, rewrite, tracker, validate
 from transmuta.operators.outliers import comment_only_mentions
-from transmuta.plans.base import CTES, KNOWN_MODULES, RULES, corpus, known, query, text_lit
-from transmuta.sources import derived
+from transmuta.plans.base import CTES, KNOWN_MODULES, ORACLES, RULES, corpus, known, query, text_lit
+from transmuta.sources import derived, fact_store
 
 # facts of one file, read off its lines; the derived corpus nests nothing deeper than one level
 CTES["file_facts"] = r"""
@@ -47,12 +49,25 @@ SELECT repo, path, parse_ok, CASE WHEN parse_ok THEN NULL ELSE 'SyntaxError' END
   CAST(n_imports AS BIGINT) AS n_imports, CAST(n_from_imports AS BIGINT) AS n_from_imports, CAST(n_classes AS BIGINT) AS n_classes,
   CAST(n_functions AS BIGINT) AS n_functions, CAST(n_asserts AS BIGINT) AS n_asserts, CAST(max_nesting AS BIGINT) AS max_nesting FROM file_facts""")
 def _(spark, sf):
-    f = facts.code_facts(corpus(spark, sf))
+    return _sized(facts.code_facts(corpus(spark, sf)))
+
+
+def _sized(f):
     sizes = [F.size(c).cast("long").alias(f"n_{c}") for c in ("imports", "from_imports", "classes", "functions")]
     return f.select("repo", "path", "parse_ok", "err_type", "err_line", *sizes, F.col("asserts").cast("long").alias("n_asserts"),
                     F.col("max_nesting").cast("long").alias("max_nesting"))
 
 
+@query("code_facts_incremental", ORACLES["code_facts"])
+def _(spark, sf):
+    """The same facts from a store that an edited snapshot has filled: only the contents that differ are parsed for the second one."""
+    store = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    files = corpus(spark, sf)
+    edited = F.when(F.length("path") % 5 == 0, F.concat("content", F.lit("\nx = 1\n"))).otherwise(F.col("content"))
+    fact_store.refresh(files.withColumn("content", edited), store)
+    return _sized(fact_store.code_facts(files, store))
+
+
 @query("facts_worker", """
 SELECT repo, path, 'class' AS kind, class_name AS name, CAST(line_no AS INTEGER) AS line FROM statements WHERE class_name <> ''
 UNION ALL SELECT repo, path, 'function', func_name, CAST(line_no AS INTEGER) FROM statements WHERE func_name <> ''""")

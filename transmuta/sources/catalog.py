@@ -5,9 +5,8 @@ The texts below are fixed values that results depend on; everything else is ordi
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
-from itertools import islice
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
@@ -274,19 +273,15 @@ class RuleSet:
         return RuleSet(tuple(merged.values()))
 
     @classmethod
-    def from_table(cls, rules: DataFrame) -> "RuleSet":
+    def from_table(cls, rules: DataFrame, keep_order: bool = False) -> "RuleSet":
+        """`keep_order` keeps the numbers of the table instead of counting from 0, and rules that share an id."""
         rows = rules.orderBy("rule_ord").limit(cls.LIMIT + 1).collect()
         if len(rows) > cls.LIMIT:
-            raise ValueError(f"more than {cls.LIMIT} rules: scan the table in parts with scan_rule_table")
-        return cls().plus(rows)
-
-    @classmethod
-    def parts(cls, rules: DataFrame) -> Iterator["RuleSet"]:
-        """A rule table of any length as consecutive sets within the limit, streamed in order; rule_ord is kept."""
-        rows = rules.orderBy("rule_ord").toLocalIterator()
-        for part in iter(lambda: list(islice(rows, cls.LIMIT)), []):
-            own = [{k: v for k, v in r.asDict().items() if v is not None and k in Rule.__dataclass_fields__} for r in part]
-            yield cls(tuple(Rule(**{"key": v["id"].lower(), **v}) for v in own))
+            raise ValueError(f"more than {cls.LIMIT} rules: scan the table with scan_rule_table, where rules with a literal have no limit")
+        if not keep_order:
+            return cls().plus(rows)
+        own = [{k: v for k, v in r.asDict().items() if v is not None and k in Rule.__dataclass_fields__} for r in rows]
+        return cls(tuple(Rule(**{"key": v["id"].lower(), **v}) for v in own))
 
     def whole_word(self) -> "RuleSet":
         """The same rules with a word boundary after patterns that end in a word character."""
