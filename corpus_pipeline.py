@@ -2,6 +2,12 @@
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame. run() writes each
 stage as Parquet into the shared folder and rereads it as the next one's docs.
+
+Defined results, for every stage: null, empty and very long texts are kept as they are (a text without words is linked with
+nothing, has nothing to cut, takes no words of a mix, and has no ids); null sources are one source; rows with a null id are
+kept by the first three stages, as nothing is known of them; rows that share an id are one document to the second stage and
+stay or go together; ties go to the smaller id, and to rows alike in id and text alike; an empty table stays empty, whatever the labels;
+columns of any other name stay as they are, and the ids of the last stage are in `ids`, or in `_ids` where documents have such a column.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ STAGES = [
     ("byte_bpe", tokenize),
 ]
 
-#: SQL cannot express the learned and the suffix stages; tests compare the pipeline with a brute-force version.
+#: SQL cannot express the learned and the suffix stages; tests/llm/test_pipeline_rows.py compares run() with a chain of plain Python stages.
 ORACLE_SQL = None
 
 
