@@ -40,6 +40,19 @@ def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about that size, where batches of a row or a few would cost more than their rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches: texts become Python objects a few at a time.
 

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from transmuta.functions.materialize import Written
+from transmuta.llm.batches import together
 
 CHUNK = 4096  # rows
 SALTS = 64
@@ -67,6 +68,7 @@ IDENTITY: Matrix = tuple(tuple(0 if i == j else NEVER for j in range(4)) for i i
 INSERTIONS: Matrix = tuple(tuple(0 if i == j else INSERT if NEXT[i] == j else 2 * INSERT if NEXT[NEXT[i]] == j else NEVER for j in range(4)) for i in range(4))
 
 
+@cache
 def choices(symbol: int, state: int) -> list[tuple[str, int, int]]:
     """(letter, cost, next state) of the edits that use up a row, in order of their letters."""
     found = [("D", DELETE, state)]
@@ -204,7 +206,7 @@ def _chunks(symbols: DataFrame) -> DataFrame:
                 held.append(r)
         if held:
             yield _chunk(conv, part, held)
-    return rows.mapInArrow(run, f"conv_id {kind}, {_CHUNK}")
+    return rows.mapInArrow(lambda batches: together(run(batches)), f"conv_id {kind}, {_CHUNK}")
 
 
 def _chunk(conv: pa.Scalar, part: int, held: list[tuple]) -> pa.RecordBatch:
@@ -298,7 +300,7 @@ def _forwards(unrolled: DataFrame) -> DataFrame:
                 yield _entries(conv, open_, r)
         if open_ is not None:
             yield _last(conv, open_)
-    return _in_order(unrolled).mapInArrow(run, f"conv_id {kind}, {_EDITS}")
+    return _in_order(unrolled).mapInArrow(lambda batches: together(run(batches)), f"conv_id {kind}, {_EDITS}")
 
 
 def _entries(conv: pa.Scalar, open_: dict, r: dict) -> pa.RecordBatch:
