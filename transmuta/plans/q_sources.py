@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from transmuta.functions import text
+from transmuta.functions.materialize import shared_folder
 from transmuta.operators import detect, metrics, reports, resolve, rewrite, tracker
 from transmuta.plans.base import CTES, KNOWN_MODULES, RULES, corpus, query, values
-from transmuta.sources import catalog, derived, stores
+from transmuta.sources import catalog, decision_log, derived, stores
 from transmuta.sources import corpus as scans
 
 _SKIPPED = "len(list_intersect(string_split(substring(path, length(repo) + 2), '/'), ['__pycache__', '.git', 'venv', 'env'])) > 0"
@@ -77,6 +80,17 @@ def _(spark, sf):
     return stores.decision_state(decision_writes(spark, sf))
 
 
+@query("decision_log", "SELECT * FROM decisions")
+def _(spark, sf):
+    """The same store kept by three writers, with a compaction before the third has written."""
+    path, writes = f"{shared_folder(spark)}/decisions-{uuid.uuid4().hex}", decision_writes(spark, sf)
+    for n in range(3):
+        decision_log.append(writes.filter(F.col("write_id") % 3 == n), path)
+        if n == 1:
+            decision_log.compact(spark, path)
+    return decision_log.decisions(spark, path)
+
+
 @query("latest_decision", """
 SELECT pattern_id, write_id, last_updated, decision, notes, min_confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY last_updated DESC, write_id DESC) AS rn FROM decision_writes) WHERE rn = 1""")
