@@ -13,8 +13,9 @@ representative is paired with the bucket's smallest one only; these pairs are co
 components. Only buckets that still hold several components are looked at again: their signatures are compared in blocks
 of bounded size inside a task, and a pair leaves the task only if its components differ, its signatures agree in so many bins as
 a link's can't miss by chance, and the bucket is the first band the two share. The number of bins follows the sizes: SURE standard
-errors below 75 %, with as many independent bins as the smaller set fills (a link falls below with a probability of about 1e-10);
-small sets have no such test. Those pairs are confirmed on full sets too, so no link between components is lost to the star, and
+errors below 75 %, with as many independent bins as the smaller set fills (a link falls below with a probability of about 1e-10).
+Small sets are compared by 16 bits of each shingle instead: they have at least as many in common as the shingles have, so no link
+is lost. Those pairs are confirmed on full sets too, so no link between components is lost to the star, and
 no group is expanded into its pairs.
 
 Sets hold 64-bit hashes of the shingles. Defined results: texts that are null or wordless have an empty set and are linked
@@ -103,15 +104,17 @@ def signature(found: np.ndarray, orders: np.ndarray) -> np.ndarray:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, orders = WordHashes(), _orders()
     for batch in small(batches):
-        sizes, prints, signs, firsts = [], [], [], []
+        sizes, prints, signs, firsts, tiny = [], [], [], [], []
         for text in batch["text"].to_pylist():
             s = shingles(text, hashes)
             sizes.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             signs.append(signature(s, orders).tobytes() if len(s) else None)
             firsts.append(s[:prefix(len(s))].tobytes())
+            tiny.append((s >> _U(8)).astype(np.uint16).tobytes() if len(s) <= PREFIX else b"")
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()),
-                                          "print": pa.array(prints, pa.binary()), "sign": pa.array(signs, pa.binary()), "firsts": pa.array(firsts, pa.binary())})
+                                          "print": pa.array(prints, pa.binary()), "sign": pa.array(signs, pa.binary()), "firsts": pa.array(firsts, pa.binary()),
+                                          "tiny": pa.array(tiny, pa.binary())})
 
 
 def prefix(n: int) -> int:
@@ -163,6 +166,7 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = table["bucket"][0].as_py()
         band = bucket >> (8 * ROWS)
         low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        small_sets = _tiny(table["tiny"].to_pylist())
         left = np.flatnonzero(blocks == low)
         right = np.flatnonzero(blocks == high)
         out: list[tuple[int, int]] = []
@@ -171,6 +175,9 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = near[(comps[near] != comps[i]) & (np.minimum(sizes[near], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[near], sizes[i]))]
             if not len(near):
                 continue
+            if sizes[i] <= PREFIX:
+                compared = sizes[near] <= PREFIX
+                near = np.concatenate((near[~compared], _alike(i, near[compared], small_sets, sizes)))
             same = signs[near] == signs[i]
             near, same = near[hit := same.sum(axis=1) >= agreement(np.minimum(sizes[near], sizes[i]))], same[hit]
             if bucket >= 0 and len(near):
@@ -181,6 +188,26 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
+def _tiny(sets: list[bytes]) -> np.ndarray:
+    """16 bits of each shingle, a row per set, filled up with a value of none."""
+    rows = [np.frombuffer(s, np.uint16) for s in sets]
+    out = np.full((len(rows), max((len(r) for r in rows), default=0)), 1 << 16, np.int32)
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
+
+
+def _alike(i: int, near: np.ndarray, small_sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Those of `near` that may have enough shingles in common with set i."""
+    if not len(near):
+        return near
+    held = np.zeros((1 << 16) + 1, np.uint8)
+    held[small_sets[i]] = 1
+    held[1 << 16] = 0
+    common = held[small_sets[near]].sum(axis=1, dtype=np.int64)
+    return near[common * (100 + PERCENT) >= PERCENT * (sizes[near] + sizes[i])]
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
@@ -192,9 +219,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row per row of docs."""
     rows = docs.select("doc_id", "text")
-    signed = Written(rows.mapInArrow(_signatures, "doc_id long, n long, print binary, sign binary, firsts binary"), "signatures").df
+    signed = Written(rows.mapInArrow(_signatures, "doc_id long, n long, print binary, sign binary, firsts binary, tiny binary"), "signatures").df
     classes = signed.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("firsts").alias("firsts"))
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sign").alias("sign"), F.first("firsts").alias("firsts"), F.first("tiny").alias("tiny"))
     nodes = Written(classes, "classes").df
     bands = nodes.select("node", "sign", "firsts").mapInArrow(_bands, "bucket long, node long")
     shared = Written(bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "buckets").df
@@ -217,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     again = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))) \
         .select("bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")) \
-        .join(nodes.select("node", "n", "sign"), "node")
+        .join(nodes.select("node", "n", "sign", "tiny"), "node")
     crossing = Written(again.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
                        .mapInArrow(_crossing, "a long, b long").distinct(), "crossing").df
     more = _confirmed(crossing, sets)
