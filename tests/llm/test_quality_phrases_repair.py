@@ -32,13 +32,12 @@ def test_gradient_step_lowers_the_loss():
     model = factorisation.Model.empty()
     model.factors = np.random.default_rng(1).normal(0, 0.01, model.factors.shape).astype(np.float32)
     loss = lambda m: np.mean([np.log1p(np.exp(-(2 * y - 1) * m.margin(i, x))) for i, x, y in rows])
-    after, seen = factorisation.train(model, rows, 0.1, 0)
+    after, seen = factorisation.train(model, rows, 0.01, 0)
     assert seen.sum() == len({i for r in rows for i, x in zip(r[0].tolist(), r[1].tolist()) if x})
-    losses = [loss(model), loss(after)]
-    for k in range(4):
-        after, _ = factorisation.train(after, rows, 0.1, k)
-        losses.append(loss(after))
-    assert losses == sorted(losses, reverse=True) and losses[-1] < 0.5 * losses[0]
+    first = loss(after)
+    for k in range(1, 6):
+        after, _ = factorisation.train(after, rows, 0.01, k)
+    assert loss(after) < first < loss(model) and loss(after) < 0.5 * loss(model)
 
 
 def quality_rows(n):

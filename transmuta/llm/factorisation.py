@@ -45,7 +45,7 @@ SAMPLE = 20_000
 SHARDS = 4
 ROUNDS = 6
 BATCH = 128
-RATE, RIDGE, CAUTION = 0.2, 1e-5, 1e-2  # CAUTION: what AdaGrad's sums of squares start from
+RATE, RIDGE, CAUTION = 0.1, 1e-5, 1e-6  # CAUTION: what AdaGrad's sums of squares start from
 BINS = 24
 MEMO = 200_000
 
