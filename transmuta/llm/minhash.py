@@ -4,9 +4,10 @@ A document's set is its distinct five-word shingles. One hash per shingle serves
 the smallest hash of a bin is the bin's value. An empty bin takes the value of the first filled bin of its own fixed
 pseudo-random order of bins (optimal densification), so bins stay independent. One byte of each value is the signature;
 85 bands of six bytes are the buckets. Two large sets of similarity 0.75 share a bucket with probability 1 - 6e-8. A small set
-fills few bins, so its signature may say little; sets of up to PREFIX shingles also go to the buckets of their smallest
+fills few bins, so its signature may say little; the smallest sets, of up to PREFIX shingles also go to the buckets of their smallest
 shingle hashes, as many as a partner of similarity 0.75 must share one of (prefix filter). So pairs whose smaller set has up to
-three quarters of PREFIX shingles share a bucket for certain.
+three quarters of PREFIX shingles share a bucket for certain. Between these and large sets, the chance that a link of exactly 0.75 shares
+no bucket falls with the size, from a few in a thousand at 25 shingles to 1e-6 at a few hundred.
 
 Pairs are bounded by stars. Documents with equal sets are one class, represented by its smallest id. In every bucket each
 representative is paired with the bucket's smallest one only; these pairs are confirmed on full sets and give first
@@ -14,7 +15,7 @@ components. Only buckets that still hold several components are looked at again:
 of bounded size inside a task, and a pair leaves the task only if its components differ, its signatures agree in so many bins as
 a link's can't miss by chance, and the bucket is the first band the two share. The number of bins follows the sizes: SURE standard
 errors below 75 %, with as many independent bins as the smaller set fills (a link falls below with a probability of about 1e-10).
-Small sets are compared by 16 bits of each shingle instead: they have at least as many in common as the shingles have, so no link
+Sets of up to TINY shingles are compared by 16 bits of each shingle instead: they have at least as many in common as the shingles have, so no link
 is lost. Those pairs are confirmed on full sets too, so no link between components is lost to the star, and
 no group is expanded into its pairs.
 
@@ -42,7 +43,8 @@ PERCENT = 75
 BINS = 512
 ROWS = 6
 BANDS = BINS // ROWS
-PREFIX = 171  # shingles
+PREFIX = 32  # shingles
+TINY = 171  # shingles of a set that is compared by 16 bits of each
 SURE = 6.5  # standard errors
 BLOCK = 1024  # representatives compared with each other at a time
 MEMO = 150_000
@@ -111,7 +113,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             signs.append(signature(s, orders).tobytes() if len(s) else None)
             firsts.append(s[:prefix(len(s))].tobytes())
-            tiny.append((s >> _U(8)).astype(np.uint16).tobytes() if len(s) <= PREFIX else b"")
+            tiny.append((s >> _U(8)).astype(np.uint16).tobytes() if len(s) <= TINY else b"")
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n": pa.array(sizes, pa.int64()),
                                           "print": pa.array(prints, pa.binary()), "sign": pa.array(signs, pa.binary()), "firsts": pa.array(firsts, pa.binary()),
                                           "tiny": pa.array(tiny, pa.binary())})
@@ -127,7 +129,7 @@ def agreement(smaller: np.ndarray) -> np.ndarray:
     filled = BINS * -np.expm1(-smaller / BINS)
     share = PERCENT / 100
     least = share - SURE * np.sqrt(share * (1 - share) / np.maximum(filled, 1))
-    return np.where(4 * smaller <= 3 * PREFIX, 0, np.maximum(0, BINS * least))
+    return np.where(4 * smaller <= 3 * TINY, 0, np.maximum(0, BINS * least))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +177,8 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = near[(comps[near] != comps[i]) & (np.minimum(sizes[near], sizes[i]) * 100 >= PERCENT * np.maximum(sizes[near], sizes[i]))]
             if not len(near):
                 continue
-            if sizes[i] <= PREFIX:
-                compared = sizes[near] <= PREFIX
+            if sizes[i] <= TINY:
+                compared = sizes[near] <= TINY
                 near = np.concatenate((near[~compared], _alike(i, near[compared], small_sets, sizes)))
             same = signs[near] == signs[i]
             near, same = near[hit := same.sum(axis=1) >= agreement(np.minimum(sizes[near], sizes[i]))], same[hit]
