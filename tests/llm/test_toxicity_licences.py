@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
@@ -127,6 +128,66 @@ def test_adjacent_notices_are_all_reported(spark):
     assert all(got[i]["n_passages"] == len(s) for i, s in enumerate(sets[:-1]))
 
 
+def licence_training_texts():
+    """More different texts than any sample held, long ones with licence words everywhere, copies, odd ones, and notices."""
+    rng = random.Random(13)
+    words = ["the", "of", "this", "license", "rights", "work", *("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 90))) for _ in range(900)]
+    texts += ["the restriction applies and Software is " * 4_000 + str(i) for i in range(3)]  # each above 20 000 bytes
+    texts += [t for f in licences.TEMPLATES.values() for t in f]
+    return texts + texts[:200] + texts[:1] * 300 + [None, "", " .,- \n", "permission"]
+
+
+def test_every_different_text_is_counted_once(spark):
+    texts = licence_training_texts()
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(7)
+    expected = Counter()
+    for text, hashed in frame.select("text", F.xxhash64("text")).distinct().collect():
+        words = licences.words_of(text or "")
+        turn, at, kept = hashed % len(licences.LENGTHS), 0, 0
+        while at < len(words):
+            piece = words[at:at + int(licences.LENGTHS[turn % len(licences.LENGTHS)])]
+            at, turn = at + len(piece), turn + 1
+            held = set(licences.grams(piece)) & set(licences.FEATURES)
+            if any(g.count(" ") == 2 for g in held):
+                continue
+            expected[(kept + hashed) % licences.HELD == 0, tuple(sorted(held))] += 1
+            kept += 1
+    names = {i: g for g, i in licences.FEATURES.items()}
+    rows = licences.ordinary_patterns(frame).collect()
+    found = {(r["held"], tuple(sorted(names[i] for i in np.frombuffer(r["pattern"], "<u2")[:-1]))): r["n"] for r in rows}
+    assert found == expected and len(rows) == len(found)
+
+
+def test_the_licence_model_is_learnt_from_all_texts(spark):
+    """Words that only texts above 20 000 bytes use everywhere are ordinary; order and partitions change nothing, another text does."""
+    frame = spark.createDataFrame([(t,) for t in licence_training_texts()], "text string")
+    model = licences.fit(frame.repartition(9))
+    assert not model.telling & {"the", "applies", "restriction", "software"}
+    again = licences.fit(frame.orderBy(F.desc("text")).coalesce(2))
+    assert np.array_equal(model.weights, again.weights) and (model.temperature, model.threshold, model.named) == (again.temperature, again.threshold, again.named)
+    more = licences.fit(frame.union(spark.createDataFrame([("warranties either copies " * 3_000,)], "text string")))
+    assert not np.array_equal(model.weights, more.weights) and "warranties" in model.telling and "warranties" not in more.telling
+
+
+def test_the_licence_training_finds_the_minimum():
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(12, 6))
+    b = rng.normal(size=12)
+    x = licences._minimum(lambda x: (0.5 * float((a @ x - b) @ (a @ x - b)), a.T @ (a @ x - b)), np.zeros(6), 60)
+    assert np.allclose(x, np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-5)
+    ids, sizes = np.array([3, 5, licences._END, licences._END, 0, licences._END]), np.array([3, 1, 2])
+    n, families = np.array([2, 1, 4]), np.array([0, 3, 1])
+    w = rng.normal(size=(licences._END + 1, len(licences.FAMILIES)))
+    got = licences._loss(w, ids, sizes, n, families)[1:].reshape(w.shape) / licences.UNIT
+    for i, f in [(3, 0), (0, 1), (licences._END, 3), (7, 0)]:  # the gradient, against differences
+        up, down = w.copy(), w.copy()
+        up[i, f] += 0.01
+        down[i, f] -= 0.01
+        slope = (licences._loss(up, ids, sizes, n, families)[0] - licences._loss(down, ids, sizes, n, families)[0]) / licences.UNIT / 0.02
+        assert abs(slope - got[i, f]) < 1e-3
+
+
 def test_samples_of_a_tiny_share_are_not_empty(spark, monkeypatch):
     many = spark.range(4_000_000)  # shares below 2**-20
     labels = many.select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))

@@ -14,27 +14,32 @@ confirm each other's notices (versions of the GPL), so windows are taken by prob
 found, and one most of whose trigrams are already taken is another reading of the same words. Windows of one family in a
 row are one notice; every notice of a passage is reported.
 
-Training passages are the templates with words dropped and ordinary text around them; the unknown class is ordinary text
-and shuffled licence words. Ordinary text comes from the SAMPLE different texts of smallest hash among those of up to SAMPLE_BYTES
-(bounds of the training; every document is scanned whole, whatever its length).
+Every different text of the table trains the classifier whole, copies once: it is cut into passages of 4 to 40 words (a text's
+last may be shorter), each word in one of them, and those without a trigram of a template are ordinary text. Features are the 1- to 3-grams of the templates, so an
+ordinary passage is the set of features it holds, its pattern, and Spark counts equal patterns. Telling words, weights, temperature and
+threshold follow from these counts: each step of the training and the calibration is a job over all patterns, whose tasks return sums
+of the model's size. The sums are of whole numbers, so neither order nor partitions change the model. Every fifth passage of a
+text is held out for the calibration. All ordinary passages together weigh as much as SAMPLE examples; the other examples are the templates with words
+dropped, and shuffled licence words as the unknown class, with words around them as frequent as in the ordinary passages.
 
 Defined results: null, empty and wordless texts have no passages; repeated rows and ids are scanned row by row; with no
-document to sample, the unknown class is shuffled licence words only; an empty table gives none.
+ordinary passage, the unknown class is shuffled licence words only; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
+from transmuta.functions.materialize import Written
 from transmuta.llm.batches import small
-from transmuta.llm.samples import smallest
 from transmuta.llm.tables import free_name
 
 # Wording of public licence notices, by family.
@@ -82,8 +87,13 @@ FAMILIES = [UNKNOWN, *TEMPLATES]
 
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 GAP, MARGIN = 8, 4  # words between telling words of a passage, and around it
-SAMPLE = 400  # documents of ordinary text
-SAMPLE_BYTES = 20_000  # the largest sampled document
+SAMPLE = 1500  # examples that all ordinary passages together weigh as much as; every passage counts
+LENGTHS = np.random.default_rng(7).permutation(np.arange(4, 41))  # words of a text's passages, in turn
+HELD = 5  # one passage of so many is held out
+STEPS = 30  # of the training
+UNIT = 2.0**20  # sums over passages are whole multiples of 1 / UNIT
+TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
+THRESHOLDS = np.arange(300, 501) / 1000  # a template has to confirm what passes, so the threshold need not be strict
 COPIES = 30  # training passages per template
 COMMON = 0.02  # a word in more than this share of ordinary passages is no licence word
 CONFIRM = 0.75
@@ -117,7 +127,7 @@ class Model:
     named: float = 0.5  # the least probability of a family that is named
 
     def probabilities(self, words: list[str]) -> np.ndarray:
-        known = [self.features[g] for g in set(grams(words)) if g in self.features]
+        known = sorted(self.features[g] for g in set(grams(words)) if g in self.features)
         z = (self.weights[known].sum(axis=0) / max(1.0, np.sqrt(len(known))) + self.weights[-1]) / self.temperature
         e = np.exp(z - z.max())
         return e / e.sum()
@@ -204,94 +214,229 @@ def places(words: list[str]) -> Iterator[tuple[int, list[int], float]]:
             counts, first, behind = Counter(), k, k
 
 
-def _like_a_template(words: list[str]) -> bool:
-    own = trigrams(words)
-    return any(own & t for texts in _TEMPLATE_GRAMS.values() for t in texts)
+# features: the words of the templates, then their bigrams, then their trigrams
+FEATURES = {g: i for i, g in enumerate(sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(words_of(t))}, key=lambda g: (g.count(" "), g)))}
+_WORDS = {g: i for g, i in FEATURES.items() if g.count(" ") == 0}
+_PAIRS = np.full((len(_WORDS) + 1, len(_WORDS) + 1), -1)  # feature of two words, by their features; the last is any other word
+_TRIPLES = np.full((len(FEATURES) + 1, len(_WORDS) + 1), False)  # whether a pair and a word are a trigram of a template; the last pair is any other
+for _g, _i in FEATURES.items():
+    _w = _g.split(" ")
+    if len(_w) == 2:
+        _PAIRS[_WORDS[_w[0]], _WORDS[_w[1]]] = _i
+    elif len(_w) == 3:
+        _TRIPLES[FEATURES[" ".join(_w[:2])], _WORDS[_w[2]]] = True
+_END = len(FEATURES)  # ends a pattern; the intercept's row of the weights
+_CYCLE = np.repeat(np.arange(len(LENGTHS)), LENGTHS)  # which of the lengths a word of a round of them belongs to
+_SHIFTS = np.cumsum(LENGTHS) - LENGTHS  # a text begins with one of the lengths, by its hash
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The patterns of each text's ordinary passages, one behind the other, each the features in order and _END."""
+    other = len(_WORDS)
+    for batch in small(batches, 50):
+        n = batch.num_rows
+        numbers, sizes = [], np.zeros(n, np.int64)
+        for i, text in enumerate(batch["text"].to_pylist()):
+            words = words_of(text)
+            sizes[i] = len(words)
+            numbers.append(np.fromiter((_WORDS.get(w, other) for w in words), np.int64, len(words)))
+        word, row = np.concatenate(numbers), np.repeat(np.arange(n), sizes)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(_SHIFTS[batch["hash"].to_numpy() % len(LENGTHS)], sizes)
+        cut = place // len(_CYCLE) * len(LENGTHS) + _CYCLE[place % len(_CYCLE)]
+        first = np.ones(len(word), bool)
+        first[1:] = (cut[1:] != cut[:-1]) | (row[1:] != row[:-1])
+        passage = np.cumsum(first) - 1
+        pair = np.where(first[1:], -1, _PAIRS[word[:-1], word[1:]])
+        like = np.zeros(int(first.sum()), bool)  # a passage with a trigram of a template is no example of ordinary text
+        like[passage[2:][~first[2:] & _TRIPLES[pair[:-1], word[2:]]]] = True
+        held = np.concatenate((passage[word < other] * (_END + 1) + word[word < other], passage[1:][pair >= 0] * (_END + 1) + pair[pair >= 0],
+                               np.arange(len(like)) * (_END + 1) + _END))
+        held = np.unique(held[~like[held // (_END + 1)]])
+        row_of = row[first][held // (_END + 1)]
+        yield pa.RecordBatch.from_pydict({"hash": batch["hash"], "size": batch["size"], "packed": _binary(held % (_END + 1), np.bincount(row_of, minlength=n))})
+
+
+def _binary(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Runs of ids of these sizes as little-endian bytes."""
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32) * 2
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2").tobytes())])
+
+
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of runs, and the size of each run."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").astype(np.int64), pa.compute.binary_length(column).to_numpy() // 2
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """held, pattern, n: the different patterns of a batch of texts; every fifth passage of a text is held out."""
+    for batch in small(batches):
+        ids, sizes = _ids(batch["packed"])
+        row = np.repeat(np.arange(batch.num_rows), sizes)
+        ends = np.flatnonzero(ids == _END)
+        row = row[ends]
+        before = np.searchsorted(row, np.arange(batch.num_rows))  # passages of the texts before
+        held = (np.arange(len(ends)) - before[row] + batch["hash"].to_numpy()[row] % HELD) % HELD == 0
+        passages = pa.table({"held": held, "pattern": _binary(ids, np.diff(ends, prepend=-1)), "n": np.ones(len(ends), np.int64)})
+        yield from passages.group_by(["held", "pattern"]).aggregate([("n", "sum")]).select(["held", "pattern", "n_sum"]).rename_columns(["held", "pattern", "n"]) \
+            .combine_chunks().to_batches()
+
+
+def ordinary_patterns(docs: DataFrame) -> DataFrame:
+    """held, pattern, n: how many ordinary passages of the different texts hold these features and no others."""
+    texts = docs.select(F.xxhash64("text").alias("hash"), F.octet_length("text").cast("long").alias("size"), "text").filter("size > 0")
+    once = texts.mapInArrow(_packed, "hash long, size long, packed binary").groupBy("hash", "size").agg(F.first("packed").alias("packed"))
+    return once.select("hash", "packed").mapInArrow(_counted, "held boolean, pattern binary, n long").groupBy("held", "pattern").agg(F.sum("n").alias("n"))
+
+
+def _total(patterns: DataFrame, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum of what `of` (ids, sizes of the patterns, n) returns for each batch: `size` whole numbers, added up by task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in small(batches, 4000):
+            total += of(*_ids(batch["pattern"]), batch["n"].to_numpy())
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
+
+    total = np.zeros(size, np.int64)
+    for r in patterns.select("pattern", "n").mapInArrow(run, "total binary").collect():
+        total += np.frombuffer(r["total"], np.int64)
+    return total
+
+
+def _scores(weights: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pattern's score by family, and the value of each of its ids."""
+    values = np.repeat(1 / np.sqrt(np.maximum(1, sizes - 1)), sizes)
+    ends = np.cumsum(sizes)
+    values[ends - 1] = 1.0
+    return np.add.reduceat(weights[ids] * values[:, None], ends - sizes), values
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def _loss(weights: np.ndarray, ids: np.ndarray, sizes: np.ndarray, n: np.ndarray, families: np.ndarray) -> np.ndarray:
+    """Loss and gradient of n examples of each pattern, in units."""
+    z, values = _scores(weights, ids, sizes)
+    log_p = _log_softmax(z)
+    rows = np.arange(len(sizes))
+    gap = np.exp(log_p)
+    gap[rows, families] -= 1
+    each = np.rint(np.repeat(gap, sizes, axis=0) * (values * UNIT)[:, None]) * np.repeat(n, sizes)[:, None]
+    gradient = np.stack([np.bincount(ids, each[:, f], _END + 1) for f in range(len(FAMILIES))], axis=1)
+    loss = (np.rint(-log_p[rows, families] * UNIT).astype(np.int64) * n).sum()
+    return np.concatenate(([loss], gradient.astype(np.int64).ravel()))
+
+
+def _minimum(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 10) -> np.ndarray:
+    """L-BFGS steps, each halved until the value falls."""
+    f, g = value(x)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        d, parts = -g, []
+        for s, y in reversed(pairs):
+            parts.append((s @ d) / (s @ y))
+            d = d - parts[-1] * y
+        if pairs:
+            d = d * (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        for (s, y), a in zip(pairs, reversed(parts)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = 1.0
+        new, down = value(x + d), g @ d
+        while new[0] > f + 1e-4 * step * down and step > 1e-3:
+            step /= 2
+            new = value(x + step * d)
+        if new[0] >= f:
+            break
+        s, y = step * d, new[1] - g
+        x, (f, g) = x + s, new
+        if s @ y > 1e-12:
+            pairs = [*pairs, (s, y)][-memory:]
+    return x
 
 
 def fit(docs: DataFrame, seed: int = 7) -> Model:
-    """Trains on the driver, on a bounded sample."""
-    rows = docs.select("text").filter(F.octet_length("text").between(1, SAMPLE_BYTES))
-    last = smallest(rows.select(F.xxhash64("text").alias("hash"), F.lit(1).alias("size")), SAMPLE)
-    sampled = [] if last is None else sorted(r["text"] for r in rows.filter(F.xxhash64("text") <= last).distinct().collect())
-    plain = [w for w in map(words_of, sampled) if w]
+    """Trains on the ordinary passages of every different text, and on the templates; the driver sees sums of the model's size."""
+    written = Written(ordinary_patterns(docs), "licence-patterns")
+    patterns = written.df
+    counts = _total(patterns, lambda ids, sizes, n: np.bincount(ids, np.repeat(n, sizes), _END + 1).astype(np.int64), _END + 1)
+    passages = int(counts[_END])
     rng = np.random.default_rng(seed)
     templates = [(FAMILIES.index(f), words_of(t)) for f, texts in TEMPLATES.items() for t in texts]
     licence_words = [w for _, t in templates for w in t]
-
-    def piece(least: int, most: int) -> list[str]:
-        if not plain:
-            return []
-        text = plain[int(rng.integers(len(plain)))]
-        n = int(rng.integers(least, most + 1))
-        at = int(rng.integers(max(1, len(text) - n + 1)))
-        return text[at:at + n]
-
-    # sampled texts may hold notices themselves; pieces that share much with a template are no examples of ordinary text
-    ordinary = [p for p in (piece(4, 40) for _ in range(1500)) if p and not _like_a_template(p)]
-    spread = Counter(w for p in ordinary for w in set(p))
-    telling = {w for w in licence_words if spread[w] <= COMMON * max(1, len(ordinary))}
+    telling = {w for w in licence_words if counts[_WORDS[w]] <= COMMON * max(1, passages)}
     for t in (g for texts in _TEMPLATE_GRAMS.values() for g in texts):  # whatever is confirmed must hold a telling word
         if sum(not telling.intersection(g) for g in t) >= CONFIRM * len(t):
             telling.update(w for g in t for w in g)
-    examples = [(0, p) for p in ordinary]
+
+    frequent = counts[:len(_WORDS)] / max(1.0, passages * LENGTHS.mean(), counts[:len(_WORDS)].sum())
+    around, odds = [*_WORDS, ""], [*frequent, max(0.0, 1 - frequent.sum())]  # an empty word is any other word
+
+    def margin(most: int) -> list[str]:
+        return [around[i] for i in rng.choice(len(around), int(rng.integers(0, most + 1)), p=odds)]
+
+    examples = []
     for family, t in templates:
         for _ in range(COPIES):
             kept = [w for w in t if rng.random() > 0.08 or len(t) < 8]
-            examples.append((family, piece(0, MARGIN) + kept + piece(0, MARGIN)))
+            examples.append((family, margin(MARGIN) + kept + margin(MARGIN)))
     for _ in range(len(templates) * COPIES // 3):
-        picked = list(rng.choice(licence_words, int(rng.integers(2, 9))))
-        examples.append((0, piece(0, 12) + picked + piece(0, 12)))
+        picked = [str(w) for w in rng.choice(licence_words, int(rng.integers(2, 9)))]
+        examples.append((0, margin(12) + picked + margin(12)))
     order = rng.permutation(len(examples))
-    held = order[:len(order) // 5]
-    model = _train([examples[i] for i in order[len(order) // 5:]], frozenset(telling))
-    _calibrate(model, [examples[i] for i in held])
+    held = order[:len(order) // HELD]
+    each = SAMPLE / max(1, passages)  # the weight of an ordinary passage
+    model = Model(FEATURES, _train([examples[i] for i in order[len(order) // HELD:]], patterns.filter("NOT held"), each), 1.0, 0.5, frozenset(telling))
+    _calibrate(model, [examples[i] for i in held], patterns.filter("held"), each)
+    written.drop()
     return model
 
 
-def _train(examples: list[tuple[int, list[str]]], telling: frozenset[str], rounds: int = 150) -> Model:
-    seen = Counter(g for _, w in examples for g in set(grams(w)))
-    features = {g: i for i, (g, _) in enumerate(sorted(x for x in seen.items() if x[1] >= 2))}
-    rows, columns, values = [], [], []
-    for r, (_, w) in enumerate(examples):
-        known = [features[g] for g in set(grams(w)) if g in features]
-        rows += [r] * (len(known) + 1)
-        columns += [*known, len(features)]
-        values += [1 / max(1.0, np.sqrt(len(known)))] * len(known) + [1.0]
-    rows, columns, values = np.array(rows), np.array(columns), np.array(values)
-    y = np.zeros((len(examples), len(FAMILIES)))
-    y[np.arange(len(examples)), [f for f, _ in examples]] = 1
-    by_column = np.argsort(columns, kind="stable")
-    row_starts = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-    sorted_columns = columns[by_column]
-    column_starts = np.flatnonzero(np.concatenate(([True], sorted_columns[1:] != sorted_columns[:-1])))
-    weights = np.zeros((len(features) + 1, len(FAMILIES)))
-    velocity = np.zeros_like(weights)
-    for _ in range(rounds):  # gradient steps with momentum
-        z = np.add.reduceat(weights[columns] * values[:, None], row_starts)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        gap = (y - p)[rows[by_column]] * values[by_column][:, None]
-        gradient = np.zeros_like(weights)
-        gradient[sorted_columns[column_starts]] = np.add.reduceat(gap, column_starts)
-        velocity = 0.9 * velocity + 4.0 * (gradient / len(examples) - 1e-5 * weights)
-        weights += velocity
-    return Model(features, weights, 1.0, 0.5, telling)
-
-
-def _calibrate(model: Model, held: list[tuple[int, list[str]]]) -> None:
+def _train(examples: list[tuple[int, list[str]]], patterns: DataFrame, each: float) -> np.ndarray:
+    known = [[*sorted(FEATURES[g] for g in set(grams(w)) if g in FEATURES), _END] for _, w in examples]
+    own = np.array([i for x in known for i in x]), np.array([len(x) for x in known]), np.ones(len(known), np.int64), np.array([f for f, _ in examples])
+    shape = (_END + 1, len(FAMILIES))
+
+    def value(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = x.reshape(shape)
+        ordinary = _total(patterns, lambda ids, sizes, n: _loss(weights, ids, sizes, n, np.zeros(len(sizes), np.int64)), 1 + x.size)
+        both = (each * ordinary + _loss(weights, *own)) / (UNIT * (SAMPLE + len(examples)))
+        return both[0] + 0.5e-5 * float(x @ x), both[1:] + 1e-5 * x
+
+    return _minimum(value, np.zeros(shape[0] * shape[1]), STEPS).reshape(shape)
+
+
+def _calibrate(model: Model, held: list[tuple[int, list[str]]], patterns: DataFrame, each: float) -> None:
+    kinds = len(TEMPERATURES)
+    weights = model.weights
+
+    def sums(ids: np.ndarray, sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """By temperature: the loss in units, and how many passages have a probability of any family above so many thresholds."""
+        z, _ = _scores(weights, ids, sizes)
+        out = np.zeros((kinds, len(THRESHOLDS) + 2), np.int64)
+        for k, t in enumerate(TEMPERATURES):
+            log_p = _log_softmax(z / t)[:, 0]
+            out[k, 0] = (np.rint(-np.maximum(log_p, np.log(1e-12)) * UNIT).astype(np.int64) * n).sum()
+            out[k, 1:] = np.bincount(np.searchsorted(THRESHOLDS, 1 - np.exp(log_p)), n, len(THRESHOLDS) + 1).astype(np.int64)
+        return out.ravel()
+
+    ordinary = _total(patterns, sums, kinds * (len(THRESHOLDS) + 2)).reshape(kinds, -1)
     best = None
-    for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8):
+    for k, t in enumerate(TEMPERATURES):
         model.temperature = t
-        loss = -float(np.mean([np.log(max(1e-12, model.probabilities(w)[f])) for f, w in held])) if held else 0.0
-        best = min(best or (loss, t), (loss, t))
-    model.temperature = best[1]
-    wrong = sorted((1 - float(model.probabilities(w)[0]) for f, w in held if f == 0), reverse=True)
+        loss = each * ordinary[k, 0] / UNIT - float(sum(np.log(max(1e-12, model.probabilities(w)[f])) for f, w in held))
+        best = min(best or (loss, k), (loss, k))
+    model.temperature = TEMPERATURES[best[1]]
+    above = each * ordinary[best[1], 1:]
     right = sorted(float(model.probabilities(w)[f]) for f, w in held if f)
+    for f, w in held:
+        if f == 0:
+            above[np.searchsorted(THRESHOLDS, 1 - float(model.probabilities(w)[0]))] += 1
     # above what a classifier that knows nothing gives each family
     model.named = min(0.5, max(2.5 / len(FAMILIES), right[int(MISSED * len(right))] if right else 0.5))
-    # a template has to confirm what passes, so the threshold need not be strict
-    model.threshold = min(0.5, max(0.3, wrong[int(FALSE_ALARMS * len(wrong))] if wrong else 0.5))
+    alarms = above[::-1].cumsum()[::-1][1:]  # weight of the passages beyond each threshold
+    passed = np.flatnonzero(alarms <= FALSE_ALARMS * above.sum())
+    model.threshold = float(THRESHOLDS[passed[0] if len(passed) else -1])
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
